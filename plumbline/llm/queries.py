@@ -17,6 +17,39 @@ RULES = [
 SHARDS = 8
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file: in PLUMBLINE_TOKENIZERS where that is set, else that of the installed package."""
+    import os
+
+    folder = os.environ.get("PLUMBLINE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def language_model(docs: DataFrame) -> tuple:
+    from plumbline.llm.langid import held_out, train
+
+    learn = docs.where(~held_out())
+    return train(learn, tokenizer_file("byte_bpe_multi_50k.tiktoken"), by=F.xxhash64("doc_id"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.langid import held_out, predict
+
+    docs = table(spark, sf_dir, "documents")
+    found = predict(docs, language_model(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), texts=False)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.simhash import near_duplicates
 
@@ -31,6 +64,20 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.decontaminate import scan
+
+    found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.sharding import assign
 
