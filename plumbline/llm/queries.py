@@ -57,6 +57,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.line_dedup import dedup
+
+    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.url_filters import judge
 
