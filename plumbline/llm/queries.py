@@ -50,6 +50,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), texts=False)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.simhash import near_duplicates
 
@@ -116,4 +122,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": OP8_SQL}
+    from plumbline.llm.licenses import scan_sql
+
+    return {"op4_licenses": scan_sql(), "op8_url_filters": OP8_SQL}
