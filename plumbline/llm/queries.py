@@ -17,6 +17,12 @@ RULES = [
 SHARDS = 8
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public vocabulary file: in PLUMBLINE_TOKENIZERS where that is set, else that of the installed package."""
     import os
@@ -70,6 +76,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.url_filters import judge
 
