@@ -1,7 +1,9 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
 Coarse centroids and residual codebooks are fitted on a bounded sample
-(SAMPLE vectors). Every vector is indexed: its cell, its code, and the vector
+(SAMPLE vectors), and so is the number of cells to probe: the fewest that hold
+TARGET_RECALL of the true neighbours, within the sample, of TRIALS of its
+vectors. Every vector is indexed: its cell, its code, and the vector
 itself for the rerank. A query probes its nearest cells; in each part of a cell
 asymmetric distance tables rank the codes, the best RERANK are measured exactly.
 
@@ -25,7 +27,7 @@ SAMPLE = 20_000
 MAX_CELLS = 4096
 PART_ROWS = 20_000
 RERANK = 192
-PROBE_SHARE, MIN_PROBES = 0.25, 12
+TARGET_RECALL, TRIALS = 0.97, 400  # share of true neighbours in the probed cells, and the sample vectors that it is measured on
 SUBSPACES, CODES = 16, 256
 
 
@@ -70,6 +72,21 @@ class Model:
         residual = sample - self.centroids[distances(sample, self.centroids).argmin(axis=1)]
         self.books = [kmeans(residual[:, a:b], CODES, rounds=6) for a, b in zip(self.edges, self.edges[1:])]
 
+        self.probes = self._probes(sample)
+
+    def _probes(self, sample: np.ndarray, k: int = 10) -> int:
+        asked = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)
+        own, needed = self.cells(sample), []
+        for i in range(0, len(asked), 50):
+            some = asked[i : i + 50]
+            d = distances(sample[some], sample)
+            d[np.arange(len(some)), some] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+            rank = distances(sample[some], self.centroids).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+            needed.append(np.take_along_axis(rank, own[near], axis=1).ravel())
+        needed = np.sort(np.concatenate(needed)) if needed else np.zeros(1, int)
+        return int(needed[min(len(needed) - 1, math.ceil(TARGET_RECALL * len(needed)))]) + 1 if len(needed) else 1
+
     def cells(self, x: np.ndarray) -> np.ndarray:
         return distances(x, self.centroids).argmin(axis=1)
 
@@ -108,8 +125,7 @@ def search(
     vector: str = "embedding",
     k: int = 10,
     model: tuple[Model, int] | None = None,
-    probe_share: float = PROBE_SHARE,
-    min_probes: int = MIN_PROBES,
+    probes: int | None = None,
     rerank: int = RERANK,
 ) -> DataFrame:
     """query_id, rank, id, score (Euclidean distance) of each query's k nearest found, its own row aside."""
@@ -148,7 +164,7 @@ def search(
     sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # at most MAX_CELLS rows
     count = np.array([sizes.get(c, 0) for c in range(len(model.centroids))])
     parts = spark.sparkContext.broadcast((count, np.maximum(1, -(-count // PART_ROWS))))
-    probes = min(len(count), max(min_probes, round(probe_share * len(count))))
+    probes = min(len(count), probes or model.probes)
 
     asked = settle(rows.where("q").groupBy("v").agg(F.min("id").alias("qk")))
 
