@@ -53,7 +53,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.bpe import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), texts=False)
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,17 +40,17 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(ends), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(key, fp): fp as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(k, fp) and the columns in keep: k the key, fp a signed long."""
     import pyarrow as pa
 
     def signed(batches):
         for b in batches:
             fps = np.array([fingerprint(t, width, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["k", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["k", "fp", *keep])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(signed, f"k {kind}, fp long")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(key, text, *keep).mapInArrow(signed, f"k {docs.schema[key].dataType.simpleString()}, fp long{kinds}")
 
 
 def block_keys(distance: int, blocks: int, bits: int = 64) -> list[list[tuple[int, int]]]:
@@ -155,14 +155,33 @@ def _meet(fps: DataFrame, distance: int) -> DataFrame:
     return links.where(F.expr(f"bit_count(a ^ b) <= {distance}")) if distance % 2 else links
 
 
+def _classes(sig: DataFrame, distance: int, blocks: int, limit: int) -> DataFrame:
+    """(fp, root, component_id) of all distinct fingerprints of sig (k, fp)."""
+    fps = settle(sig.groupBy("fp").agg(F.min("k").alias("rep")))
+    roots = components(links(fps.select("fp"), distance, blocks, limit))
+    of = settle(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return of.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6, limit: int = 8192
 ) -> DataFrame:
     """key, fp, component_id (the smallest key that chains of close fingerprints reach), one row per input row."""
     sig = settle(fingerprints(docs, key, text, width, seed))
-    fps = settle(sig.groupBy("fp").agg(F.min("k").alias("rep")))
-    roots = components(links(fps.select("fp"), distance, blocks, limit))
-    of = settle(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
-    least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
+    named = _classes(sig, distance, blocks, limit)
     return sig.join(named, "fp").select(F.col("k").alias(key), "fp", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6, limit: int = 8192
+) -> DataFrame:
+    """docs with one row of each component: that with the smallest key (null keys last, equal keys by hash of the text, equal rows once)."""
+    name = F.coalesce(F.col(key).cast("string"), F.lit("\x00null"))
+    marked = docs.withColumns({"_id": name, "_hash": F.xxhash64(text)})
+    sig = settle(fingerprints(marked, key, text, width, seed, keep=("_id", "_hash")))
+    named = _classes(sig, distance, blocks, limit)
+    row = F.struct(F.col("k").isNull().alias("no"), "k", "_hash", "_id")
+    kept = sig.join(named, "fp").groupBy("root").agg(F.min(row).alias("x")).select("x._id", "x._hash")
+    out = marked.join(kept, ["_id", "_hash"], "left_semi")
+    return out.withColumn("_turn", F.expr("row_number() over (partition by _id, _hash order by _hash)")).where("_turn = 1").select(*docs.columns)
