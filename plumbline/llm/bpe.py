@@ -220,7 +220,7 @@ class _Table:
         return self.ids[first + np.arange(len(first))], b"".join(map(self.bytes.__getitem__, slots.tolist()))
 
 
-def _joined(pieces: list[bytes], batches, texts: bool):
+def _joined(pieces: list[bytes], batches, with_ids: bool, with_text: bool):
     """From (block, kind, key, a) sorted by block and kind: the documents, ids by position and text from the ids."""
     import pyarrow as pa
 
@@ -252,14 +252,17 @@ def _joined(pieces: list[bytes], batches, texts: bool):
                 pa.array([x[2] for x in out], pa.string()),
             ]
             names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if texts:
-                cols += [pa.array([x[0].astype(np.int32) for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.string())]
-                names += ["ids", "decoded"]
+            if with_ids:
+                cols.append(pa.array([x[0].astype(np.int32) for x in out], pa.list_(pa.int32())))
+                names.append("ids")
+            if with_text:
+                cols.append(pa.array([x[1] for x in out], pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
-    """key, n_tokens, ids_sha256 (over little-endian 32-bit ids), decoded_sha256; with texts also ids and the decoded text."""
+def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", with_ids: bool = True, with_text: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256 (over little-endian 32-bit ids), decoded_sha256; if asked for, ids and the decoded text."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
@@ -274,10 +277,10 @@ def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
     )
     packed = rows.mapInArrow(lambda b: _blocks(Splitter(shipped.value), b, "docs"), f"block long, kind int, key {kind}, a binary")
     both = packed.unionByName(parts, allowMissingColumns=True).select("block", "kind", "key", "a")
-    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
+    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     out = (
         both.repartition(n, "block").sortWithinPartitions("block", "kind")
-        .mapInArrow(lambda b: _joined(byte_pieces(shipped.value), b, texts), schema)
+        .mapInArrow(lambda b: _joined(byte_pieces(shipped.value), b, with_ids, with_text), schema)
     )
     return out.withColumnRenamed("key", key)
 
