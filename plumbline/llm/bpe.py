@@ -34,6 +34,10 @@ BLOCK_WORDS = 600_000  # distinct words in a block, beyond which it ends with th
 #: The public pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+_PLAIN = "\t\n\r -~¡-¬®-ɏ‐-‧"
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"  # all \\p{L} of _PLAIN
+_NUMBERS = "0-9²³¹¼-¾"  # all \\p{N} of _PLAIN
+
 
 class Splitter:
     """Words of a text, as the tokenizer's own pre-tokenizer cuts them; special tokens are words of their own."""
@@ -42,16 +46,16 @@ class Splitter:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         spec = json.loads(tokenizer_json)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.fast = regex.compile(PATTERN).findall
-        # Outside these ranges two libraries' character tables may differ; there the tokenizer's own splitter is asked.
-        self.odd = re.compile("[^\t\n\r -~¡-¬®-ɏ‐-‧]").search
+        # PATTERN with its letters and numbers spelled out, for texts of the characters that _PLAIN lists.
+        # Elsewhere character tables may differ between libraries, and the tokenizer's own splitter is asked.
+        self.fast = re.compile(f" ?[{_LETTERS}]+| ?[{_NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+").findall
+        self.odd = re.compile(f"[^{_PLAIN}]").search
 
     def __call__(self, text: str | None) -> list[str]:
         if not text:
