@@ -6,8 +6,8 @@ letters and digits parted by single spaces. A unit and a template match if
 
 Pruning loses no match: sizes must lie within threshold / (2 - threshold) of
 each other, and then the unit has to share one of the template's key bigrams (any
-|B| - ceil(|B| t / (2 - t)) + 1 of them will do; those of the longest words are
-taken). Templates are a fixed list of this module, so they are broadcast.
+|B| - ceil(|B| t / (2 - t)) + 1 of them will do; those with the longest words are
+taken), hence one of these words. Templates are a fixed list of this module, so they are broadcast.
 
 Null or empty text, or units of fewer than two words: no match. Each (key,
 line) gives one row, the best template (ties: the first name); line is -1 for
@@ -17,11 +17,13 @@ the whole text. Repeated rows of one key and line are reported once.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+_FREQUENT = frozenset("a and any as at be by for from in is it may of on or that the this to with you".split())
 
 # Published licence texts (without title and holder) and short notices.
 _GRANT = (
@@ -138,8 +140,17 @@ def bigrams(text: str) -> set[str]:
 
 
 def _words(c: Column) -> Column:
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.split(F.trim(F.regexp_replace(F.translate(c, upper, lower), "[^a-z0-9]+", " ")), " ")
+    # What the pattern leaves is ASCII, where lower() is cheap and changes A-Z only.
+    return F.split(F.trim(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " "))), " ")
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words that branches letter by letter, so that most positions fail at once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(h) + (_any_of(tails) if tails != [""] else "") for h, tails in heads.items() if h]
+    return f"(?:{'|'.join(parts)})" + ("?" if "" in heads else "")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -148,7 +159,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     low = threshold / (2 - threshold)
     rows, keys = [], []
     for i, (name, body) in enumerate(licenses if licenses is not None else templates()):
-        has = sorted(bigrams(body), key=lambda b: (-len(b), b))
+        has = sorted(bigrams(body), key=lambda b: (-max(map(len, b.split())), -len(b), b))
         rows.append((i, name, has, len(has)))
         need = max(1, math.ceil(low * len(has) - 1e-9))
         keys += [(b, i) for b in has[: len(has) - need + 1]]
@@ -156,14 +167,19 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     known = spark.createDataFrame(rows, "template int, license string, has array<string>, m int")
     leads = spark.createDataFrame(keys, "lead string, template int")
 
-    each = docs.select(F.col(key).alias("k"), F.posexplode(F.split(text, "\n")).alias("line", "unit"))
-    many = docs.where(F.col(text).contains("\n"))
-    whole = many.select(F.col(key).alias("k"), F.lit(-1).alias("line"), F.col(text).alias("unit"))
-    units = each.union(whole).select("k", "line", _words(F.col("unit")).alias("w"))
+    # Every key bigram holds one of these words: a text, then a unit, without any of them matches nothing. The pattern runs
+    # on the raw text, so that only what it finds is normalised.
+    marks = {max(b.split(), key=lambda w: (w not in _FREQUENT, len(w))) for b, _ in keys}
+    marked = lambda c: F.col(c).rlike(f"(?i)(?<![A-Za-z0-9]){_any_of(sorted(marks))}(?![A-Za-z0-9])")
+    docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(marked("t"))
+    each = docs.select("k", F.posexplode(F.split("t", "\n")).alias("line", "unit")).where(marked("unit"))
+    whole = docs.where(F.col("t").contains("\n")).select("k", F.lit(-1).alias("line"), F.col("t").alias("unit"))
+    # Words come out of a generator, so that filters on them are not pushed below and the words are made once.
+    units = each.union(whole).select("k", "line", F.explode(F.array(_words(F.col("unit")))).alias("w"))
     # Too few words for any template go before bigrams are built; the bound on distinct bigrams follows.
-    units = units.where(F.size("w") > F.ceil(F.lit(low * least - 1e-9)))
+    units = units.where(F.size("w") > math.ceil(low * least - 1e-9))
     pairs = F.expr("array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b)))")
-    units = units.select("k", "line", pairs.alias("b")).withColumn("n", F.size("b")).where(F.col("n") <= math.floor(most / low + 1e-9))
+    units = units.select("k", "line", F.explode(F.array(pairs)).alias("b")).withColumn("n", F.size("b")).where(F.col("n") <= math.floor(most / low + 1e-9))
     led = units.select("k", "line", "b", "n", F.explode("b").alias("lead")).join(F.broadcast(leads), "lead")
     led = led.join(F.broadcast(known), "template").where(F.expr(f"least(n, m) >= {low - 1e-9}D * greatest(n, m)"))
     scored = led.withColumn("score", 2.0 * F.size(F.array_intersect("b", "has")) / (F.col("n") + F.col("m"))).where(F.col("score") >= threshold - 1e-12)
