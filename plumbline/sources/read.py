@@ -15,15 +15,16 @@ from pyspark.sql import types as T
 from plumbline.operators.clean import sanitise
 from plumbline.sources.guards import EmptyFile, SourceError, check_archive, extension, head_bytes
 
+HEAD = 1 << 16  # bytes that are looked at
 # Separators that are tried.
 SEPARATORS = (",", ";", "\t", "|", ":")
 
 
-def encoding(head: bytes) -> str:
-    """SRC-03a by strict decoding: UTF-16 by its mark, UTF-8 if the sample decodes (a cut last character aside), else Latin-1."""
+def encoding(head: bytes, whole: bool = True) -> str:
+    """SRC-03a by strict decoding: UTF-16 by its mark, UTF-8 if the sample decodes (up to a last character that is cut off, unless it is the whole file), else Latin-1."""
     if head.startswith((b"\xff\xfe", b"\xfe\xff")):
         return "UTF-16"
-    for cut in range(4):
+    for cut in range(1 if whole else 4):
         try:
             head[: len(head) - cut].decode("utf-8")
             return "UTF-8"
@@ -34,7 +35,7 @@ def encoding(head: bytes) -> str:
 
 def sniff(head: bytes) -> tuple[str, str, int]:
     """SRC-03: (encoding, separator, lines before the header), from the first 30 lines; blank lines of the preamble count (SRC-03b)."""
-    enc = encoding(head)
+    enc = encoding(head, len(head) < HEAD)
     every = head.decode(enc, "replace").lstrip("﻿").splitlines()[:30]
     lines = [x.strip() for x in every if x.strip()]
     if not lines:
@@ -90,7 +91,7 @@ def _distinct(names: list[str]) -> list[str]:
 
 
 def _plain_head(spark: SparkSession, path: str) -> bytes:
-    head = head_bytes(spark, path, 1 << 16)
+    head = head_bytes(spark, path, HEAD)
     if head.startswith(b"\x1f\x8b"):
         import zlib
 
