@@ -102,10 +102,10 @@ def pk_collision(spark, d):
     f"select '{c}' as \"column\", count(*) - count({c}) as affected_rows, case when (count(*) - count({c})) * 100.0 / count(*) >= 30 then 'critical' when (count(*) - count({c})) * 100.0 / count(*) >= 15 then 'high' when (count(*) - count({c})) * 100.0 / count(*) >= 5 then 'medium' else 'low' end as severity, (count(*) - count({c})) * 100.0 / count(*) as pct from {DIRTY_SQL}"
     for c in ("quantity", "price", "status")) + ") where pct >= 1")
 def missing_issues(spark, d):
-    out = issues.detect(dirty(spark, d).select("order_id", "quantity", "price", "status")).rows(spark)
-    return out.where("issue_type = 'missing_values' and fix in ('fill_median', 'fill_mode')").select("column", "affected_rows", "severity", F.lit(None).cast("double").alias("_")).drop("_").join(
-        profile.null_profile(dirty(spark, d)).select("column", F.col("null_count")), "column"
-    ).select("column", "affected_rows", "severity", (F.col("null_count") * 100.0 / dirty(spark, d).count()).alias("pct"))
+    x = dirty(spark, d).select("order_id", "quantity", "price", "status")
+    n = x.count()
+    out = issues.detect(x).rows(spark).where("issue_type = 'missing_values' and fix in ('fill_median', 'fill_mode')")
+    return out.select("column", "affected_rows", "severity", (F.col("affected_rows") * 100.0 / n).cast("double").alias("pct"))
 
 
 @query("high_cardinality", f"select 'email' as \"column\", count(distinct email) as n_unique from {DIRTY_SQL} having count(distinct email) > 100 and count(distinct email) > 0.1 * count(*)")
