@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import small_batches
+
 BLOCK_CHARS = 64 << 20  # of text in a block
 BLOCK_WORDS = 600_000  # distinct words in a block, beyond which it ends with the document at hand
 #: The public pattern of the byte-level pre-tokenizer.
@@ -146,7 +148,7 @@ def _blocks(splitter: Splitter, batches, wanted: str):
 
     for batch in batches:
         kind = batch.column(0).type
-        for i, text in enumerate(batch.column(1).to_pylist()):
+        for i, text in enumerate(x.as_py() for x in batch.column(1)):
             if chars is None or chars > BLOCK_CHARS or len(slot) > BLOCK_WORDS:
                 if chars is not None:
                     yield flush()
@@ -268,6 +270,7 @@ def _joined(pieces: list[bytes], batches, with_ids: bool, with_text: bool):
 def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", with_ids: bool = True, with_text: bool = False) -> DataFrame:
     """key, n_tokens, ids_sha256 (over little-endian 32-bit ids), decoded_sha256; if asked for, ids and the decoded text."""
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     shipped = spark.sparkContext.broadcast(spec)

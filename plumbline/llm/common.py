@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long rows: batches to Python workers hold at most so many of them from here on, in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
@@ -32,9 +39,19 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    _written.append(out)
     return out
 
 
+_written: list[DataFrame] = []
+
+
+def sweep() -> None:
+    """Delete all settled tables of this process, once their results have been written elsewhere."""
+    while _written:
+        release(_written.pop())
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more."""
     path = getattr(df, "_settled_at", None)
@@ -44,6 +61,12 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def unnamed(df: DataFrame, *columns: str) -> tuple:
+    """df with its columns called c0, c1, ... (whatever they were, they clash with nothing then), and the new names of `columns`."""
+    new = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), *[new[c] for c in columns]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node of its component.
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import small_batches, unnamed
+
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 BLOCK_BYTES = 64 << 20  # of benchmark text in one broadcast
 SHARD_WORDS = 1 << 20  # of training text in one suffix array; a longer document is a shard of its own
@@ -150,6 +152,7 @@ def scan(
     """
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     blocks = _blocks(benchmark, item, item_text, window, block_bytes)
     columns = list(dict.fromkeys([*keep, key]))
     carried = T.StructType([docs.schema[c] for c in columns])
@@ -202,9 +205,9 @@ def scan(
                 yield int(n), int(cover[s : s + n].sum()), sorted({x[0] for x in m}), m
 
         for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
             out, some, size = [], [], 0
-            for t in texts:
+            for x in batch.column(at):
+                t = x.as_py()
                 n = len(t or "") // 5
                 if some and size + n > SHARD_WORDS:
                     out += shard(some)
@@ -222,7 +225,8 @@ def scan(
             )
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(searched, schema)
+    at = columns.index(text) if text in columns else len(columns)  # the text goes over once
+    return docs.select(*columns, *([] if text in columns else [F.col(text)])).mapInArrow(searched, schema)
 
 
 def digest(items: list[str]) -> str:
@@ -231,5 +235,6 @@ def digest(items: list[str]) -> str:
 
 def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    found = scan(docs, benchmark, key, text, keep=tuple(docs.columns), **options)
-    return found.where("n_hit = 0").select(*docs.columns)
+    inner, k, t = unnamed(docs, key, text)
+    found = scan(inner, benchmark, k, t, keep=tuple(inner.columns), **options)
+    return found.where("n_hit = 0").select(*inner.columns).toDF(*docs.columns)

@@ -22,6 +22,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import small_batches
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|(?:[^<]+|<)""", re.S
 )
@@ -238,6 +240,7 @@ def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] =
     """keep + text, n_chars (code points)."""
     import pyarrow as pa
 
+    small_batches(pages.sparkSession)
     names = [*keep, "text", "n_chars"]
 
     def extracted(batches):

@@ -23,11 +23,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import small_batches
+
 MAX_PIECE = 12  # bytes
 MAX_WORD = 48  # bytes
-SAMPLE_BYTES = 3_000_000  # of text per language that the sample aims at
-SAMPLE_WORDS = 600_000  # distinct (language, word) counts that reach the driver at most
-CACHE_WORDS = 400_000  # scored words that a task's process keeps
+SAMPLE_BYTES = 2_000_000  # of text per language that the sample aims at
+SAMPLE_WORDS = 300_000  # distinct (language, word) counts that reach the driver at most
+CACHE_WORDS = 200_000  # scored words that a task's process keeps
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -134,6 +136,7 @@ def sample_counts(labelled: DataFrame, text: str = "text", lang: str = "lang", b
     """Word counts per language over a sample of labelled rows, drawn by hash `by`, of about sample_bytes of text a language."""
     import pyarrow as pa
 
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     totals = rows.groupBy(F.col(lang).alias("lang")).agg(F.sum(F.octet_length(text)).alias("n")).collect()
     if not totals:
@@ -214,6 +217,7 @@ def predict(docs: DataFrame, model: tuple, text: str = "text", keep: tuple[str,
     import uuid
 
     pieces, langs, prob = model
+    small_batches(docs.sparkSession)
     shipped, mark = docs.sparkSession.sparkContext.broadcast((pieces, langs, prob)), uuid.uuid4().hex
 
     def judged(batches):
@@ -222,14 +226,14 @@ def predict(docs: DataFrame, model: tuple, text: str = "text", keep: tuple[str,
             _scorers[mark] = Scorer(*shipped.value)
         s = _scorers[mark]
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
             pred, score = [], []
-            for i in range(0, len(texts), 256):
+            for i in range(0, b.num_rows, 256):
+                texts = b.column(at).slice(i, 256).to_pylist()
                 if not s.langs:
-                    pred += ["und"] * len(texts[i : i + 256])
-                    score += [0.0] * len(texts[i : i + 256])
+                    pred += ["und"] * len(texts)
+                    score += [0.0] * len(texts)
                     continue
-                total, n = s.totals(texts[i : i + 256])
+                total, n = s.totals(texts)
                 best = total.argmax(axis=1)
                 p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 pred += [s.langs[k] if m else "und" for k, m in zip(best, n)]
@@ -238,7 +242,9 @@ def predict(docs: DataFrame, model: tuple, text: str = "text", keep: tuple[str,
 
     schema_names = [*keep, *names]
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], f"{names[0]} string, {names[1]} double"])
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(judged, schema)
+    # The text goes over once, whether or not it is kept.
+    at = list(keep).index(text) if text in keep else len(keep)
+    return docs.select(*[F.col(c) for c in keep], *([] if text in keep else [F.col(text)])).mapInArrow(judged, schema)
 
 
 def train(labelled: DataFrame, vocabulary_path: str, text: str = "text", lang: str = "lang", by: Column | None = None) -> tuple:

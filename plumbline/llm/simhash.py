@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, settle
+from plumbline.llm.common import components, settle, small_batches, unnamed
 
 _CASE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = 1 << 16  # shingles whose bits are counted at once
@@ -44,9 +44,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     """(k, fp) and the columns in keep: k the key, fp a signed long."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
+
     def signed(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, width, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py(), width, seed) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["k", "fp", *keep])
 
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -177,6 +179,8 @@ def keep_one(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6, limit: int = 8192
 ) -> DataFrame:
     """docs with one row of each component: that with the smallest key (null keys last, equal keys by hash of the text, equal rows once)."""
+    names = docs.columns
+    docs, key, text = unnamed(docs, key, text)
     name = F.coalesce(F.col(key).cast("string"), F.lit("\x00null"))
     marked = docs.withColumns({"_id": name, "_hash": F.xxhash64(text)})
     sig = settle(fingerprints(marked, key, text, width, seed, keep=("_id", "_hash")))
@@ -184,4 +188,4 @@ def keep_one(
     row = F.struct(F.col("k").isNull().alias("no"), "k", "_hash", "_id")
     kept = sig.join(named, "fp").groupBy("root").agg(F.min(row).alias("x")).select("x._id", "x._hash")
     out = marked.join(kept, ["_id", "_hash"], "left_semi")
-    return out.withColumn("_turn", F.expr("row_number() over (partition by _id, _hash order by _hash)")).where("_turn = 1").select(*docs.columns)
+    return out.withColumn("_turn", F.expr("row_number() over (partition by _id, _hash order by _hash)")).where("_turn = 1").select(*docs.columns).toDF(*names)
