@@ -1,5 +1,8 @@
 """op4, op6, op7: SQL-like brute force and odd inputs."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,9 +50,10 @@ def brute_lines(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     seen = {}
     for r in line_dedup.lines(df).collect():
-        seen[bytes(r.nkey)] = r.fp & (2**64 - 1)
-    words = lambda s: [w for w in __import__("re").split(r"[\x00-/:-@\[-`{-\x7F\u00A0-\u00BF\u2000-\u206F\u3000-\u303F]+", s.lower()) if w]
-    key = lambda s: __import__("hashlib").md5(" ".join(words(s)).encode()).digest()
+        seen[tuple(r.nkey)] = r.fp & (2**64 - 1)
+    words = lambda s: [w for w in re.split(r"[\x00-/:-@\[-`{-\x7F\u00A0-\u00BF\u2000-\u206F\u3000-\u303F]+", s.lower()) if w]
+    digest = lambda s: hashlib.md5(" ".join(words(s)).encode()).hexdigest()
+    key = lambda s: (int(digest(s)[:15], 16), int(digest(s)[15:30], 16))
     texts = {}
     for _, t in rows:
         for line in (t or "").split("\n"):
