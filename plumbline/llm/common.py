@@ -39,26 +39,31 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
-    _written.append(out)
+    _written.append(path)
     return out
 
 
-_written: list[DataFrame] = []
+_written: list[str] = []  # paths only: a kept DataFrame would keep its plan in the driver
 
 
-def sweep() -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
     """Delete all settled tables of this process, once their results have been written elsewhere."""
     while _written:
-        release(_written.pop())
+        _delete(spark, _written.pop())
 
 
 def release(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more."""
     path = getattr(df, "_settled_at", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _delete(df.sparkSession, path)
+        if path in _written:
+            _written.remove(path)
 
 
 def unnamed(df: DataFrame, *columns: str) -> tuple:
