@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(docs)
+    found = line_dedup.dedup(docs, whole=True)
     emptied = (F.col("_n_removed") > 0) & (F.size(line_dedup.words(F.col("text"))) == 0)
     kept = found.where(F.col("text").isNull() | ~emptied)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

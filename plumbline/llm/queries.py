@@ -72,7 +72,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.line_dedup import dedup
 
-    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 

@@ -131,6 +131,44 @@ def test_line_dedup_repeated_rows(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_whole_reaches_the_similarity(spark):
+    """Pairs of 0.8 and more, most of them many fingerprint bits apart, against all pairs by hand."""
+    import random
+
+    rng = random.Random(8)
+    fresh = iter(range(10**6))
+    bases = [[f"w{rng.randrange(400)}" for _ in range(n)] for n in (4, 5, 6, 9, 10, 14, 15, 20, 24, 28, 40, 61) for _ in range(3)]
+    pool = []
+    for b in bases:
+        pool.append(b)
+        for _ in range(3):
+            w = list(b)
+            for _ in range(rng.randint(1, len(b) // 4 + 1)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = [f"x{next(fresh)}"] if rng.random() < 0.7 else []
+            pool.append(w or b)
+    pool.append(bases[-1][:10] + bases[-4][:40])
+
+    def edits(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(prev[j] + 1, now[-1] + 1, prev[j - 1] + (x != y)))
+            prev = now
+        return prev[-1]
+
+    group = list(range(len(pool)))
+    for i, a in enumerate(pool):
+        for j in range(i):
+            if edits(a, pool[j]) <= 0.2 * max(len(a), len(pool[j])) + 1e-9 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {i for i, g in enumerate(group) if g not in group[:i]}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(pool)], "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dedup(df, whole=True).collect() if r.text}
+    assert got == want
+
+
 # ---- op7 --------------------------------------------------------------------------------------------------------------
 
 
