@@ -3,7 +3,7 @@
 language: documents without a letter, or of which no language has half the
 probability, go. lines: of each group of fuzzily equal lines one occurrence
 stays; documents that lose all they had go. near_duplicates: one document of each
-component stays. decontaminate: documents that hold a benchmark window go.
+component of Jaccard similarity 0.8 or more over shingles of five words stays. decontaminate: documents that hold a benchmark window go.
 encode: the tokens of what is left.
 """
 
@@ -32,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one_by_shingles(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

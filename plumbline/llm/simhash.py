@@ -13,12 +13,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, settle, small_batches, unnamed
+from plumbline.llm.common import components, release, settle, small_batches, unnamed
 
 _CASE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = 1 << 16  # shingles whose bits are counted at once
 
 
+def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct hashes of the text's word shingles, in ascending order: one of all words if there are fewer than width, none without words."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").translate(_CASE).split() if text else []
+    h = xxhash.xxh64_intdigest
+    found = {h(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1))} if words else ()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     """64-bit SimHash of the text's word shingles; bit b is set if over half the shingle hashes have it."""
     import xxhash
@@ -189,3 +199,78 @@ def keep_one(
     kept = sig.join(named, "fp").groupBy("root").agg(F.min(row).alias("x")).select("x._id", "x._hash")
     out = marked.join(kept, ["_id", "_hash"], "left_semi")
     return out.withColumn("_turn", F.expr("row_number() over (partition by _id, _hash order by _hash)")).where("_turn = 1").select(*docs.columns).toDF(*names)
+
+
+def _least_shared(size: int, similarity: float) -> int:
+    """Shingles that a set of `size` has in common at least with any that is similar enough."""
+    return int(np.ceil(similarity * size - 1e-9))
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, marked: DataFrame, text: str, width: int, seed: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes (cls, _id, _hash) whose Jaccard similarity over shingles is high enough; shingles are taken again, of candidates only."""
+    import pyarrow as pa
+
+    def again(batches):
+        for b in batches:
+            found = [shingles(t.as_py(), width, seed).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["cls", "s"])
+
+    pairs = settle(pairs.distinct())
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls")
+    sets = settle(marked.join(wanted, ["_id", "_hash"]).select("cls", text).mapInArrow(again, "cls long, s array<long>").dropDuplicates(["cls"]))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    out = settle(both.where(F.expr(f"n >= {similarity}D * (size(sa) + size(sb) - n) - 1e-9D")).select("a", "b"))
+    release(pairs)
+    release(sets)
+    return out
+
+
+def keep_one_by_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group that chains of pairs of at least this Jaccard similarity over word shingles make; the row is that of keep_one.
+
+    No pair is missed: of two such sets each has one of its size - least shared + 1
+    smallest hashes among those of the other. Groups are settled as among lines:
+    members against the least of their bucket, then only those still apart.
+    """
+    import pyarrow as pa
+
+    names = docs.columns
+    docs, key, text = unnamed(docs, key, text)
+    small_batches(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+    marked = docs.withColumns({"_id": F.coalesce(F.col(key).cast("string"), F.lit("\x00null")), "_hash": F.xxhash64(text)})
+
+    def signed(batches):
+        import xxhash
+
+        for b in batches:
+            found = [shingles(t.as_py(), width, seed) for t in b.column(3)]
+            cls = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in found], np.uint64).view(np.int64))
+            some = [s[: len(s) - _least_shared(len(s), similarity) + 1] if len(s) else s for s in found]
+            few = pa.array([x.view(np.int64) for x in some], pa.list_(pa.int64()))
+            sizes = pa.array([len(s) for s in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), cls, sizes, few], ["k", "_id", "_hash", "cls", "m", "few"])
+
+    rows = settle(marked.select(key, "_id", "_hash", text).mapInArrow(signed, f"k {kind}, _id string, _hash long, cls long, m int, few array<long>"))
+    row = F.struct(F.col("k").isNull().alias("no"), "k", "_hash", "_id")
+    classes = settle(rows.groupBy("cls").agg(F.min(row).alias("x")))
+    of = classes.select("cls", "x._id", "x._hash")
+    # Equal sets count once: the row that stands for them.
+    first = rows.join(of, ["cls", "_id", "_hash"], "left_semi").where("m > 0")
+    similar = lambda pairs: _similar(pairs, of, marked, text, width, seed, similarity)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = first.select("cls", "m", F.explode("few").alias("h")).repartition(n, "h").distinct()
+    buckets = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min("cls").alias("low")).where("n > 1")
+    many = settle(keyed.join(buckets.select("h", "low"), "h"))
+    roots = components(similar(many.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b"))))
+    placed = many.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    lead = placed.groupBy("h").agg(F.min(F.struct("cls", "root"))["root"].alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    placed = settle(placed.join(lead.where("r0 <> r1").select("h", "lead"), "h"))
+    met = placed.where("root <> lead").alias("u").join(placed.alias("v"), "h")
+    met = met.where(f"u.root <> v.root and least(u.m, v.m) >= {similarity}D * greatest(u.m, v.m) - 1e-9D")
+    more = similar(met.select(F.least("u.cls", "v.cls").alias("a"), F.greatest("u.cls", "v.cls").alias("b")))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    named = classes.join(roots, F.col("cls") == F.col("node"), "left").groupBy(F.coalesce("root", "cls")).agg(F.min("x").alias("x"))
+    kept = named.select("x._id", "x._hash")
+    out = marked.join(kept, ["_id", "_hash"], "left_semi")
+    return out.withColumn("_turn", F.expr("row_number() over (partition by _id, _hash order by _hash)")).where("_turn = 1").select(*docs.columns).toDF(*names)
