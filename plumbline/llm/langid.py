@@ -28,7 +28,7 @@ from plumbline.llm.common import small_batches
 MAX_PIECE = 12  # bytes
 MAX_WORD = 48  # bytes
 SAMPLE_BYTES = 2_000_000  # of text per language that the sample aims at
-SAMPLE_WORDS = 300_000  # distinct (language, word) counts that reach the driver at most
+SAMPLE_ROWS = 8  # of each language that are drawn at least, as far as it has so many
 CACHE_WORDS = 200_000  # scored words that a task's process keeps
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -133,16 +133,32 @@ def fit(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int =
 
 
 def sample_counts(labelled: DataFrame, text: str = "text", lang: str = "lang", by: Column | None = None, sample_bytes: int = SAMPLE_BYTES) -> dict:
-    """Word counts per language over a sample of labelled rows, drawn by hash `by`, of about sample_bytes of text a language."""
+    """Word counts per language over a sample of labelled rows, as language_counts draws it."""
+    return dict(language_counts(labelled, text, lang, by, sample_bytes))
+
+
+def language_counts(labelled: DataFrame, text: str = "text", lang: str = "lang", by: Column | None = None, sample_bytes: int = SAMPLE_BYTES):
+    """(language, word counts), a language at a time, over rows drawn by hash `by`: about sample_bytes of its text, and a few rows however long.
+
+    Each language has its own bound, in bytes, so none loses words to another. Of a row, sample_bytes characters count at most.
+    """
     import pyarrow as pa
 
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    totals = rows.groupBy(F.col(lang).alias("lang")).agg(F.sum(F.octet_length(text)).alias("n")).collect()
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    hashed = by if by is not None else F.xxhash64(text)
+    place = F.pmod(hashed, F.lit(1 << 20))
+    # The least place of each of several parts: drawing up to the largest of them takes a row of each part.
+    part = F.pmod(F.xxhash64(hashed), F.lit(SAMPLE_ROWS))
+    least = F.greatest(*[F.coalesce(F.min(F.when(part == i, place)), F.lit(0)) for i in range(SAMPLE_ROWS)])
+    totals = rows.groupBy(F.col(lang).alias("lang")).agg(F.sum(F.octet_length(text)).alias("n"), least.alias("least")).collect()
     if not totals:
-        return {}
-    share = F.coalesce(*[F.when(F.col(lang) == r["lang"], F.lit(min(1.0, sample_bytes / max(1, r["n"])))) for r in totals])
-    drawn = F.pmod(by if by is not None else F.xxhash64(text), F.lit(1 << 20)) < share * (1 << 20)
+        return
+    bounds = [(r["lang"], float(max(min(1.0, sample_bytes / max(1, r["n"])) * (1 << 20), r["least"] + 1))) for r in totals]
+    upto = F.coalesce(*[F.when(F.col(lang) == la, F.lit(x)) for la, x in bounds])
+    drawn = place < upto
+    # A word that the cut parts is left out.
+    cut = F.when(F.length(text) > sample_bytes, F.regexp_replace(F.substring(text, 1, sample_bytes), r"[\p{L}\p{M}]{1,48}$", "")).otherwise(F.col(text))
 
     def counted(batches):
         from collections import Counter
@@ -158,13 +174,18 @@ def sample_counts(labelled: DataFrame, text: str = "text", lang: str = "lang", b
             )
 
     found = (
-        rows.where(drawn).select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(counted, "lang string, word binary, n long")
-        .groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(SAMPLE_WORDS)
+        rows.where(drawn).select(F.col(lang).alias("lang"), cut.alias("text")).mapInArrow(counted, "lang string, word binary, n long")
+        .groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word")
     )
-    counts: dict = {r["lang"]: {} for r in totals}
+    now, counts = None, {}
     for r in found.toLocalIterator():
-        counts[r["lang"]][bytes(r["word"])] = r["n"]
-    return {k: v for k, v in counts.items() if v}
+        if r["lang"] != now:
+            if counts:
+                yield now, counts
+            now, counts = r["lang"], {}
+        counts[bytes(r["word"])] = r["n"]
+    if counts:
+        yield now, counts
 
 
 class Scorer:
@@ -248,9 +269,12 @@ def predict(docs: DataFrame, model: tuple, text: str = "text", keep: tuple[str,
 
 
 def train(labelled: DataFrame, vocabulary_path: str, text: str = "text", lang: str = "lang", by: Column | None = None) -> tuple:
-    pieces = vocabulary(vocabulary_path)
-    langs, prob = fit(sample_counts(labelled, text, lang, by), pieces)
-    return pieces, langs, prob
+    pieces, langs, prob = vocabulary(vocabulary_path), [], []
+    for la, counts in language_counts(labelled, text, lang, by):
+        langs.append(la)
+        prob.append(fit({la: counts}, pieces)[1])
+    order = sorted(range(len(langs)), key=langs.__getitem__)
+    return pieces, [langs[i] for i in order], np.concatenate([prob[i] for i in order], axis=1) if langs else np.zeros((len(pieces) + 1, 0))
 
 
 def held_out(key: str = "doc_id") -> Column:

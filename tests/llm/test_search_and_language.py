@@ -140,3 +140,16 @@ def test_bpe_notices_a_changed_second_read(spark):
     shaky = docs.withColumn("text", F.concat("text", F.udf(lambda: str(random.random()), "string").asNondeterministic()()))
     with pytest.raises(Exception):
         bpe.round_trip(shaky, queries.tokenizer_file("byte_bpe_50k.json")).collect()
+
+
+def test_langid_sample_keeps_every_language(spark):
+    """Many languages, one unspaced and one of few long documents: none is lost, and none loses words to the others."""
+    rows = [(f"a{i:02d}", " ".join(f"{chr(97 + i % 26)}{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}" for j in range(8000))) for i in range(40)]
+    unspaced = ["".join(chr(0x4E00 + (i * 977 + j * j * 31 + j) % 20000) for j in range(400)) for i in range(20)]
+    rows += [("zu", t) for t in unspaced] + [("zz", f"lang{chr(97 + i)} " * 400_000) for i in range(3)]
+    df = spark.createDataFrame([(i, la, t) for i, (la, t) in enumerate(rows)], "doc_id long, lang string, text string").repartition(4)
+    got = langid.sample_counts(df, by=F.xxhash64("doc_id"), sample_bytes=20_000)
+    full = langid.sample_counts(df, by=F.xxhash64("doc_id"))
+    assert set(got) == set(full) == {la for la, _ in rows}
+    assert all(len(full[f"a{i:02d}"]) == 8000 for i in range(40))
+    assert set(full["zu"]) == {w for t in unspaced for w in langid.words(t)} and len(got["zz"]) == 3
