@@ -1,9 +1,10 @@
 """op4, op6, op7: SQL-like brute force and odd inputs."""
 
-import hashlib
 import re
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import html_text, licenses, line_dedup
@@ -45,30 +46,42 @@ def test_licenses(spark):
 # ---- op6 --------------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(spark, rows):
-    """Texts after dedup, with fingerprints from the operator and everything else by hand."""
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    seen = {}
-    for r in line_dedup.lines(df).collect():
-        seen[tuple(r.nkey)] = r.fp & (2**64 - 1)
-    words = lambda s: [w for w in re.split(r"[\x00-/:-@\[-`{-\x7F\u00A0-\u00BF\u2000-\u206F\u3000-\u303F]+", s.lower()) if w]
-    digest = lambda s: hashlib.md5(" ".join(words(s)).encode()).hexdigest()
-    key = lambda s: (int(digest(s)[:15], 16), int(digest(s)[15:30], 16))
-    texts = {}
-    for _, t in rows:
-        for line in (t or "").split("\n"):
-            if words(line):
-                texts[key(line)] = words(line)
-
-    def edits(a, b):
-        prev = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            now = [i]
-            for j, y in enumerate(b, 1):
-                now.append(min(prev[j] + 1, now[-1] + 1, prev[j - 1] + (x != y)))
-            prev = now
-        return prev[-1]
+SEPARATORS = re.compile(r"[\x00-/:-@\[-`{-\x7F\u00A0-\u00BF\u2000-\u206F\u3000-\u303F]+")
+
+
+def line_words(line):
+    return tuple(w for w in SEPARATORS.split(line.lower()) if w)
+
+
+def word_edits(a, b):
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(prev[j] + 1, now[-1] + 1, prev[j - 1] + (x != y)))
+        prev = now
+    return prev[-1]
+
+
+def brute_simhash(words, seed):
+    own = set(words)
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed) for w in own]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(own))
+
+
+def brute_candidates(a, b):
+    """Two of five blocks of 64 * i // 5 bits agree and 12 bits differ at most, in one of two SimHashes."""
+    edges = [64 * i // 5 for i in range(6)]
+    for seed in (42, xxhash.xxh64_intdigest(struct.pack("<i", 1), 42)):
+        x = brute_simhash(a, seed) ^ brute_simhash(b, seed)
+        if x.bit_count() <= 12 and sum((x >> s) & ((1 << e - s) - 1) == 0 for s, e in zip(edges, edges[1:])) >= 2:
+            return True
+    return False
 
+
+def brute_lines(rows):
+    """Texts after dedup, all by hand."""
+    texts = list(dict.fromkeys(line_words(line) for _, t in rows for line in (t or "").split("\n") if line_words(line)))
     root = {k: k for k in texts}
 
     def find(k):
@@ -76,11 +89,10 @@ def brute_lines(spark, rows):
             k = root[k]
         return k
 
-    keys = list(texts)
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            longer = max(len(texts[a]), len(texts[b]))
-            if (seen[a] ^ seen[b]).bit_count() <= 3 and edits(texts[a], texts[b]) <= 0.2 * longer + 1e-9:
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            limit = 0.2 * max(len(a), len(b)) + 1e-9
+            if abs(len(a) - len(b)) <= limit and brute_candidates(a, b) and word_edits(a, b) <= limit:
                 root[find(a)] = find(b)
     kept, out = set(), []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -89,15 +101,48 @@ def brute_lines(spark, rows):
             continue
         lines = []
         for line in t.split("\n"):
-            if not words(line):
+            if not line_words(line):
                 lines.append(line)
-            elif find(key(line)) not in kept:
-                kept.add(find(key(line)))
+            elif find(line_words(line)) not in kept:
+                kept.add(find(line_words(line)))
                 lines.append(line)
         out.append((d, "\n".join(lines)))
     return out
 
 
+def test_line_fingerprints(spark):
+    rows = ["One", "a b", "a b c a b c", "É à la 漢字 — “x”", " ".join(f"w{i % 300}" for i in range(1000)), "x " * 500, " ".join(f"v{i}" for i in range(127)), " ".join(f"v{i}" for i in range(128))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in line_dedup.lines(df).collect():
+        w = line_words(rows[r.k])
+        assert r.len == len(w)
+        assert (r.fp0 & (2**64 - 1), r.fp1 & (2**64 - 1)) == (brute_simhash(w, 42), brute_simhash(w, xxhash.xxh64_intdigest(struct.pack("<i", 1), 42)))
+
+
+def test_line_edits_are_those_of_words(spark):
+    """Different words of a pair that share a character by hash don't count as equal: words are drawn until many do."""
+    import random
+
+    rng = random.Random(2)
+    made = [(i, " ".join(f"q{rng.randrange(10**7)}" for _ in range(300))) for i in range(3)]
+    pairs = []
+    for i, t in made:
+        w = t.split()
+        for n, edits in enumerate((50, 60, 61, 75)):
+            v = list(w)
+            for at in rng.sample(range(300), edits):
+                v[at] = f"z{rng.randrange(10**7)}"
+            pairs.append((i, 10 + 4 * i + n, edits, " ".join(v)))
+    rows = made + [(k, t) for _, k, _, t in pairs]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    occ = line_dedup.lines(df)
+    classes = occ.select("n1", "n2", F.struct("k", "th", "pos").alias("first"))
+    of = {r.k: (r.n1, r.n2) for r in occ.collect()}
+    asked = spark.createDataFrame([(of[a], of[b]) for a, b, _, _ in pairs], "a struct<n1:long,n2:long>, b struct<n1:long,n2:long>")
+    got = {tuple(r.b) for r in line_dedup._verified(asked, classes, df, "doc_id", "text", 0.8).collect()}
+    assert got == {of[b] for _, b, edits, _ in pairs if edits <= 60}
+
+
 def test_line_dedup_against_brute_force(spark):
     import random
 
@@ -121,7 +166,7 @@ def test_line_dedup_against_brute_force(spark):
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "***\nshort\nshort"), (104, "long " * 30_000)]
     df = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, _n int")
     got = {r.doc_id: r.text for r in line_dedup.dedup(df.repartition(4)).collect()}
-    assert got == dict(brute_lines(spark, rows))
+    assert got == dict(brute_lines(rows))
 
 
 def test_line_dedup_repeated_rows(spark):
@@ -149,19 +194,10 @@ def test_line_dedup_whole_reaches_the_similarity(spark):
             pool.append(w or b)
     pool.append(bases[-1][:10] + bases[-4][:40])
 
-    def edits(a, b):
-        prev = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            now = [i]
-            for j, y in enumerate(b, 1):
-                now.append(min(prev[j] + 1, now[-1] + 1, prev[j - 1] + (x != y)))
-            prev = now
-        return prev[-1]
-
     group = list(range(len(pool)))
     for i, a in enumerate(pool):
         for j in range(i):
-            if edits(a, pool[j]) <= 0.2 * max(len(a), len(pool[j])) + 1e-9 and group[i] != group[j]:
+            if word_edits(a, pool[j]) <= 0.2 * max(len(a), len(pool[j])) + 1e-9 and group[i] != group[j]:
                 group = [group[j] if g == group[i] else g for g in group]
     want = {i for i, g in enumerate(group) if g not in group[:i]}
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(pool)], "doc_id long, text string")
