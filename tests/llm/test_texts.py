@@ -63,20 +63,19 @@ def word_edits(a, b):
     return prev[-1]
 
 
-def brute_simhash(words, seed):
-    own = set(words)
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed) for w in own]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(own))
+def brute_simhash(words):
+    """Six blocks of 16 bits: bits j, j + 8, ... of the hash of a word for j = 2 b and 2 b + 1, modulo 8; blocks from the fifth on are of another hash."""
+    own, out = set(words), []
+    for b in range(6):
+        seed = 42 if b < 4 else xxhash.xxh64_intdigest(struct.pack("<i", 1), 42)
+        hashes = [xxhash.xxh64_intdigest(w.encode(), seed) for w in own]
+        out.append(tuple(2 * sum(h >> (8 * i + 2 * b % 8 + j) & 1 for h in hashes) > len(own) for j in range(2) for i in range(8)))
+    return out
 
 
 def brute_candidates(a, b):
-    """Two of five blocks of 64 * i // 5 bits agree and 12 bits differ at most, in one of two SimHashes."""
-    edges = [64 * i // 5 for i in range(6)]
-    for seed in (42, xxhash.xxh64_intdigest(struct.pack("<i", 1), 42)):
-        x = brute_simhash(a, seed) ^ brute_simhash(b, seed)
-        if x.bit_count() <= 12 and sum((x >> s) & ((1 << e - s) - 1) == 0 for s, e in zip(edges, edges[1:])) >= 2:
-            return True
-    return False
+    """Two of the six blocks agree."""
+    return sum(x == y for x, y in zip(brute_simhash(a), brute_simhash(b))) >= 2
 
 
 def brute_lines(rows):
@@ -115,8 +114,8 @@ def test_line_fingerprints(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     for r in line_dedup.lines(df).collect():
         w = line_words(rows[r.k])
-        assert r.len == len(w)
-        assert (r.fp0 & (2**64 - 1), r.fp1 & (2**64 - 1)) == (brute_simhash(w, 42), brute_simhash(w, xxhash.xxh64_intdigest(struct.pack("<i", 1), 42)))
+        blocks = [tuple(bool((r.fp0, r.fp1)[b // 4] >> (8 * i + 2 * (b % 4) + j) & 1) for j in range(2) for i in range(8)) for b in range(6)]
+        assert r.len == len(w) and blocks == brute_simhash(w)
 
 
 def test_line_edits_are_those_of_words(spark):
