@@ -10,7 +10,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import components, release, settle, small_batches, unnamed
@@ -19,16 +19,6 @@ _CASE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = 1 << 16  # shingles whose bits are counted at once
 
 
-def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
-    """Distinct hashes of the text's word shingles, in ascending order: one of all words if there are fewer than width, none without words."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").translate(_CASE).split() if text else []
-    h = xxhash.xxh64_intdigest
-    found = {h(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1))} if words else ()
-    return np.sort(np.fromiter(found, np.uint64, len(found)))
-
-
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     """64-bit SimHash of the text's word shingles; bit b is set if over half the shingle hashes have it."""
     import xxhash
@@ -46,8 +36,22 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(ends), _STEP):
         some = np.array([h(line[a:b], seed) for a, b in zip(starts[at : at + _STEP], ends[at : at + _STEP])], dtype="<u8")
-        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(ends), bitorder="little").view("<u8")[0])
+        ones += _ones(some)
+    return _over_half(ones, len(ends))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _over_half(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def _sum_of_bits(hashes: np.ndarray) -> int:
+    """The SimHash of a set of hashes."""
+    return _over_half(sum((_ones(hashes[at : at + _STEP]) for at in range(0, len(hashes), _STEP)), np.zeros(64, np.int64)), len(hashes))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -72,6 +76,23 @@ def block_keys(distance: int, blocks: int, bits: int = 64) -> list[list[tuple[in
     return [list(c) for c in combinations(parts, blocks - distance)]
 
 
+def _block_hashes(fp: Column, distance: int, blocks: int) -> list[Column]:
+    """A key per choice of blocks."""
+    bits = lambda at, w: F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << w) - 1)).cast("string")
+    return [F.xxhash64(F.lit(i), F.concat_ws("-", *[bits(at, w) for at, w in c])) for i, c in enumerate(block_keys(distance, blocks))]
+
+
+def blocks_for(n: int, distance: int) -> int:
+    """The fewest blocks whose keys have two bits more than it takes to number n fingerprints, so that unrelated ones rarely meet.
+
+    The pairs found are the same with any number of blocks; the number of keys a fingerprint grows with it.
+    """
+    blocks = distance + 2
+    while blocks < 2 * distance + 2 and 64 * (blocks - distance) // blocks < n.bit_length() + 2:
+        blocks += 1
+    return blocks
+
+
 def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of fingerprints at most `distance` bits apart; every pair is looked at."""
     n = len(fps)
@@ -86,7 +107,7 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, distance: int = 4, blocks: int = 6, limit: int = 8192) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, limit: int = 8192) -> DataFrame:
     """(a, b): links among the distinct fingerprints `fp` that join exactly those which chains of close pairs join.
 
     Buckets of up to `limit` fingerprints: all pairs within, of which a spanning
@@ -96,12 +117,9 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 6, limit: int = 8192)
     """
     import pandas as pd
 
-    choices = block_keys(distance, blocks)
-    parts = [
-        F.struct(F.lit(i).alias("c"), F.concat_ws("-", *[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).cast("string") for s, w in c]).alias("v"))
-        for i, c in enumerate(choices)
-    ]
-    keyed = fps.select("fp", F.explode(F.array(*[F.xxhash64(p["c"], p["v"]) for p in parts])).alias("key"))
+    if blocks is None:
+        blocks = blocks_for(fps.count(), distance)
+    keyed = fps.select("fp", F.explode(F.array(*_block_hashes(F.col("fp"), distance, blocks))).alias("key"))
     sizes = keyed.groupBy("key").count().where("count > 1")
     hot = settle(sizes.where(F.col("count") > limit).select("key"))
     any_hot = bool(hot.head(1))
@@ -167,7 +185,7 @@ def _meet(fps: DataFrame, distance: int) -> DataFrame:
     return links.where(F.expr(f"bit_count(a ^ b) <= {distance}")) if distance % 2 else links
 
 
-def _classes(sig: DataFrame, distance: int, blocks: int, limit: int) -> DataFrame:
+def _classes(sig: DataFrame, distance: int, blocks: int | None, limit: int) -> DataFrame:
     """(fp, root, component_id) of all distinct fingerprints of sig (k, fp)."""
     fps = settle(sig.groupBy("fp").agg(F.min("k").alias("rep")))
     roots = components(links(fps.select("fp"), distance, blocks, limit))
@@ -177,7 +195,7 @@ def _classes(sig: DataFrame, distance: int, blocks: int, limit: int) -> DataFram
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6, limit: int = 8192
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int | None = None, limit: int = 8192
 ) -> DataFrame:
     """key, fp, component_id (the smallest key that chains of close fingerprints reach), one row per input row."""
     sig = settle(fingerprints(docs, key, text, width, seed))
@@ -186,7 +204,7 @@ def near_duplicates(
 
 
 def keep_one(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6, limit: int = 8192
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int | None = None, limit: int = 8192
 ) -> DataFrame:
     """docs with one row of each component: that with the smallest key (null keys last, equal keys by hash of the text, equal rows once)."""
     names = docs.columns
@@ -201,36 +219,90 @@ def keep_one(
     return out.withColumn("_turn", F.expr("row_number() over (partition by _id, _hash order by _hash)")).where("_turn = 1").select(*docs.columns).toDF(*names)
 
 
-def _least_shared(size: int, similarity: float) -> int:
-    """Shingles that a set of `size` has in common at least with any that is similar enough."""
-    return int(np.ceil(similarity * size - 1e-9))
+BANDS, BAND_ROWS = 20, 5  # MinHash bands of a document, and minima in each: of pairs of similarity 0.8, 1 - (1 - 0.8 ** 5) ** 20 = 0.9997 share one
+#: Documents up to which a list of them is broadcast, at about 50 bytes each; beyond, a sort-merge join.
+BROADCAST_ROWS = 500_000
+
+
+class _Words(dict):
+    """word -> 64-bit hash, kept while there are not too many."""
+
+    def __init__(self, seed: int):
+        import xxhash
+
+        self.seed, self.hash = seed, xxhash.xxh64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        h = self[word] = self.hash(word, self.seed)
+        return h
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads each of them over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _similar(pairs: DataFrame, classes: DataFrame, marked: DataFrame, text: str, width: int, seed: int, similarity: float) -> DataFrame:
+
+def shingles(text: str | None, width: int = 5, of: _Words | None = None) -> np.ndarray:
+    """Distinct hashes of the text's word shingles, in ascending order: one of all words if there are fewer than width, none without words."""
+    words = text.encode("utf-8", "surrogatepass").translate(_CASE).split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map((of if of is not None else _Words(42)).__getitem__, words), np.uint64, len(words))
+    n = min(width, len(words))
+    out = np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        out = _mixed(out ^ h[k : k + len(out)]) + np.uint64(k)
+    return np.unique(out)
+
+
+def bands(shingle_hashes: np.ndarray, count: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """A key per band: equal in two sets if the minima of `rows` permutations are, so with probability similarity ** rows."""
+    at = _mixed(np.arange(1, 2 * count * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    least = np.array([((shingle_hashes ^ x) * (y | np.uint64(1))).min() for x, y in zip(at[::2], at[1::2])], np.uint64).reshape(count, rows)
+    out = np.arange(count, dtype=np.uint64)
+    for k in range(rows):
+        out = _mixed(out ^ least[:, k])
+    return out
+
+
+def _similar(pairs: DataFrame, of: DataFrame, marked: DataFrame, text: str, width: int, seed: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes (cls, _id, _hash) whose Jaccard similarity over shingles is high enough; shingles are taken again, of candidates only."""
     import pyarrow as pa
 
     def again(batches):
+        known = _Words(seed)
         for b in batches:
-            found = [shingles(t.as_py(), width, seed).view(np.int64) for t in b.column(1)]
+            found = [shingles(t.as_py(), width, known).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["cls", "s"])
 
     pairs = settle(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls")
-    sets = settle(marked.join(wanted, ["_id", "_hash"]).select("cls", text).mapInArrow(again, "cls long, s array<long>").dropDuplicates(["cls"]))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    wanted = settle(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(of, "cls"))
+    n = wanted.count()
+    if not n:
+        return pairs
+    found = marked.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, ["_id", "_hash"])
+    sets = settle(found.select("cls", text).mapInArrow(again, "cls long, s array<long>").dropDuplicates(["cls"]))
+    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").withColumn("n", F.size(F.array_intersect("sa", "sb")))
     out = settle(both.where(F.expr(f"n >= {similarity}D * (size(sa) + size(sb) - n) - 1e-9D")).select("a", "b"))
-    release(pairs)
-    release(sets)
+    for x in (pairs, wanted, sets):
+        release(x)
     return out
 
 
-def keep_one_by_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, similarity: float = 0.8) -> DataFrame:
+def keep_one_by_shingles(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, similarity: float = 0.8, distance: int = 4, blocks: int = 6
+) -> DataFrame:
     """docs with one row of each group that chains of pairs of at least this Jaccard similarity over word shingles make; the row is that of keep_one.
 
-    No pair is missed: of two such sets each has one of its size - least shared + 1
-    smallest hashes among those of the other. Groups are settled as among lines:
-    members against the least of their bucket, then only those still apart.
+    Documents with equal sets of shingles count once. Candidates share a choice of
+    pigeonhole blocks of their SimHashes, at most `distance` bits apart, or a
+    MinHash band: a SimHash of 64 bits differs in about 10 bits at a similarity of
+    0.8, more than blocks can find. The sets decide. A bucket is held against its
+    first member, and its pairs one by one only where that leaves it apart.
     """
     import pyarrow as pa
 
@@ -243,34 +315,39 @@ def keep_one_by_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text
     def signed(batches):
         import xxhash
 
+        known = _Words(seed)
         for b in batches:
-            found = [shingles(t.as_py(), width, seed) for t in b.column(3)]
-            cls = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in found], np.uint64).view(np.int64))
-            some = [s[: len(s) - _least_shared(len(s), similarity) + 1] if len(s) else s for s in found]
-            few = pa.array([x.view(np.int64) for x in some], pa.list_(pa.int64()))
+            found = [shingles(t.as_py(), width, known) for t in b.column(3)]
+            cls = [xxhash.xxh64_intdigest(s.tobytes(), seed) for s in found]
+            fps = [_sum_of_bits(s) for s in found]
+            keys = pa.array([bands(s).view(np.int64) if len(s) else [] for s in found], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), cls, sizes, few], ["k", "_id", "_hash", "cls", "m", "few"])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, fps)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *longs, sizes, keys], ["k", "_id", "_hash", "cls", "fp", "m", "keys"])
 
-    rows = settle(marked.select(key, "_id", "_hash", text).mapInArrow(signed, f"k {kind}, _id string, _hash long, cls long, m int, few array<long>"))
+    rows = settle(marked.select(key, "_id", "_hash", text).mapInArrow(signed, f"k {kind}, _id string, _hash long, cls long, fp long, m int, keys array<long>"))
     row = F.struct(F.col("k").isNull().alias("no"), "k", "_hash", "_id")
-    classes = settle(rows.groupBy("cls").agg(F.min(row).alias("x")))
+    classes = settle(rows.groupBy("cls").agg(F.min(row).alias("x"), F.max("m").alias("m"), F.max("fp").alias("fp"), F.max("keys").alias("keys")))
+    release(rows)
     of = classes.select("cls", "x._id", "x._hash")
-    # Equal sets count once: the row that stands for them.
-    first = rows.join(of, ["cls", "_id", "_hash"], "left_semi").where("m > 0")
     similar = lambda pairs: _similar(pairs, of, marked, text, width, seed, similarity)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = first.select("cls", "m", F.explode("few").alias("h")).repartition(n, "h").distinct()
-    buckets = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min("cls").alias("low")).where("n > 1")
-    many = settle(keyed.join(buckets.select("h", "low"), "h"))
-    roots = components(similar(many.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b"))))
-    placed = many.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    lead = placed.groupBy("h").agg(F.min(F.struct("cls", "root"))["root"].alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    placed = settle(placed.join(lead.where("r0 <> r1").select("h", "lead"), "h"))
-    met = placed.where("root <> lead").alias("u").join(placed.alias("v"), "h")
-    met = met.where(f"u.root <> v.root and least(u.m, v.m) >= {similarity}D * greatest(u.m, v.m) - 1e-9D")
-    more = similar(met.select(F.least("u.cls", "v.cls").alias("a"), F.greatest("u.cls", "v.cls").alias("b")))
+    far = F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(64).alias("reach")))
+    close = F.array(*[F.struct(k.alias("key"), F.lit(distance).alias("reach")) for k in _block_hashes(F.col("fp"), distance, blocks)])
+    dealt = classes.where("m > 0").select("cls", "m", "fp", F.explode(F.concat(far, close)).alias("x")).select("x.key", "x.reach", "cls", "m", "fp")
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("cls", "m", "fp")).alias("l")).where("n > 1")
+    members = settle(dealt.join(shared, "key"))
+    fits = f"{{a}}.cls <> b.cls and least({{a}}.m, b.m) >= {similarity}D * greatest({{a}}.m, b.m) - 1e-9D and bit_count({{a}}.fp ^ b.fp) <= b.reach"
+    led = members.alias("b").where(fits.format(a="b.l"))
+    roots = components(similar(led.select(F.col("b.l.cls").alias("a"), F.col("b.cls").alias("b"))))
+    placed = members.where("n > 2").drop("l").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    apart = settle(placed.join(mixed, "key"))
+    met = apart.alias("a").join(apart.alias("b"), "key").where(fits.format(a="a") + " and a.cls < b.cls and a.root <> b.root")
+    more = similar(met.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").groupBy(F.coalesce("root", "cls")).agg(F.min("x").alias("x"))
-    kept = named.select("x._id", "x._hash")
+    kept = settle(named.select("x._id", "x._hash"))
+    for x in (members, apart, classes):
+        release(x)
     out = marked.join(kept, ["_id", "_hash"], "left_semi")
     return out.withColumn("_turn", F.expr("row_number() over (partition by _id, _hash order by _hash)")).where("_turn = 1").select(*docs.columns).toDF(*names)
