@@ -1,16 +1,19 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
 Coarse centroids and residual codebooks are fitted on a bounded sample
-(SAMPLE vectors), and so is the number of cells to probe: the fewest that hold
-TARGET_RECALL of the true neighbours, within the sample, of TRIALS of its
-vectors. Every vector is indexed: its cell, its code, and the vector
-itself for the rerank. A query probes its nearest cells; in each part of a cell
-asymmetric distance tables rank the codes, the best RERANK are measured exactly.
-
-Equal vectors: of each set only the `k + 1` smallest ids are indexed, as no
+(SAMPLE vectors). So are two numbers, on the true neighbours, within the sample,
+of TRIALS of its vectors: the cells to probe, the fewest that hold TARGET_RECALL
+of them, and the rows of a cell to measure exactly, the fewest among which the
+asymmetric distance tables rank TARGET_RANKED of them. Every vector is indexed:
+its cell, its code, and the vector itself for the rerank. A query probes its
+nearest cells; in each part of a cell the tables rank the codes, and the best are
+measured exactly.
+
+Equal vectors: of each set only the first `k + 1` rows by id are indexed, as no
 others can be among anyone's k nearest (ties go to the smaller id). Equal query
-vectors are searched once. Cells are cut into parts of about PART_ROWS rows.
-Vectors that are null, all zeros, of another length than most, or hold null or
+vectors are searched once. An id may stand on several rows: each is a candidate
+and, if asked for, a query of its own, and leaves out one row, itself. Cells are
+cut into parts of about PART_ROWS rows. Vectors that are null, all zeros, of another length than most, or hold null or
 non-finite components take no part. A null id takes no part. An empty table
 gives an empty result.
 """
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 MAX_CELLS = 4096
 PART_ROWS = 20_000
-RERANK = 192
-TARGET_RECALL, TRIALS = 0.97, 400  # share of true neighbours in the probed cells, and the sample vectors that it is measured on
+TARGET_RECALL, TARGET_RANKED, TRIALS = 0.97, 0.99, 400
+BLOCK = 1 << 22  # numbers in a matrix of distances
 SUBSPACES, CODES = 16, 256
 
 
@@ -45,14 +48,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray
         return distinct
     c = distinct[rng.choice(len(distinct), k, replace=False)].astype(np.float64)
     for _ in range(rounds):
-        d = distances(x, c)
-        own = d.argmin(axis=1)
+        own, far = nearest_of(x, c)
         n = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         c[n > 0] = sums[n > 0] / n[n > 0, None]
         if (empty := np.flatnonzero(n == 0)).size:
-            c[empty] = x[np.argsort(-d[np.arange(len(x)), own], kind="stable")[: empty.size]]
+            c[empty] = x[np.argsort(-far, kind="stable")[: empty.size]]
     return c
 
 
@@ -61,6 +63,16 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0)
 
 
+def nearest_of(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of c to each row of x, and its squared distance; a bounded matrix at a time."""
+    step, own, far = max(1, BLOCK // len(c)), np.empty(len(x), np.int64), np.empty(len(x))
+    for at in range(0, len(x), step):
+        d = distances(x[at : at + step], c)
+        own[at : at + step] = d.argmin(axis=1)
+        far[at : at + step] = d.min(axis=1)
+    return own, far
+
+
 class Model:
     def __init__(self, sample: np.ndarray, total: int):
         sample = sample.astype(np.float64)
@@ -69,35 +81,46 @@ class Model:
         dim = sample.shape[1]
         m = min(SUBSPACES, dim)
         self.edges = [dim * i // m for i in range(m + 1)]
-        residual = sample - self.centroids[distances(sample, self.centroids).argmin(axis=1)]
+        own = self.cells(sample)
+        residual = sample - self.centroids[own]
         self.books = [kmeans(residual[:, a:b], CODES, rounds=6) for a, b in zip(self.edges, self.edges[1:])]
+        self.probes, self.exact = self._tried(sample, own, max(1.0, total / len(sample)))
 
-        self.probes = self._probes(sample)
-
-    def _probes(self, sample: np.ndarray, k: int = 10) -> int:
+    def _tried(self, sample: np.ndarray, own: np.ndarray, times: float, k: int = 10) -> tuple[int, int]:
+        """Cells to probe, and rows of a cell to measure; the table has `times` the rows of the sample."""
+        codes, order = self.encode(sample, own), np.argsort(own, kind="stable")
+        starts = np.searchsorted(own[order], np.arange(len(self.centroids) + 1))
         asked = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)
-        own, needed = self.cells(sample), []
-        for i in range(0, len(asked), 50):
-            some = asked[i : i + 50]
+        step, needed, placed = max(1, BLOCK // len(sample)), [], []
+        for i in range(0, len(asked), step):
+            some = asked[i : i + step]
             d = distances(sample[some], sample)
             d[np.arange(len(some)), some] = np.inf
             near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
             rank = distances(sample[some], self.centroids).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
             needed.append(np.take_along_axis(rank, own[near], axis=1).ravel())
-        needed = np.sort(np.concatenate(needed)) if needed else np.zeros(1, int)
-        return int(needed[min(len(needed) - 1, math.ceil(TARGET_RECALL * len(needed)))]) + 1 if len(needed) else 1
+            for q, found in zip(some, near):
+                for cell in np.unique(own[found]):
+                    rows = order[starts[cell] : starts[cell + 1]]
+                    approx = self.approximate(sample[q : q + 1], cell, codes[rows])[0]
+                    place = np.argsort(np.argsort(approx, kind="stable"), kind="stable")
+                    placed.append(place[np.isin(rows, found)])
+        at = lambda parts, share: int(np.quantile(np.concatenate(parts), share, method="higher")) if parts and sum(map(len, parts)) else 0
+        return at(needed, TARGET_RECALL) + 1, max(k + 1, math.ceil((at(placed, TARGET_RANKED) + 1) * times))
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return distances(x, self.centroids).argmin(axis=1)
+        return nearest_of(x, self.centroids)[0]
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         r = x - self.centroids[cell]
-        return np.stack([distances(r[:, a:b], book).argmin(axis=1) for a, b, book in zip(self.edges, self.edges[1:], self.books)], axis=1).astype(np.uint8)
+        return np.stack([nearest_of(r[:, a:b], book)[0] for a, b, book in zip(self.edges, self.edges[1:], self.books)], axis=1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray, cell: int) -> list[np.ndarray]:
-        """Per subspace: squared distances of the queries' residuals to each code."""
-        r = q - self.centroids[cell]
-        return [distances(r[:, a:b], book) for a, b, book in zip(self.edges, self.edges[1:], self.books)]
+    def approximate(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """[query, row]: sums of squared distances from the queries' residuals to the rows' codes, looked up in tables of each subspace."""
+        r, out = q - self.centroids[cell], np.zeros((len(q), len(codes)))
+        for s, (a, b, book) in enumerate(zip(self.edges, self.edges[1:], self.books)):
+            out += distances(r[:, a:b], book)[:, codes[:, s]]
+        return out
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Model | None, int]:
@@ -126,9 +149,12 @@ def search(
     k: int = 10,
     model: tuple[Model, int] | None = None,
     probes: int | None = None,
-    rerank: int = RERANK,
+    exact: int | None = None,
 ) -> DataFrame:
-    """query_id, rank, id, score (Euclidean distance) of each query's k nearest found, its own row aside."""
+    """query_id, rank, id, score (Euclidean distance) of each query's k nearest found, its own row aside.
+
+    exact: rows of each probed part that are measured, if not as many as the model says.
+    """
     import pyarrow as pa
 
     from plumbline.llm.common import settle
@@ -143,7 +169,7 @@ def search(
     rows = rows.where(F.size("v") == dims["d"])
     model, total = model or fit(rows)
 
-    # Of equal vectors the k + 1 smallest ids; the rank filter runs before the shuffle too.
+    # Of equal vectors the first k + 1 by id; the rank filter runs before the shuffle too.
     few = rows.withColumn("r", F.expr("row_number() over (partition by v order by id)")).where(f"r <= {k + 1}").select("id", "v")
     shipped = spark.sparkContext.broadcast(model)
 
@@ -164,9 +190,10 @@ def search(
     sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # at most MAX_CELLS rows
     count = np.array([sizes.get(c, 0) for c in range(len(model.centroids))])
     parts = spark.sparkContext.broadcast((count, np.maximum(1, -(-count // PART_ROWS))))
-    probes = min(len(count), probes or model.probes)
+    probes, exact = min(len(count), probes or model.probes), max(k + 1, exact or model.exact)
 
-    asked = settle(rows.where("q").groupBy("v").agg(F.min("id").alias("qk")))
+    # A number for each distinct query vector, fixed as it is written.
+    asked = settle(rows.where("q").select("v").distinct().withColumn("qk", F.monotonically_increasing_id()))
 
     def probed(batches):
         """(cell, part, qk, vec): the nearest cells of each query, more where these hold few rows."""
@@ -176,8 +203,9 @@ def search(
             if not len(x):
                 continue
             out = [[], [], [], []]
-            order = np.argsort(distances(x, m.centroids), axis=1, kind="stable")
-            for i, near in enumerate(order):
+            step = max(1, BLOCK // len(m.centroids))
+            orders = (np.argsort(distances(x[at : at + step], m.centroids), axis=1, kind="stable") for at in range(0, len(x), step))
+            for i, near in enumerate(near for order in orders for near in order):
                 enough = int(np.searchsorted(np.cumsum(size[near]), 4 * (k + 1))) + 1
                 for c in near[: max(probes, enough)]:
                     for p in range(pieces[c] if size[c] else 0):
@@ -187,16 +215,22 @@ def search(
                         out[3].append(x[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["cell", "part", "id", "vec"])
 
+    queries = settle(asked.select("v", "qk").mapInArrow(probed, "cell int, part int, id long, vec binary"))
+    met = {r["cell"] for r in queries.select("cell").distinct().collect()}  # at most MAX_CELLS
+
     def cut(batches):
+        """The rows of cells that a query probes, by parts."""
         size, pieces = parts.value
+        wanted = np.zeros(len(size), bool)
+        wanted[list(met)] = True
         for b in batches:
+            b = b.filter(pa.array(wanted[b.column(1).to_numpy()]))
             cell = b.column(1).to_numpy()
             ids = b.column(0).to_numpy()
             part = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % pieces[cell].astype(np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(part.astype(np.int32)), b.column(0), b.column(2), b.column(3)], ["cell", "part", "id", "code", "vec"])
 
     held = index.mapInArrow(cut, "cell int, part int, id long, code binary, vec binary").select("cell", "part", F.lit(0).alias("kind"), "id", "code", "vec")
-    queries = asked.select("v", "qk").mapInArrow(probed, "cell int, part int, id long, vec binary")
     queries = queries.select("cell", "part", F.lit(1).alias("kind"), "id", F.lit(None).cast("binary").alias("code"), "vec")
 
     def nearest(batches):
@@ -207,12 +241,11 @@ def search(
         def ask(cell, q_ids, q):
             if isinstance(ids, list) and not ids:
                 return
-            tables = m.tables(q, cell)
-            approx = np.zeros((len(q), len(ids_a)))
-            for s, t in enumerate(tables):
-                approx += t[:, codes_a[:, s]]
-            take = min(rerank, len(ids_a))
-            best = np.argpartition(approx, take - 1, axis=1)[:, :take] if take < len(ids_a) else np.tile(np.arange(len(ids_a)), (len(q), 1))
+            take = min(exact, len(ids_a))
+            if take < len(ids_a):
+                best = np.argpartition(m.approximate(q, cell, codes_a), take - 1, axis=1)[:, :take]
+            else:
+                best = np.tile(np.arange(len(ids_a)), (len(q), 1))
             for i, b in enumerate(best):
                 d = np.sqrt(((vecs_a[b] - q[i]) ** 2).sum(axis=1))
                 o = np.lexsort((ids_a[b], d))[: k + 1]
@@ -249,6 +282,8 @@ def search(
     # Back to every query with that vector.
     answers = asked.join(lists, "qk").select("v", "near")
     each = rows.where("q").select("id", "v").join(answers, "v")
-    own = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
-    each = each.select(F.col("id").alias("query_id"), "near").select("query_id", F.posexplode(own).alias("p", "x"))
+    # One row at distance 0 with the query's id is the query's own; where k others come before it, it isn't in the list.
+    own = F.array_position(F.transform("near", lambda x: (x["id"] == F.col("id")) & (x["score"] == 0)), True)
+    others = F.when(own == 0, F.col("near")).otherwise(F.concat(F.slice("near", F.lit(1), own - 1), F.slice("near", own + 1, F.lit(k + 1))))
+    each = each.select(F.col("id").alias("query_id"), F.slice(others, 1, k).alias("near")).select("query_id", F.posexplode("near").alias("p", "x"))
     return each.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias(key), F.col("x.score").alias("score"))

@@ -7,8 +7,9 @@ is expectation-maximisation over word counts of a bounded sample of labelled
 documents. Scoring ships the model (vocabulary x languages numbers, a fixed
 size) to the tasks; documents are not shuffled.
 
-Words are runs of letters, lower-cased; longer words than MAX_WORD bytes are
-cut into pieces of that many bytes. Text that is null, empty or without letters:
+Words are runs of letters, lower-cased, however long: a run of an unspaced script
+is scored whole, by a forward pass that is scaled as it goes. Only in training are
+words longer than MAX_WORD bytes cut, between characters. Text that is null, empty or without letters:
 `und`, score 0. Score: the probability of the predicted language among the
 learned ones, all equally likely beforehand. Ties go to the language that sorts
 first. With nothing to learn from, every text is `und`. Repeated rows are judged
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import small_batches
 
 MAX_PIECE = 12  # bytes
-MAX_WORD = 48  # bytes
+MAX_WORD = 48  # bytes of a word in training; longer ones are cut, and when scoring, scored apart and not kept
 SAMPLE_BYTES = 2_000_000  # of text per language that the sample aims at
 SAMPLE_ROWS = 8  # of each language that are drawn at least, as far as it has so many
 CACHE_WORDS = 200_000  # scored words that a task's process keeps
@@ -34,14 +35,19 @@ _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words(text: str | None) -> list[bytes]:
-    out = []
-    for w in _LETTERS.findall(text.lower()) if text else ():
-        b = w.encode("utf-8", "surrogatepass")
-        if len(b) <= MAX_WORD:
-            out.append(b)
-        else:
-            out += [b[i : i + MAX_WORD] for i in range(0, len(b), MAX_WORD)]
-    return out
+    return [w.encode("utf-8", "surrogatepass") for w in _LETTERS.findall(text.lower())] if text else []
+
+
+def cut(word: bytes) -> list[bytes]:
+    """The word in parts of at most MAX_WORD bytes, cut between characters."""
+    out, at = [], 0
+    while len(word) - at > MAX_WORD:
+        end = at + MAX_WORD
+        while word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return [*out, word[at:]]
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -90,6 +96,35 @@ def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_forward(lattice: Lattice, batch: list[bytes], prob: np.ndarray) -> np.ndarray:
+    """[word, language]: log-probability of words of any length, over all segmentations.
+
+    The words are padded to one length with a byte that no longer piece has. Only a
+    window of alphas is held; it is scaled every few bytes, so nothing underflows.
+    """
+    m, lens = lattice.longest, np.array([len(w) for w in batch])
+    n = int(lens.max())
+    padded = [w + b"\xff" * (n + m - len(w)) for w in batch]
+    window = np.zeros((len(batch), m + 1, prob.shape[1]))  # alpha of position p stands at p % (m + 1)
+    window[:, 0] = 1
+    scale, out = np.zeros((len(batch), prob.shape[1])), np.full((len(batch), prob.shape[1]), -np.inf)
+    get = lattice.id.get
+    for at in range(n + 1):
+        slot = at % (m + 1)
+        if (done := lens == at).any():
+            with np.errstate(divide="ignore"):
+                out[done] = np.log(window[done, slot]) + scale[done]
+        now = window[:, slot].copy()
+        window[:, slot] = 0
+        ids = np.array([[get(w[at : at + k], -1) for k in range(1, m + 1)] for w in padded], np.int32)
+        window[:, [(at + k) % (m + 1) for k in range(1, m + 1)]] += now[:, None] * prob[ids]
+        if at % 8 == 7:
+            top = np.maximum(window.max(axis=1), 1e-300)
+            window /= top[:, None]
+            scale += np.log(top)
+    return out
+
+
 def _backward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
     w, n, m = ids.shape
     beta = np.zeros((w, n + 1))
@@ -108,7 +143,8 @@ def fit(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int =
         batches = []
         by: dict[int, list] = {}
         for w, n in counts[lang].items():
-            by.setdefault(len(w), []).append((w, n))
+            for part in cut(w):
+                by.setdefault(len(part), []).append((part, n))
         for group in by.values():
             for at in range(0, len(group), 20_000):
                 some = group[at : at + 20_000]
@@ -134,11 +170,17 @@ def fit(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int =
 
 def sample_counts(labelled: DataFrame, text: str = "text", lang: str = "lang", by: Column | None = None, sample_bytes: int = SAMPLE_BYTES) -> dict:
     """Word counts per language over a sample of labelled rows, as language_counts draws it."""
-    return dict(language_counts(labelled, text, lang, by, sample_bytes))
+    out: dict = {}
+    found = language_counts(labelled, text, lang, by, sample_bytes)
+    for r in found.collect() if found is not None else ():
+        out.setdefault(r["lang"], {})[bytes(r["word"])] = r["n"]
+    return out
 
 
-def language_counts(labelled: DataFrame, text: str = "text", lang: str = "lang", by: Column | None = None, sample_bytes: int = SAMPLE_BYTES):
-    """(language, word counts), a language at a time, over rows drawn by hash `by`: about sample_bytes of its text, and a few rows however long.
+def language_counts(
+    labelled: DataFrame, text: str = "text", lang: str = "lang", by: Column | None = None, sample_bytes: int = SAMPLE_BYTES
+) -> DataFrame | None:
+    """(lang, word, n) over rows drawn by hash `by`: of each language about sample_bytes of text, and a few rows however long; None without any.
 
     Each language has its own bound, in bytes, so none loses words to another. Of a row, sample_bytes characters count at most.
     """
@@ -153,12 +195,12 @@ def language_counts(labelled: DataFrame, text: str = "text", lang: str = "lang",
     least = F.greatest(*[F.coalesce(F.min(F.when(part == i, place)), F.lit(0)) for i in range(SAMPLE_ROWS)])
     totals = rows.groupBy(F.col(lang).alias("lang")).agg(F.sum(F.octet_length(text)).alias("n"), least.alias("least")).collect()
     if not totals:
-        return
+        return None
     bounds = [(r["lang"], float(max(min(1.0, sample_bytes / max(1, r["n"])) * (1 << 20), r["least"] + 1))) for r in totals]
     upto = F.coalesce(*[F.when(F.col(lang) == la, F.lit(x)) for la, x in bounds])
     drawn = place < upto
     # A word that the cut parts is left out.
-    cut = F.when(F.length(text) > sample_bytes, F.regexp_replace(F.substring(text, 1, sample_bytes), r"[\p{L}\p{M}]{1,48}$", "")).otherwise(F.col(text))
+    clipped = F.when(F.length(text) > sample_bytes, F.regexp_replace(F.substring(text, 1, sample_bytes), r"[\p{L}\p{M}]{1,48}$", "")).otherwise(F.col(text))
 
     def counted(batches):
         from collections import Counter
@@ -173,19 +215,7 @@ def language_counts(labelled: DataFrame, text: str = "text", lang: str = "lang",
                 ["lang", "word", "n"],
             )
 
-    found = (
-        rows.where(drawn).select(F.col(lang).alias("lang"), cut.alias("text")).mapInArrow(counted, "lang string, word binary, n long")
-        .groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word")
-    )
-    now, counts = None, {}
-    for r in found.toLocalIterator():
-        if r["lang"] != now:
-            if counts:
-                yield now, counts
-            now, counts = r["lang"], {}
-        counts[bytes(r["word"])] = r["n"]
-    if counts:
-        yield now, counts
+    return rows.where(drawn).select(F.col(lang).alias("lang"), clipped.alias("text")).mapInArrow(counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 class Scorer:
@@ -213,6 +243,18 @@ class Scorer:
                 self.rows[first : first + len(some)] = score
                 self.at.update((w, first + j) for j, w in enumerate(some))
 
+    def long(self, new: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Scores of words that are not kept, words of like lengths together."""
+        new, out = sorted(new, key=len), {}
+        at = 0
+        while at < len(new):
+            to = at + 1
+            while to < len(new) and to - at < 256 and len(new[to]) <= 1.25 * len(new[at]):
+                to += 1
+            out |= dict(zip(new[at:to], log_forward(self.lattice, new[at:to], self.prob)))
+            at = to
+        return out
+
     def totals(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(log-probability sums[text, language], number of words)."""
         lists = [words(t) for t in texts]
@@ -220,12 +262,16 @@ class Scorer:
             self.clear()
         at = self.at
         new = {w for x in lists for w in x if w not in at}
-        if new:
-            self.learn(sorted(new))
+        apart = self.long([w for w in new if len(w) > MAX_WORD])
+        if len(new) > len(apart):
+            self.learn(sorted(new - apart.keys()))
         out = np.zeros((len(texts), len(self.langs)))
         for i, x in enumerate(lists):
+            if apart and (far := [apart[w] for w in x if w in apart]):
+                out[i] = np.sum(far, axis=0)
+                x = [w for w in x if w not in apart]
             if x:
-                out[i] = self.rows[np.fromiter(map(at.__getitem__, x), np.int64, len(x))].sum(axis=0, dtype=np.float64)
+                out[i] += self.rows[np.fromiter(map(at.__getitem__, x), np.int64, len(x))].sum(axis=0, dtype=np.float64)
         return out, np.array([len(x) for x in lists], np.int64)
 
 
@@ -269,12 +315,22 @@ def predict(docs: DataFrame, model: tuple, text: str = "text", keep: tuple[str,
 
 
 def train(labelled: DataFrame, vocabulary_path: str, text: str = "text", lang: str = "lang", by: Column | None = None) -> tuple:
-    pieces, langs, prob = vocabulary(vocabulary_path), [], []
-    for la, counts in language_counts(labelled, text, lang, by):
-        langs.append(la)
-        prob.append(fit({la: counts}, pieces)[1])
-    order = sorted(range(len(langs)), key=langs.__getitem__)
-    return pieces, [langs[i] for i in order], np.concatenate([prob[i] for i in order], axis=1) if langs else np.zeros((len(pieces) + 1, 0))
+    """(pieces, languages, probabilities). A language's sample, of bounded size, is fitted in one task; its probabilities alone come to the driver."""
+    import pandas as pd
+
+    pieces = vocabulary(vocabulary_path)
+    counts = language_counts(labelled, text, lang, by)
+    shipped = labelled.sparkSession.sparkContext.broadcast(pieces)
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("word")  # sums come out the same in any order of rows
+        _, prob = fit({0: dict(zip(map(bytes, pdf["word"]), pdf["n"]))}, shipped.value)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1].to_numpy(), "prob": [prob[:, 0].astype("<f8").tobytes()]})
+
+    rows = counts.groupBy("lang").applyInPandas(fitted, "lang string, prob binary").collect() if counts is not None else []
+    rows = sorted(rows, key=lambda r: r["lang"])
+    prob = np.stack([np.frombuffer(r["prob"], "<f8") for r in rows], axis=1) if rows else np.zeros((len(pieces) + 1, 0))
+    return pieces, [r["lang"] for r in rows], prob
 
 
 def held_out(key: str = "doc_id") -> Column:

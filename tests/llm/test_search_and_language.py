@@ -1,6 +1,7 @@
 """op1, op2, op3: brute force, held-out accuracy, exact round trips, and odd inputs."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -60,6 +61,48 @@ def test_ann_copies(spark):
     assert [v for _, v, _ in sorted(got[120])] == [v for v, _ in want[120]]
 
 
+def test_ann_repeated_ids(spark):
+    """Two vectors under one id, and many equal rows of one id: a row leaves out itself alone."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(30)]
+    rows += [(100, [1.0] * 6), (100, [-1.0] * 6), *[(200, [5.0] * 6)] * 13, *[(7, [5.0] * 6)] * 2]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, probes=99, exact=99).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    want = {}
+    for n, (i, v) in enumerate(rows):
+        if i % 100 == 0:
+            near = sorted((float(np.sqrt(((np.array(v) - w) ** 2).sum())), j) for m, (j, w) in enumerate(rows) if m != n)[:10]
+            want.setdefault(i, []).extend((rank + 1, pytest.approx(s), j) for rank, (s, j) in enumerate(near))
+    assert got.keys() == want.keys()
+    for q in want:
+        assert sorted(got[q], key=lambda x: (x[0], x[1], x[2])) == sorted(want[q], key=lambda x: (x[0], x[1].expected, x[2]))
+
+
+def test_ann_discards_by_its_tables(spark):
+    """50,000 vectors in clusters: few cells are probed, and most rows of them are left out by their codes."""
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(60, 24)) * 4
+    x = (centers[rng.integers(60, size=50_000)] + rng.normal(size=(50_000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    rows = df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    model, total = ann.fit(rows)
+    own = model.cells(x.astype(np.float64))
+    sizes = np.bincount(own, minlength=len(model.centroids))
+    assert model.probes < len(model.centroids) / 5
+    assert sizes[sizes > model.exact].sum() > 0.5 * len(x) and model.exact < 0.7 * sizes.mean()
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 500 == 0, model=(model, total)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 500):
+        d = ((x.astype(np.float64) - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 100 and hits / 1000 >= 0.9
+
+
 def test_ann_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(df, F.col("vec_id") % 100 == 0).count() == 0
@@ -79,6 +122,54 @@ def test_forward_sums_all_segmentations():
         assert langid.forward(lattice.ids([w]), p)[0, -1] == pytest.approx(total(w), rel=1e-12)
 
 
+def test_long_words_are_scored_whole():
+    """The scaled pass gives what the plain one does, and long runs what exact fractions do."""
+    from fractions import Fraction
+
+    pieces = sorted({bytes([b]) for b in range(256)} | {b"ab", b"bc", b"abc", b"ca", "漢字".encode(), "字".encode()})
+    rng = np.random.default_rng(4)
+    prob = np.vstack([rng.dirichlet(np.full(len(pieces), 0.3), size=2).T + 1e-9, np.zeros((1, 2))])
+    lattice = langid.Lattice(pieces)
+    short = [b"a", b"abcab", b"cabcabca", "漢字字".encode()]
+    got = langid.log_forward(lattice, short, prob)
+    assert np.allclose(got, np.log([langid.forward(lattice.ids([w]), prob)[0, -1] for w in short]), rtol=1e-12)
+    word = (b"abc" * 40 + "漢字".encode() * 60)[:401]
+    exact = [Fraction(0)] * len(word) + [Fraction(1)]
+    for s in range(len(word) - 1, -1, -1):
+        exact[s] = sum(Fraction(float(prob[i, 0])) * exact[s + len(p)] for i, p in enumerate(pieces) if word.startswith(p, s))
+    want = math.log(exact[0].numerator) - math.log(exact[0].denominator)
+    assert langid.log_forward(lattice, [word, b"ab"], prob)[0, 0] == pytest.approx(want, rel=1e-9)
+    assert [b"".join(langid.cut(w)) for w in (word, b"x" * 200)] == [word, b"x" * 200]
+    assert all(len(p) <= langid.MAX_WORD and p.decode() for p in langid.cut("漢".encode() * 50))
+
+
+def test_predictions_against_all_segmentations(spark):
+    """Whole texts, by a plain sum over segmentations written here, from the trained probabilities."""
+    import regex
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 10 = 3")
+    pieces, langs, prob = langid.train(docs, queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    at = {p: i for i, p in enumerate(pieces)}
+
+    def log_sum(word):
+        a = [np.ones(len(langs))]
+        for end in range(1, len(word) + 1):
+            a.append(sum((a[s] * prob[at[word[s:end]]] for s in range(max(0, end - 12), end) if word[s:end] in at), np.zeros(len(langs))))
+        return np.log(a[-1])
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, (pieces, langs, prob)).collect()}
+    known = {}
+    for r in docs.collect():
+        found = [w.encode() for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", r.text.lower())]
+        if not found:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        known |= {w: log_sum(w) for w in set(found) - known.keys()}
+        total = sum(known[w] for w in found)
+        assert got[r.doc_id][0] == langs[int(np.argmax(total))]
+        assert got[r.doc_id][1] == pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-3)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.op2_langid(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").collect()
