@@ -1,17 +1,23 @@
 """License scans: Dice coefficient over word bigrams against templates (DataFrame operations only).
 
-Units are the whole text and each of its lines, normalised to lower-case ASCII
-letters and digits parted by single spaces. A unit and a template match if
-2 |A and B| / (|A| + |B|) >= threshold, A and B the sets of their word bigrams.
+Units are the whole text, each of its lines, and its paragraphs: runs of two or
+more lines that have words and start with the same signs, such as the comment
+marks before a wrapped file header. A unit is normalised to lower-case ASCII
+letters and digits parted by single spaces. It matches a template if
+2 |A and B| / (|A| + |B|) >= threshold, A and B the sets of their word bigrams,
+and if versions and variants agree: numbers of one or two digits and the words
+in VARIANTS. A notice of up to SHORT bigrams must have exactly its template's; a
+longer unit must have them all.
 
 Pruning loses no match: sizes must lie within threshold / (2 - threshold) of
 each other, and then the unit has to share one of the template's key bigrams (any
 |B| - ceil(|B| t / (2 - t)) + 1 of them will do; those with the longest words are
 taken), hence one of these words. Templates are a fixed list of this module, so they are broadcast.
 
-Null or empty text, or units of fewer than two words: no match. Each (key,
-line) gives one row, the best template (ties: the first name); line is -1 for
-the whole text. Repeated rows of one key and line are reported once.
+Null or empty text, or units of fewer than two words: no match; without templates
+nothing matches. Each (key, line, n_lines) gives one row, the best template (ties:
+the first name): line is the unit's first line, n_lines how many it has; the whole
+text is line -1. Repeated rows of one key and unit are reported once.
 """
 
 from __future__ import annotations
@@ -23,6 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+SHORT = 20
+VARIANTS = ["affero", "by", "clause", "lesser", "library", "nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike"]
+_VERSION = "^v?[0-9]{1,2}$"
 _FREQUENT = frozenset("a and any as at be by for from in is it may of on or that the this to with you".split())
 
 # Published licence texts (without title and holder) and short notices.
@@ -88,6 +97,32 @@ _MPL = (
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
     "You can obtain one at http://mozilla.org/MPL/2.0/."
 )
+#: A telling paragraph of texts that are too long for a template of their own.
+_PREAMBLES = {
+    "Apache-2.0": ["\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."],
+    "GPL-3.0": ["The GNU General Public License is a free, copyleft license for software and other kinds of works."],
+    "GPL-2.0": [
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to "
+        "guarantee your freedom to share and change free software--to make sure the software is free for all its users."
+    ],
+    "LGPL-3.0": [
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by "
+        "the additional permissions listed below."
+    ],
+    "AGPL-3.0": [
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the "
+        "community in the case of network server software."
+    ],
+    "MPL-2.0": ["\"Covered Software\" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof."],
+    "CC-BY-4.0": [
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 "
+        "International Public License (\"Public License\")."
+    ],
+    "CC-BY-SA-4.0": [
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons "
+        "Attribution-ShareAlike 4.0 International Public License (\"Public License\")."
+    ],
+}
 _NAMES = {
     "MIT": ["MIT License", "MIT license"],
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license"],
@@ -123,6 +158,7 @@ def templates() -> list[tuple[str, str]]:
     out = []
     for name, texts in paragraphs.items():
         out += [(name, t) for t in [" ".join(texts), *texts]]
+    out += [(name, t) for name, texts in _PREAMBLES.items() for t in texts]
     out += [(name, f"{verb} {x}") for name, names in _NAMES.items() for x in names for verb in _VERBS]
     out += [(name, f"SPDX-License-Identifier: {name}") for name in _NAMES]
     seen, kept = set(), []
@@ -134,11 +170,20 @@ def templates() -> list[tuple[str, str]]:
     return kept
 
 
+def plain_words(text: str) -> list[str]:
+    return "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()
+
+
 def bigrams(text: str) -> set[str]:
-    words = "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()
+    words = plain_words(text)
     return {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
+def versions(text: str) -> list[str]:
+    """The words of a text that tell versions and variants apart."""
+    return sorted({w for w in plain_words(text) if re.match(_VERSION, w) or w in VARIANTS})
+
+
 def _words(c: Column) -> Column:
     # What the pattern leaves is ASCII, where lower() is cheap and changes A-Z only.
     return F.split(F.trim(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " "))), " ")
@@ -154,17 +199,21 @@ def _any_of(words: list[str]) -> str:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
-    """key, line, license, template (its number in the list), score."""
+    """key, line, n_lines, license, template (its number in the list), score."""
     spark = docs.sparkSession
     low = threshold / (2 - threshold)
     rows, keys = [], []
     for i, (name, body) in enumerate(licenses if licenses is not None else templates()):
         has = sorted(bigrams(body), key=lambda b: (-max(map(len, b.split())), -len(b), b))
-        rows.append((i, name, has, len(has)))
+        if not has:
+            continue
+        rows.append((i, name, has, len(has), versions(body)))
         need = max(1, math.ceil(low * len(has) - 1e-9))
         keys += [(b, i) for b in has[: len(has) - need + 1]]
+    if not rows:
+        return docs.select(key, *[F.lit(None).cast(t).alias(c) for c, t in zip(("line", "n_lines", "license", "template", "score"), ("int", "int", "string", "int", "double"))]).where("false")
     least, most = min(r[3] for r in rows), max(r[3] for r in rows)
-    known = spark.createDataFrame(rows, "template int, license string, has array<string>, m int")
+    known = spark.createDataFrame(rows, "template int, license string, has array<string>, m int, v array<string>")
     leads = spark.createDataFrame(keys, "lead string, template int")
 
     # Every key bigram holds one of these words: a text, then a unit, without any of them matches nothing. The pattern runs
@@ -172,40 +221,68 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     marks = {max(b.split(), key=lambda w: (w not in _FREQUENT, len(w))) for b, _ in keys}
     marked = lambda c: F.col(c).rlike(f"(?i)(?<![A-Za-z0-9]){_any_of(sorted(marks))}(?![A-Za-z0-9])")
     docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(marked("t"))
-    each = docs.select("k", F.posexplode(F.split("t", "\n")).alias("line", "unit")).where(marked("unit"))
-    whole = docs.where(F.col("t").contains("\n")).select("k", F.lit(-1).alias("line"), F.col("t").alias("unit"))
+    # Lines come out of a generator, so that they are made once.
+    split = docs.where(F.col("t").contains("\n")).select("k", F.explode(F.array(F.split("t", "\n"))).alias("lines"))
+    each = docs.select("k", F.posexplode(F.split("t", "\n")).alias("line", "unit")).select("k", "line", F.lit(1).alias("n_lines"), "unit")
+    tag = "transform(lines, l -> if(l rlike '[A-Za-z0-9]', regexp_replace(regexp_extract(l, '^[^A-Za-z0-9]*', 0), '[ \\\\t\\\\r]+', ''), '\x02'))"
+    tagged = split.select("k", "lines", F.explode(F.array(F.expr(tag))).alias("tags"))
+    first = "filter(sequence(0, size(tags) - 1), i -> tags[i] <> '\x02' and (i = 0 or tags[i - 1] <> tags[i]))"
+    last = "filter(sequence(0, size(tags) - 1), i -> tags[i] <> '\x02' and (i = size(tags) - 1 or tags[i + 1] <> tags[i]))"
+    runs = tagged.select("k", "lines", F.explode(F.expr(f"filter(zip_with({first}, {last}, (a, b) -> struct(a as line, b - a + 1 as n_lines)), x -> x.n_lines > 1)")).alias("x"))
+    runs = runs.select("k", "x.line", "x.n_lines", F.array_join(F.slice("lines", F.col("x.line") + 1, F.col("x.n_lines")), " ").alias("unit"))
+    whole = split.select("k", F.lit(-1).alias("line"), F.size("lines").alias("n_lines"), F.array_join("lines", " ").alias("unit"))
     # Words come out of a generator, so that filters on them are not pushed below and the words are made once.
-    units = each.union(whole).select("k", "line", F.explode(F.array(_words(F.col("unit")))).alias("w"))
+    units = each.where(marked("unit")).union(runs.where(marked("unit"))).union(whole)
+    units = units.select("k", "line", "n_lines", F.explode(F.array(_words(F.col("unit")))).alias("w"))
     # Too few words for any template go before bigrams are built; the bound on distinct bigrams follows.
     units = units.where(F.size("w") > math.ceil(low * least - 1e-9))
     pairs = F.expr("array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b)))")
-    units = units.select("k", "line", F.explode(F.array(pairs)).alias("b")).withColumn("n", F.size("b")).where(F.col("n") <= math.floor(most / low + 1e-9))
-    led = units.select("k", "line", "b", "n", F.explode("b").alias("lead")).join(F.broadcast(leads), "lead")
+    units = units.select("k", "line", "n_lines", "w", F.explode(F.array(pairs)).alias("b")).withColumn("n", F.size("b")).where(F.col("n") <= math.floor(most / low + 1e-9))
+    led = units.select("k", "line", "n_lines", "w", "b", "n", F.explode("b").alias("lead")).join(F.broadcast(leads), "lead")
     led = led.join(F.broadcast(known), "template").where(F.expr(f"least(n, m) >= {low - 1e-9}D * greatest(n, m)"))
     scored = led.withColumn("score", 2.0 * F.size(F.array_intersect("b", "has")) / (F.col("n") + F.col("m"))).where(F.col("score") >= threshold - 1e-12)
-    best = scored.groupBy("k", "line").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "template")).alias("x"))
-    return best.select(F.col("k").alias(key), "line", F.col("x.license").alias("license"), F.col("x.template").alias("template"), (-F.col("x.s")).alias("score"))
+    own = F.array_distinct(F.filter("w", lambda x: x.rlike(_VERSION) | x.isin(VARIANTS)))
+    same = (F.size(F.array_except("v", own)) == 0) & ((F.col("m") > SHORT) | (F.size(F.array_except(own, "v")) == 0))
+    best = scored.where(same).groupBy("k", "line", "n_lines").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "template")).alias("x"))
+    return best.select(F.col("k").alias(key), "line", "n_lines", F.col("x.license").alias("license"), F.col("x.template").alias("template"), (-F.col("x.s")).alias("score"))
 
 
 def scan_sql(threshold: float = THRESHOLD) -> str:
     """The same in SQL, with the templates inlined: every unit against every template of a fitting size."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ",\n".join(f"({i}, {quote(n)}, [{', '.join(map(quote, sorted(bigrams(t))))}])" for i, (n, t) in enumerate(templates()))
+    listed = lambda xs: f"[{', '.join(map(quote, xs))}]::varchar[]"
+    values = ",\n".join(f"({i}, {quote(n)}, {listed(sorted(bigrams(t)))}, {listed(versions(t))})" for i, (n, t) in enumerate(templates()))
     low = threshold / (2 - threshold)
     return f"""
-with tpl(template, license, has) as (values {values}),
-units as (
-  select doc_id, -1 as line, text as unit from documents where contains(text, chr(10))
+with tpl(template, license, has, v) as (values {values}),
+split as (
+  select doc_id, string_split(text, chr(10)) as lines from documents where text is not null
+), tagged as (
+  select doc_id, lines, list_transform(lines, lambda l: case when regexp_matches(l, '[A-Za-z0-9]')
+    then regexp_replace(regexp_extract(l, '^[^A-Za-z0-9]*'), '[ \\t\\r]+', '', 'g') else chr(2) end) as tags
+  from split where len(lines) > 1
+), runs as (
+  select doc_id, lines,
+    unnest(list_filter(range(1, len(tags) + 1), lambda i: tags[i] <> chr(2) and (i = 1 or tags[greatest(i - 1, 1)] <> tags[i]))) as first,
+    unnest(list_filter(range(1, len(tags) + 1), lambda i: tags[i] <> chr(2) and (i = len(tags) or tags[least(i + 1, len(tags))] <> tags[i]))) as last
+  from tagged
+), units as (
+  select doc_id, -1 as line, len(lines) as n_lines, array_to_string(lines, ' ') as unit from split where len(lines) > 1
+  union all
+  select doc_id, unnest(range(len(lines))) as line, 1 as n_lines, unnest(lines) as unit from split
   union all
-  select doc_id, unnest(range(len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as unit from documents
+  select doc_id, first - 1 as line, last - first + 1 as n_lines, array_to_string(lines[first:last], ' ') as unit from runs where last > first
 ), words as (
-  select doc_id, line, string_split(trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') as w from units
+  select doc_id, line, n_lines, string_split(trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') as w from units
 ), grams as (
-  select doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from words where len(w) > 1
+  select doc_id, line, n_lines, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b,
+    list_filter(w, lambda x: regexp_matches(x, '{_VERSION}') or list_contains({listed(VARIANTS)}, x)) as own
+  from words where len(w) > 1
 ), scored as (
-  select doc_id, line, license, template, 2.0::double * len(list_intersect(b, has)) / (len(b) + len(has)) as score
+  select doc_id, line, n_lines, license, template, 2.0::double * len(list_intersect(b, has)) / (len(b) + len(has)) as score
   from grams join tpl on least(len(b), len(has)) >= {low - 1e-9}::double * greatest(len(b), len(has))
+    and list_has_all(own, v) and (len(has) > {SHORT} or list_has_all(v, own))
 )
-select doc_id, line::int as line, license, template::int as template, score from scored where score >= {threshold - 1e-12}::double
-qualify row_number() over (partition by doc_id, line order by score desc, license, template) = 1
+select doc_id, line::int as line, n_lines::int as n_lines, license, template::int as template, score from scored where score >= {threshold - 1e-12}::double
+qualify row_number() over (partition by doc_id, line, n_lines order by score desc, license, template) = 1
 """

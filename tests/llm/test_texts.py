@@ -15,17 +15,31 @@ from plumbline.llm import html_text, licenses, line_dedup
 
 def brute_licenses(rows, threshold=0.8):
     out = {}
-    known = [(i, n, licenses.bigrams(t)) for i, (n, t) in enumerate(licenses.templates())]
+    known = [(i, n, licenses.bigrams(t), set(licenses.versions(t))) for i, (n, t) in enumerate(licenses.templates())]
     for key, text in rows:
         if text is None:
             continue
-        units = [(-1, text)] if "\n" in text else []
-        units += list(enumerate(text.split("\n")))
-        for at, unit in units:
-            b = licenses.bigrams(unit)
-            found = sorted((-2 * len(b & t) / (len(b) + len(t)), n, i) for i, n, t in known if b and 2 * len(b & t) / (len(b) + len(t)) >= threshold - 1e-12)
+        lines = text.split("\n")
+        units = [(-1, len(lines), text)] if len(lines) > 1 else []
+        units += [(i, 1, x) for i, x in enumerate(lines)]
+        signs = [re.sub(r"\s", "", re.match("[^A-Za-z0-9]*", x)[0]) if re.search("[A-Za-z0-9]", x) else None for x in lines]
+        at = 0
+        while at < len(lines):
+            to = at + 1
+            while to < len(lines) and signs[at] is not None and signs[to] == signs[at]:
+                to += 1
+            if to - at > 1:
+                units.append((at, to - at, "\n".join(lines[at:to])))
+            at = to
+        for at, n_lines, unit in units:
+            b, v, found = licenses.bigrams(unit), set(licenses.versions(unit)), []
+            for i, n, t, w in known:
+                score = 2 * len(b & t) / (len(b) + len(t))
+                if b and score >= threshold - 1e-12 and w <= v and (len(t) > 20 or v <= w):
+                    found.append((-score, n, i))
             if found:
-                out[key, at] = (found[0][1], found[0][2], pytest.approx(-found[0][0]))
+                best = min(found)
+                out[key, at, n_lines] = (best[1], best[2], pytest.approx(-best[0]))
     return out
 
 
@@ -36,11 +50,25 @@ def test_licenses(spark):
         (5, None), (6, ""), (7, "license"), (8, "\n".join(mit.split(". "))), (9, "Licensed under CC BY-NC 4.0."), (9, "Licensed under CC BY-NC 4.0."), (10, "the quick brown fox " * 3000),
         (11, "This work is licensed under the GNU General Public License, version 2."), (12, "undervalued licensee softwares"),
     ]
+    import textwrap
+
+    code = "\n".join(f"value_{i} = compute({i})  # step" for i in range(120))
+    rows.append((20, "\n".join("# " + x for x in textwrap.wrap(mit, 70)) + "\n" + code))
+    rows.append((21, "/*\n" + "\n".join(" * " + x if x else " *" for p in ("Copyright 2020 J. Doe", *mit.split(". ")) for x in [*textwrap.wrap(p, 60), ""]) + "\n */\n" + code))
+    rows += list(enumerate([
+        "Licensed under CC BY-ND 4.0", "Licensed under the GNU General Public License, version 1", "Licensed under the Mozilla Public License, Version 1.1",
+        "Licensed under the Apache License, Version 1.1", "Licensed under the GNU Lesser General Public License, version 2",
+    ], 30))
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, license string")
-    got = {(r.doc_id, r.line): (r.license, r.template, r.score) for r in licenses.scan(df).collect()}
+    got = {(r.doc_id, r.line, r.n_lines): (r.license, r.template, r.score) for r in licenses.scan(df).collect()}
     assert got == brute_licenses(rows)
-    assert got[3, 1][0] == "MIT" and got[9, 0][0] == "CC-BY-NC-4.0" and (10, 0) not in got
-    assert licenses.scan(df.limit(0)).count() == 0
+    assert got[3, 1, 1][0] == "MIT" and got[9, 0, 1][0] == "CC-BY-NC-4.0" and (10, 0, 1) not in got
+    of = {}
+    for (k, _, _), (name, _, _) in got.items():
+        of.setdefault(k, set()).add(name)
+    assert "MIT" in of[20] and "MIT" in of[21] and not any(k in of for k in range(30, 35))
+    assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df, licenses=[]).count() == 0
+    assert licenses.scan(df, licenses=[]).columns == licenses.scan(df).columns
 
 
 # ---- op6 --------------------------------------------------------------------------------------------------------------
