@@ -14,7 +14,7 @@ from plumbline.functions.cells import FOUR, PLACEHOLDERS, TWO, finite, null_toke
 from plumbline.functions.cells import NUMBER
 from plumbline.functions.names import rename_all
 from plumbline.operators import stats
-from plumbline.plans.aggplan import Plan, nearest_quantiles
+from plumbline.plans.aggplan import Distinct, Median, Plan, median, nearest_quantiles
 
 
 def sanitise(df: DataFrame, share: float = 0.7, sample: int | None = 100, order: str | None = None) -> DataFrame:
@@ -177,7 +177,7 @@ def fill(df: DataFrame, column: str, how: str, value=None) -> DataFrame:
     if how == "fill_mean" and isinstance(kind, TWO):
         value = df.agg(F.mean(q(column))).first()[0]
     elif how == "fill_median" and isinstance(kind, FOUR):
-        value = df.agg(F.median(q(column))).first()[0]
+        value = median(df, q(column))
     elif how == "fill_mode":
         row = df.where(q(column).isNotNull()).groupBy(q(column).alias("v")).count().orderBy(F.desc("count"), "v").first()
         value = row["v"] if row else None
@@ -212,7 +212,7 @@ def auto_clean(df: DataFrame) -> DataFrame:
     plan = Plan(df)
     for c in numeric(df):
         if not looks_like_id(c):
-            plan.add(c, F.median(q(c)))
+            plan.add(c, Median(q(c)))
     medians = plan.run() if plan.wanted else {}
     out = []
     for f in df.schema.fields:
@@ -306,11 +306,13 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
         for f in df.schema.fields:
             c = q(f.name)
             plan.add((f.name, "missing_count"), F.count_if(c.isNull()))
-            plan.add((f.name, "unique_count"), F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0)))
+            plan.add((f.name, "unique_count"), Distinct(c))
             if isinstance(f.dataType, T.NumericType):
                 plan.add((f.name, "mean"), F.mean(c.cast("double")))
                 plan.add((f.name, "std"), F.stddev_samp(c.cast("double")))
         got = plan.run()
+        for c in df.columns:
+            got[c, "unique_count"] += got[c, "missing_count"] > 0  # null is a value
         cells = got["rows"] * len(df.columns)
         got["*", "completeness"] = (1 - sum(got[c, "missing_count"] for c in df.columns) / cells) * 100 if cells else 100.0
         got["*", "uniqueness"] = stats.distinct_rows(df) / got["rows"] * 100 if got["rows"] else 100.0

@@ -8,15 +8,15 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.cells import DATES, FOUR, MASKED_NUMBERS, MASKED_TEXT, numeric, of_type, q, strings, strip
+from plumbline.functions.cells import DATES, FOUR, MASKED_NUMBERS, MASKED_TEXT, numeric, of_type, q, strings, strip, to_number
 from plumbline.operators import stats
 from plumbline.operators.clean import bounds
 from plumbline.operators.profile import Profile, profile
-from plumbline.plans.aggplan import Plan
+from plumbline.plans.aggplan import Distinct, Plan
 
 # Words of summary rows, of boolean text, and the number pattern of the type detector.
 SUMMARY_WORDS = ("total", "grand total", "sum", "subtotal", "average", "avg", "mean", "summary", "count")
@@ -69,7 +69,7 @@ class Fix:
             by = ", ".join(f"`{x}`" for x in (order or df.columns))
             return df.withColumn("_turn", F.expr(f"row_number() over (partition by `{c}` order by {by})")).where("_turn = 1").drop("_turn")
         if self.action == "cast":
-            return df.withColumn(c, q(c).try_cast(p[0]))
+            return df.withColumn(c, _converted(df, c, p[0]))
         if self.action == "boolean":
             return df.withColumn(c, F.lower(q(c)).isin("true", "yes", "1", "t", "y"))
         if self.action == "keep_email":
@@ -157,6 +157,29 @@ class Ledger:
         )
 
 
+# Date patterns that text is read by, and the day that serial days count from.
+DATE_PATTERNS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
+SERIAL_START = "1899-12-30"
+
+
+def _converted(df: DataFrame, c: str, kind: str) -> Column:
+    """The column as another type (DAT-02): text numbers undressed, text dates by the patterns that read most of them first, numbers as serial days."""
+    x, now = q(c), df.schema[c].dataType
+    if kind in ("date", "timestamp") and isinstance(now, T.NumericType):
+        day = F.date_add(F.lit(SERIAL_START).cast("date"), F.floor(x).try_cast("int"))
+        if kind == "date":
+            return day
+        return F.timestamp_micros((F.unix_date(day).cast("double") * 86_400_000_000 + F.round((x.cast("double") - F.floor(x)) * 86_400) * 1_000_000).cast("long"))
+    if kind in ("date", "timestamp") and isinstance(now, T.StringType):
+        read = [F.try_to_timestamp(strip(x), F.lit(p)) for p in DATE_PATTERNS]
+        counts = df.agg(*[F.count(r) for r in read]).first()
+        best = sorted(range(len(read)), key=lambda i: (-counts[i], i))
+        return F.coalesce(*[read[i] for i in best if counts[i]], x.try_cast("timestamp")).cast(kind)
+    if isinstance(now, T.StringType) and kind in ("bigint", "int", "double", "float"):
+        return to_number(x).try_cast(kind)
+    return x.try_cast(kind)
+
+
 def _grade(x: float, *steps: tuple[float, str]) -> str | None:
     return next((s for limit, s in steps if x >= limit), None)
 
@@ -177,8 +200,14 @@ def detect(df: DataFrame, order: list[str] | None = None, now: datetime | None =
         low = F.lower(strip(q(c)))
         plan.add((c, "masked"), F.count_if(low.isin(*MASKED_TEXT)))
         plan.add((c, "spaced"), F.count_if(q(c) != strip(q(c))))
-        plan.add((c, "raw"), F.count_distinct(q(c)))
-        plan.add((c, "lower"), F.count_distinct(F.lower(q(c))))
+        plan.add((c, "raw"), Distinct(q(c)))
+        plan.add((c, "lower"), Distinct(F.lower(q(c))))
+        plan.add((c, "known"), F.count(q(c)))
+        plan.add((c, "boolean"), F.count_if(low.isin(*BOOLEAN_TEXT)))
+        plan.add((c, "kinds"), Distinct(F.when(low.isin(*BOOLEAN_TEXT), low)))
+        plan.add((c, "numeric"), F.count_if(strip(q(c)).rlike(NUMERIC_TEXT)))
+        plan.add((c, "dot"), F.count_if(q(c).contains(".")))
+        plan.add((c, "unread"), F.count_if(q(c).isNotNull() & to_number(q(c)).isNull()))
         if c in head_text:
             plan.add((c, "header"), F.count_if(low == c.lower()))
             plan.add((c, "summary"), F.count_if(low.isin(*SUMMARY_WORDS)))
@@ -256,18 +285,17 @@ def detect(df: DataFrame, order: list[str] | None = None, now: datetime | None =
     for c in text:
         if c in flagged:
             continue
-        found = _first_values(df, c, order)
-        if len(found) < 5:
+        # All values decide, not the first ones: the fix changes all.
+        known = got[c, "known"]
+        if known < 5:
             continue
-        low = {v.strip().lower() for v in found}
-        if low <= set(BOOLEAN_TEXT) and len(low) <= 4:
+        if got[c, "boolean"] == known and got[c, "kinds"] <= 4:
             out.append(Issue("type_mismatch", "low", c, n, 100.0, "boolean-like text", Fix("boolean", c)))
-            continue
-        import re
-
-        if sum(bool(re.match(NUMERIC_TEXT, v.strip())) for v in found) / len(found) >= 0.8:
-            kind = "double" if any("." in v for v in found) else "bigint"
-            out.append(Issue("type_mismatch", "medium", c, n, 100.0, "numeric text", Fix("cast", c, (kind,))))
+        elif got[c, "numeric"] >= 0.8 * known:
+            kind, k = "double" if got[c, "dot"] else "bigint", got[c, "unread"]
+            # A cast must not empty what it can't read.
+            fix = Fix("review", c, (kind,)) if k else Fix("cast", c, (kind,))
+            out.append(Issue("type_mismatch", "medium", c, n, 100.0, "numeric text" + (f", {k} values aren't numbers" if k else ""), fix))
     # IL-21
     for c in numeric(df):
         if k := got.get((c, "outliers")):
@@ -282,13 +310,6 @@ def detect(df: DataFrame, order: list[str] | None = None, now: datetime | None =
     return Ledger(out)
 
 
-def _first_values(df: DataFrame, c: str, order: list[str] | None, k: int = 100) -> list[str]:
-    known = df.where(q(c).isNotNull())
-    if order:
-        known = known.orderBy(*[q(o) for o in order])
-    return [r[0] for r in known.select(q(c)).limit(k).collect()]
-
-
 def _ends(df: DataFrame, order: list[str], n: int, columns: list[str], size: int = 100) -> dict[str, tuple[float, float]]:
     """WN-07: null shares of the first and last rows; two top-k reads, no full sort."""
     if not columns:

@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 
 from plumbline.functions.cells import DATES, FOUR, of_type, q, total
 from plumbline.operators import stats
-from plumbline.plans.aggplan import Plan, nearest_quantiles
+from plumbline.plans.aggplan import Distinct, Plan, nearest_quantiles
 
 
 @dataclass
 class Profile:
-    """Counts and moments of a table, from one aggregate; quartiles from a second."""
+    """Counts and moments of a table, distinct values and quartiles, as the planner takes them."""
 
     rows: int
     types: dict[str, T.DataType]
@@ -42,7 +42,7 @@ def profile(df: DataFrame, quartiles: bool = True, approximate: bool = False) ->
         c = q(f.name)
         plan.add((f.name, "nulls"), F.count_if(c.isNull()))
         if isinstance(f.dataType, T.AtomicType):
-            plan.add((f.name, "distinct"), F.approx_count_distinct(c) if approximate else F.count_distinct(c))
+            plan.add((f.name, "distinct"), F.approx_count_distinct(c) if approximate else Distinct(c))
         if isinstance(f.dataType, T.NumericType):
             x = c.cast("double")
             for name, a in (("n", F.count(x)), ("mean", F.mean(x)), ("std", F.stddev_samp(x)), ("min", F.min(x)), ("max", F.max(x)), ("skew", F.skewness(x))):

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.plans.aggplan import median
 from plumbline.functions.cells import DATES, numeric, of_type, q
 
 LAGS = {7: "weekly", 30: "monthly", 90: "quarterly", 365: "yearly"}
@@ -109,9 +110,10 @@ def decompose(s: DataFrame, period: int = 7) -> DataFrame:
 def residual_outliers(s: DataFrame, period: int = 7, limit: float = 3.0) -> DataFrame:
     """TS-06: rows of decompose() whose residual stands out by MAD, or by 2 standard deviations where that is 0; fewer than 14 rows: none."""
     x = decompose(s, period)
-    n, center, mean, sd = x.agg(F.count("*"), F.median("residual"), F.mean("residual"), F.stddev_pop("residual")).first()
+    n, mean, sd = x.agg(F.count("*"), F.mean("residual"), F.stddev_pop("residual")).first()
     if n < 14:
         return x.limit(0)
-    spread = x.agg(F.median(F.abs(F.col("residual") - center))).first()[0]
+    center = median(x, F.col("residual"))
+    spread = median(x, F.abs(F.col("residual") - center))
     far: Column = 0.6745 * F.abs(F.col("residual") - center) / spread > limit if spread else F.abs(F.col("residual") - mean) > 2 * sd
     return x.where(far)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.cells import numeric, q
-from plumbline.plans.aggplan import Plan, nearest_quantiles
+from plumbline.plans.aggplan import Distinct, Median, Plan, nearest_quantiles
 
 
 def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -16,12 +16,12 @@ def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """CF-04: column, mean, std, min, max, median, q1, q3, skewness, kurtosis, count. Two passes, whatever the number of columns."""
+    """CF-04: column, mean, std, min, max, median, q1, q3, skewness, kurtosis, count. Few passes, whatever the number of columns."""
     columns = numeric(df) if columns is None else columns
     plan = Plan(df)
     for c in columns:
         x = q(c).cast("double")
-        for name, a in (("n", F.count(x)), ("mean", F.mean(x)), ("std", F.stddev_samp(x)), ("min", F.min(x)), ("max", F.max(x)), ("median", F.median(x)), ("skew", F.skewness(x)), ("kurt", F.kurtosis(x))):
+        for name, a in (("n", F.count(x)), ("mean", F.mean(x)), ("std", F.stddev_samp(x)), ("min", F.min(x)), ("max", F.max(x)), ("median", Median(x)), ("skew", F.skewness(x)), ("kurt", F.kurtosis(x))):
             plan.add((c, name), a)
     got = plan.run()
     quart = nearest_quantiles(df, columns, (0.25, 0.75), {c: got[c, "n"] for c in columns})
@@ -91,9 +91,11 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, null_counts
     """AG-15: distinct values per column; null is one of them if null_counts."""
     plan = Plan(df)
     for c in columns or df.columns:
-        n = F.approx_count_distinct(q(c)) if approximate else F.count_distinct(q(c))
-        plan.add(c, n + F.coalesce(F.max(q(c).isNull().cast("int")), F.lit(0)) if null_counts else n)
-    return plan.run()
+        plan.add(c, F.approx_count_distinct(q(c)) if approximate else Distinct(q(c)))
+        if null_counts:
+            plan.add((c, "null"), F.coalesce(F.max(q(c).isNull().cast("int")), F.lit(0)))
+    got = plan.run()
+    return {c: got[c] + got.get((c, "null"), 0) for c in columns or df.columns}
 
 
 def duplicate_members(df: DataFrame, columns: list[str] | None = None) -> int:
@@ -124,7 +126,7 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     if len(complete.take(2)) < 2:
         plan = Plan(x)
         for c in columns:
-            plan.add(c, F.median(q(c)))
+            plan.add(c, Median(q(c)))
         complete = x.fillna({c: v for c, v in plan.run().items() if v is not None}).dropna()
     plan, pairs = Plan(complete), [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     for a, b in pairs:

@@ -1,91 +1,195 @@
-"""Aggregate planner: operators name the aggregates they need, one job computes them all.
-
-A table is read once per pass: pass 1 takes counts and moments, pass 2 what
-needs a count (nearest-rank quantiles), pass 3 what needs quantiles (outlier
-counts). Jobs of more than MAX_WIDTH aggregates are split.
+"""Aggregate planner: operators name the aggregates they need, few jobs compute them all.
+
+Plain aggregates go into one job (more than MAX_WIDTH of them are split).
+Distinct counts are taken of all columns together, from one unpivoted table of
+(column, value), so no row is expanded once per column with all its others.
+Medians and quantiles are exact and need no buffer that grows with the data: a
+sketch brackets each rank, then the counts of bins within the brackets, of all
+columns and ranks in one job, narrow them down to a value.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.cells import q
 
 MAX_WIDTH = 400
-#: Values up to which a quantile may be taken by percentile_disc, which holds a count per distinct value.
-EXACT_VALUES = 20_000_000
+ACCURACY = 10_000  # of the sketch: a rank is off by a ten-thousandth of the rows at most
+BINS = 4096  # per bracket and pass
+
+
+@dataclass(frozen=True, eq=False)
+class Distinct:
+    """The number of distinct values, nulls left out."""
+
+    value: Column
+
+
+@dataclass(frozen=True, eq=False)
+class Median:
+    """The mean of the two middle values, nulls left out; None without any."""
+
+    value: Column
 
 
 class Plan:
-    """Collects named aggregates of one table; run() gives their values."""
+    """Collects named aggregates of one table, plain ones, Distinct and Median; run() gives their values."""
 
     def __init__(self, df: DataFrame):
         self.df, self.wanted = df, {}
 
-    def add(self, name, aggregate: Column) -> None:
+    def add(self, name, aggregate: Column | Distinct | Median) -> None:
         self.wanted.setdefault(name, aggregate)
 
     def run(self) -> dict:
-        names, out = list(self.wanted), {}
+        wanted, self.wanted = self.wanted, {}
+        plain = {n: a for n, a in wanted.items() if isinstance(a, Column)}
+        names, out = list(plain), dict.fromkeys(wanted)
         for at in range(0, len(names), MAX_WIDTH):
             some = names[at : at + MAX_WIDTH]
-            row = self.df.agg(*[self.wanted[n].alias(f"a{i}") for i, n in enumerate(some)]).first()
+            row = self.df.agg(*[plain[n].alias(f"a{i}") for i, n in enumerate(some)]).first()
             out |= dict(zip(some, row))
-        self.wanted = {}
+        if distinct := {n: a.value for n, a in wanted.items() if isinstance(a, Distinct)}:
+            out |= distinct_counts(self.df, distinct)
+        if middle := {n: a.value for n, a in wanted.items() if isinstance(a, Median)}:
+            got = order_statistics(self.df, {n: (c, lambda k: {0.5: ((k - 1) // 2, k // 2)}) for n, c in middle.items()})
+            out |= {n: 0.5 * got[n, (k - 1) // 2] + 0.5 * got[n, k // 2] for n, k in got.counts.items() if k}
         return out
 
 
+def median(df: DataFrame, value: Column) -> float | None:
+    plan = Plan(df)
+    plan.add("m", Median(value))
+    return plan.run()["m"]
+
+
+def _as_text(c: Column, kind: T.DataType) -> Column:
+    """A text that is the same for equal values only."""
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return F.when(c == 0, "0.0").otherwise(c.cast("string"))  # both zeros are equal
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.when(c.isNotNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}))
+    return c.cast("string")
+
+
+def distinct_counts(df: DataFrame, values: dict) -> dict:
+    """The number of distinct non-null values of each named column, in one job of two partial aggregates."""
+    names = list(values)
+    base = df.select(*[c.alias(f"_{i}") for i, c in enumerate(values.values())])
+    cells = [F.struct(F.lit(i).alias("i"), _as_text(F.col(f.name), f.dataType).alias("v")) for i, f in enumerate(base.schema.fields)]
+    long = base.select(F.explode(F.array(*cells)).alias("x")).select("x.i", "x.v").where("v is not null")
+    got = {r["i"]: r["count"] for r in long.distinct().groupBy("i").count().collect()}
+    return {n: got.get(i, 0) for i, n in enumerate(names)}
+
+
 def ranks(n: int, qs) -> dict[float, int]:
     """AG-04: the 0-based nearest rank of each quantile, halves away from zero."""
     return {x: math.floor((n - 1) * x + 0.5) for x in qs}
 
 
-def nearest_quantiles(df: DataFrame, columns: list[str], qs, counts: dict[str, int] | None = None, exact_values: int = EXACT_VALUES) -> dict[tuple[str, float], float]:
-    """(column, q) -> the value of nearest rank among the non-nulls; absent if there are none.
+def nearest_quantiles(df: DataFrame, columns: list[str], qs, counts: dict[str, int] | None = None) -> dict[tuple[str, float], float]:
+    """(column, q) -> the value of nearest rank among the non-nulls; absent if there are none."""
+    got = order_statistics(df, {c: (q(c), lambda n: {x: (r,) for x, r in ranks(n, qs).items()}) for c in columns if counts is None or counts[c]})
+    return {(c, x): got[c, r] for c, n in got.counts.items() if n for x, r in ranks(n, qs).items()}
+
+
+class Ranked(dict):
+    """(name, rank) -> value, and counts: name -> number of values."""
+
+    def __init__(self):
+        super().__init__()
+        self.counts: dict = {}
+
+
+@dataclass
+class _Bracket:
+    name: object
+    at: int  # number of the column
+    rank: int
+    low: float
+    high: float
+
+
+def order_statistics(df: DataFrame, wanted: dict) -> Ranked:
+    """Values by rank among the non-nulls, exactly. wanted: name -> (column, function from their number to {quantile: ranks}).
 
-    Up to exact_values of them in one aggregate; beyond, by narrowing bins: each
-    pass counts 4096 bins around each rank, and stops where a bin holds one value.
-    No pass shuffles more than the bin counts.
+    Jobs: one for counts, ends and sketches; then two a pass (rows below each bracket;
+    bins within), about two passes. What comes back is bin counts.
     """
-    if counts is None:
-        plan = Plan(df)
-        for c in columns:
-            plan.add(c, F.count(q(c)))
-        counts = plan.run()
-    small, large, plan = [], [], Plan(df)
-    for c in columns:
-        (small if counts[c] <= exact_values else large).append(c)
-    for c in small:
-        if counts[c]:
-            for x, r in ranks(counts[c], qs).items():
-                plan.add((c, x), F.expr(f"percentile_disc({(r + 0.5) / counts[c]!r}D) within group (order by `{c}`)"))
-    out = plan.run() if plan.wanted else {}
-    for c in large:
-        for x, r in ranks(counts[c], qs).items():
-            out[c, x] = _narrowed(df.select(q(c).cast("double").alias("v")).where("v is not null"), r)
-    return {k: v for k, v in out.items() if v is not None}
-
-
-def _narrowed(values: DataFrame, rank: int, bins: int = 4096) -> float:
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    below = 0
-    while True:
-        if low == high:
-            return low
-        width = (high - low) / bins
-        if width == 0 or low + width == low:
-            kept = values.where(F.col("v").between(low, high)).groupBy("v").count().orderBy("v").collect()  # neighbouring doubles: few values
-            for v, n in kept:
-                below += n
-                if rank < below:
-                    return v
-        at = F.least(F.lit(bins - 1), F.floor((F.col("v") - low) / width)).alias("b")
-        counted = values.where(F.col("v").between(low, high)).groupBy(at).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
-        for r in counted:
-            if rank < below + r["n"]:
-                low, high = r["lo"], r["hi"]
+    names, out = list(wanted), Ranked()
+    base = df.select(*[c.cast("double").alias(f"_{i}") for i, (c, _) in enumerate(wanted.values())])
+    guess = sorted({x for _, of in wanted.values() for x in of(1)})
+    slack = 3 / ACCURACY
+    near = [min(1.0, max(0.0, x + d)) for x in guess for d in (-slack, slack)]
+    ends: dict = {}
+    for a in range(0, len(names), MAX_WIDTH // 4):
+        some = range(a, min(len(names), a + MAX_WIDTH // 4))
+        aggs = [x for i in some for x in (F.count(f"_{i}"), F.min(f"_{i}"), F.max(f"_{i}"), F.percentile_approx(f"_{i}", near, ACCURACY))]
+        row = base.agg(*[x.alias(f"a{k}") for k, x in enumerate(aggs)]).first()
+        for k, i in enumerate(some):
+            ends[i] = row[4 * k : 4 * k + 4]
+    open_, odd = [], []
+    for i, name in enumerate(names):
+        n, low, high, marks = ends[i]
+        out.counts[name] = n
+        if not n:
+            continue
+        if any(math.isnan(x) or math.isinf(x) for x in (low, high)):
+            odd.append((i, name, n))
+            continue
+        for x, rs in wanted[name][1](n).items():
+            k = 2 * guess.index(x) if x in guess else None
+            open_ += [_Bracket(name, i, r, marks[k] if k is not None else low, marks[k + 1] if k is not None else high) for r in dict.fromkeys(rs)]
+    while open_:
+        open_ = _narrowed(base, open_, ends, out)
+    if odd:  # infinities and NaN have no bins
+        for i, name, n in odd:
+            rs = sorted({r for group in wanted[name][1](n).values() for r in group})
+            row = base.agg(*[F.expr(f"percentile_disc({(r + 0.5) / n!r}D) within group (order by _{i})").alias(f"a{r}") for r in rs]).first()
+            out.update({(name, r): row[k] for k, r in enumerate(rs)})
+    return out
+
+
+def _narrowed(base: DataFrame, brackets: list[_Bracket], ends: dict, out: Ranked) -> list[_Bracket]:
+    """One pass: brackets found to hold one value go to out, the others come back narrower."""
+    spans = list(dict.fromkeys((b.at, b.low, b.high) for b in brackets))
+    below = base.agg(*[F.count_if(F.col(f"_{i}") < F.lit(low)).alias(f"b{k}") for k, (i, low, _) in enumerate(spans)]).first()
+    cells = []
+    for k, (i, low, high) in enumerate(spans):
+        v, width = F.col(f"_{i}"), (high - low) / BINS
+        which = F.least(F.lit(BINS - 1), F.floor((v - F.lit(low)) / F.lit(width)).cast("int")) if width > 0 and low + width > low else F.lit(0)
+        cells.append(F.struct(F.lit(k).alias("k"), F.when(v.between(low, high), which).alias("bin"), v.alias("v")))
+    long = base.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("bin is not null")
+    tight = {k for k, (_, low, high) in enumerate(spans) if not ((high - low) / BINS > 0 and low + (high - low) / BINS > low)}
+    # Ends that no bin can part: their values themselves, which are few neighbouring doubles.
+    key = F.when(F.col("k").isin(list(tight)), F.col("v")) if tight else F.lit(None).cast("double")
+    bins: dict = {}
+    for r in long.groupBy("k", "bin", key.alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k", "bin", "at").collect():
+        bins.setdefault(r["k"], []).append(r)
+    left = []
+    for b in brackets:
+        k = spans.index((b.at, b.low, b.high))
+        under = below[k]
+        inside = sum(r["n"] for r in bins.get(k, ()))
+        if not under <= b.rank < under + inside:
+            if (b.low, b.high) == (ends[b.at][1], ends[b.at][2]):
+                raise RuntimeError("the rows changed between two reads")
+            left.append(_Bracket(b.name, b.at, b.rank, ends[b.at][1], ends[b.at][2]))
+            continue
+        for r in bins[k]:
+            if b.rank < under + r["n"]:
+                if r["lo"] == r["hi"]:
+                    out[b.name, b.rank] = r["lo"]
+                else:
+                    left.append(_Bracket(b.name, b.at, b.rank, r["lo"], r["hi"]))
                 break
-            below += r["n"]
+            under += r["n"]
+    return left

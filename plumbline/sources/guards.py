@@ -1,4 +1,4 @@
-"""Checks on files before they are read (SRC-10..13). Header bytes come through Spark's reader, so any store will do."""
+"""Checks on files before they are read (SRC-10..13). Header bytes come through the file system that Spark has for the path, so any store will do."""
 
 from __future__ import annotations
 
@@ -34,9 +34,19 @@ def extension(path: str) -> str:
 
 
 def head_bytes(spark: SparkSession, path: str, n: int = 16384) -> bytes:
-    """The first bytes of a file, or of one file of a folder; the rest stays on the executor."""
-    row = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, n)).first()
-    return bytes(row[0]) if row and row[0] is not None else b""
+    """The first bytes of a file, or of the first data file of a folder, through its file system: no more of it is read, however large it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.getFileStatus(at).isDirectory():
+        files = sorted(f.getPath().toString() for f in fs.listStatus(at) if f.isFile() and f.getPath().getName()[0] not in "_.")
+        if not files:
+            return b""
+        at = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
 
 
 def check_signature(spark: SparkSession, path: str) -> None:

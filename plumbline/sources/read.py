@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import re
 import zipfile
 from collections import Counter
+from functools import reduce
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.cells import total
 from plumbline.operators.clean import sanitise
-from plumbline.sources.guards import EmptyFile, SourceError, check_archive, extension, head_bytes
+from plumbline.sources.guards import EmptyFile, SourceError, check_archive, check_signature, check_size, extension, head_bytes
 
 HEAD = 1 << 16  # bytes that are looked at
 # Separators that are tried.
@@ -62,26 +66,49 @@ def sniff(head: bytes) -> tuple[str, str, int]:
     return enc, best, physical
 
 
-def delimited(spark: SparkSession, path: str, sep: str | None = None, skip: int | None = None, charset: str | None = None) -> DataFrame:
+def delimited(spark: SparkSession, path: str, sep: str | None = None, skip: int | None = None, charset: str | None = None, multiline: bool | None = None) -> DataFrame:
     """SRC-02, SRC-04, SRC-09: all columns as text; short lines are filled with nulls, long ones cut.
 
-    Without a preamble the file goes straight through Spark's CSV reader (splittable). A preamble is dropped by line
-    number within its file before the lines are parsed.
+    Preamble and header are dropped from the start of each file: as many rows equal to them as they have, so a row further
+    down that repeats one of them stays. multiline: quoted values may hold line breaks, and files aren't split; if None,
+    a scan for lines with an odd number of quotes tells.
     """
+    head = _plain_head(spark, path)
     if sep is None or skip is None or charset is None:
-        found = sniff(_plain_head(spark, path))
+        found = sniff(head)
         charset, sep, skip = charset or found[0], found[1] if sep is None else sep, found[2] if skip is None else skip
-    options = {"sep": sep, "encoding": charset, "mode": "PERMISSIVE", "escape": '"', "multiLine": "false"}
-    if not skip:
-        return spark.read.options(**options).option("header", True).csv(path)
-    raw = spark.read.option("encoding", charset).text(path) if charset == "UTF-8" else spark.read.options(**options | {"sep": "\u0001", "quote": ""}).schema("value string").csv(path)
-    head = [x for x in _plain_head(spark, path).decode(charset, "replace").lstrip("﻿").splitlines()]
-    drop = head[: skip + 1]
-    names = next(iter(spark.createDataFrame([(head[skip],)], "value string").select(F.split("value", re.escape(sep))).first()))
-    kept = raw.where(~F.regexp_replace("value", "^﻿", "").isin(*drop))
+    if multiline is None:
+        multiline = charset == "UTF-16" or _quoted_breaks(spark, path)
+    options = {"sep": sep, "encoding": charset, "mode": "PERMISSIVE", "escape": '"', "multiLine": multiline}
+    first = _records(head.decode(charset, "replace").lstrip("\ufeff"), sep, skip + 1)
+    if len(first) <= skip:
+        raise EmptyFile(f"{path} has no header")
+    names = first[skip]
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
-    parsed = kept.where(F.trim("value") != "").select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "escape": '"'}).alias("r")).select("r.*")
-    return parsed.toDF(*_distinct([n.strip().strip('"') for n in names]))
+    rows = spark.read.options(**options).schema(schema).csv(path)
+    # Of the rows that equal one of the first, those beyond as many as every file begins with stay.
+    wanted = Counter(tuple((r + [None] * len(names))[: len(names)]) for r in first)
+    files = len(rows.inputFiles())
+    bare = [F.regexp_replace("_0", "^\ufeff", ""), *[F.col(f"_{i}") for i in range(1, len(names))]]
+    same = {r: total([c.eqNullSafe(F.lit(v)) for c, v in zip(bare, r)]) == len(names) for r in wanted}
+    hit = reduce(lambda x, y: x | y, same.values())
+    out = rows.where(~hit)
+    counts = rows.agg(*[F.count_if(c) for c in same.values()]).first()
+    if extra := [r for (r, n), k in zip(wanted.items(), counts) for _ in range(max(0, k - n * files))]:
+        out = out.union(spark.createDataFrame(extra, schema))
+    return out.toDF(*_distinct([(n or "").strip() for n in names]))
+
+
+def _records(text: str, sep: str, k: int) -> list[list]:
+    """The first k records of a text, blank lines left out, empty values null."""
+    found = csv.reader(io.StringIO(text), delimiter=sep)
+    return [[v or None for v in r] for r in itertools.islice((r for r in found if r), k)]
+
+
+def _quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """A line with an odd number of quotes: a value goes on in the next one."""
+    lines = spark.read.text(path)
+    return bool(lines.where(F.length("value") % 2 != F.length(F.replace("value", F.lit('"'), F.lit(""))) % 2).head(1))
 
 
 def _distinct(names: list[str]) -> list[str]:
@@ -142,7 +169,11 @@ def arrow_file(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql.pandas.types import from_arrow_schema
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    first = feather.read_table(pa.BufferReader(bytes(files.first()[0]))).schema
+    head = head_bytes(spark, path, HEAD << 4)
+    if head.startswith(b"ARROW1"):  # the schema is the first message behind the mark
+        first = pa.ipc.read_schema(pa.BufferReader(head[8:]))
+    else:
+        first = feather.read_table(pa.BufferReader(bytes(files.first()[0]))).schema
     schema = from_arrow_schema(first)
 
     def rows(batches):
@@ -153,10 +184,13 @@ def arrow_file(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(rows, schema)
 
 
-def read(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
-    """SRC-01: by extension, sanitised; an empty table raises."""
+def read(spark: SparkSession, path: str, clean: bool = True, most_bytes: int | None = None) -> DataFrame:
+    """SRC-01: by extension, sanitised; an empty table raises. The first bytes must be of that kind (SRC-11); most_bytes bounds an upload's size (SRC-12)."""
     kind = extension(path)
     try:
+        check_signature(spark, path)
+        if most_bytes is not None:
+            check_size(spark, [path], most_bytes)
         if kind in (".csv", ".txt"):
             df = delimited(spark, path)
         elif kind == ".tsv":

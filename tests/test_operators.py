@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.cells import finite, is_title, null_tokens, to_number
 from plumbline.functions.names import humanise, matches, rename, snake_case, unique_names
 from plumbline.operators import clean, features, infer, issues, outliers, profile, relate, report, retrieve, score, series, stats
-from plumbline.plans.aggplan import nearest_quantiles
+from plumbline.plans.aggplan import median, nearest_quantiles
 from plumbline.plans.analysis import Config, EmptyDataset, analyse, run_steps
 
 
@@ -50,7 +50,40 @@ def test_winsorize(spark):
 def test_quantiles_by_narrowing(spark):
     df = spark.range(5000).select(((F.col("id") * 7919) % 5003 / 7.0).alias("v"), F.lit(3.0).alias("same"))
     qs = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
-    assert nearest_quantiles(df, ["v", "same"], qs, exact_values=0) == nearest_quantiles(df, ["v", "same"], qs)
+    values = sorted(col(df, "v"))
+    want = {("v", x): values[int((len(values) - 1) * x + 0.5)] for x in qs} | {("same", x): 3.0 for x in qs}
+    assert nearest_quantiles(df, ["v", "same"], qs) == want
+    assert median(df, F.col("v")) == (values[2499] + values[2500]) / 2
+    odd = spark.createDataFrame([(float(v),) for v in (1, 2, "inf", "-inf", 5)] + [(None,)], "v double")
+    assert nearest_quantiles(odd, ["v"], (0.0, 0.5, 1.0)) == {("v", 0.0): float("-inf"), ("v", 0.5): 2.0, ("v", 1.0): float("inf")}
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.one_of(st.none(), st.floats(-1e9, 1e9), st.floats(-1, 1), st.sampled_from([0.0, -0.0, 1e300, 5e-324])), max_size=40), extra=st.integers(0, 3))
+def test_order_statistics_against_sorting(spark, values, extra):
+    rows = values + [1.5] * extra
+    df = spark.createDataFrame([(v,) for v in rows] or [(None,)], "v double")
+    known = sorted(v for v in rows if v is not None)
+    got = nearest_quantiles(df, ["v"], (0.1, 0.25, 0.75, 0.99))
+    assert got == {("v", x): known[int((len(known) - 1) * x + 0.5)] for x in (0.1, 0.25, 0.75, 0.99) if known}
+    middle = median(df, F.col("v"))
+    assert middle == (0.5 * known[(len(known) - 1) // 2] + 0.5 * known[len(known) // 2] if known else None)
+    assert stats.distinct_counts(df) == {"v": len(set(known)) + (len(known) < max(1, len(rows)))}
+
+
+def test_casts_convert(spark):
+    """Numeric text, serial days and dates of several patterns keep their values; a cast that would empty some is for review."""
+    from datetime import date
+
+    df = spark.createDataFrame([("$1,150.50", 45000, "11/02/2024"), ("(3.5)", 1, "25/12/2023"), ("7.0%", 0, "01/01/2020")] * 2, "amount string, day long, text string")
+    fixed = issues.Fix("cast", "text", ("date",)).apply(issues.Fix("cast", "day", ("date",)).apply(issues.Fix("cast", "amount", ("double",)).apply(df)))
+    assert [tuple(r) for r in fixed.limit(3).collect()] == [(1150.5, date(2023, 3, 15), date(2024, 2, 11)), (-3.5, date(1899, 12, 31), date(2023, 12, 25)), (7.0, date(1899, 12, 30), date(2020, 1, 1))]
+    half = issues.Fix("cast", "day", ("timestamp",)).apply(spark.createDataFrame([(1.5,)], "day double"))
+    assert half.first()[0] == datetime(1899, 12, 31, 12)
+    found = issues.detect(spark.createDataFrame([(f"${i},150.50",) for i in range(9)], "v string"))
+    assert [(i.fix.action, i.fix.params) for i in found.issues if i.issue_type == "type_mismatch"] == [("cast", ("double",))]
+    found = issues.detect(spark.createDataFrame([(f"{i}.5",) for i in range(9)] + [("many",)], "v string"))
+    assert [i.fix.action for i in found.issues if i.issue_type == "type_mismatch"] == ["review"]
 
 
 def test_joins(spark):

@@ -37,6 +37,40 @@ def test_ragged_lines(spark, tmp_path):
     assert df.count() == 2 and df.where("c is null").count() == 1
 
 
+def test_preamble_rows_and_headers_that_come_again_stay(spark, tmp_path):
+    df = read(spark, save(tmp_path, "p.csv", "Report;x\nid;name;city;n\n1;a;b;3\nid;name;city;n\nReport;x\n2;c;d;4\n"), clean=False)
+    assert sorted((r.id, r.name, r.city) for r in df.collect()) == [("1", "a", "b"), ("2", "c", "d"), ("Report", "x", None), ("id", "name", "city")]
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"part{i}.csv").write_text(f"made by hand\nid,name,city,n\n{i},x,y,1\nid,name,city,n\n")
+    got = [r.id for r in read(spark, str(folder), clean=False).collect()]
+    assert sorted(got) == ["0", "1", "2", "id", "id", "id"]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    rows = "".join(f"{i},plain\n" for i in range(20_000))
+    df = read(spark, save(tmp_path, "q.csv", "id,note\n" + rows + '90001,"x\ny"\n90002,"say ""hi"""\n'), clean=False)
+    assert df.count() == 20_002
+    assert [r.note for r in df.where("id in ('90001', '90002')").orderBy("id").collect()] == ["x\ny", 'say "hi"']
+
+
+def test_heads_of_large_files(spark, tmp_path):
+    path = tmp_path / "large.csv"
+    with open(path, "wb") as f:
+        f.write(b"a,b\n1,2\n")
+        f.truncate(2_300_000_000)
+    assert guards.head_bytes(spark, str(path), 8) == b"a,b\n1,2\n"
+    with pytest.raises(guards.SourceError):
+        read(spark, str(path), most_bytes=1 << 20)
+    path.unlink()
+
+
+def test_signature_is_checked_on_reading(spark, tmp_path):
+    with pytest.raises(guards.SourceError):
+        read(spark, save(tmp_path, "no.parquet", b"id,name\n1,2\n"))
+
+
 def test_other_formats(spark, tmp_path):
     assert read(spark, save(tmp_path, "t.tsv", "a\tb\n1\tx\n2\ty\n")).count() == 2
     assert read(spark, save(tmp_path, "j.jsonl", '{"A b": 1}\n{"A b": 2}\n')).columns == ["a_b"]
