@@ -6,6 +6,7 @@ from plumbline.catalog.base import DIRTY_SQL, REPEATED_SQL, dirty, near, query,
 from plumbline.catalog.statistics import rounded
 from plumbline.functions.cells import NULL_TOKENS, PLACEHOLDERS, clip, null_tokens, q, to_number
 from plumbline.operators import clean, features
+from plumbline.operators.issues import Fix
 
 KEY = ["order_id", "line_no"]
 _STRIP = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
@@ -50,7 +51,7 @@ def clip_values(spark, d):
 
 @query("missing_flag", f"select order_id, line_no, case when quantity is null then 1 else 0 end as quantity_is_missing from {DIRTY_SQL}")
 def missing_flag(spark, d):
-    return dirty(spark, d).select(*KEY, q("quantity").isNull().cast("int").alias("quantity_is_missing"))
+    return Fix("flag_missing", "quantity").apply(dirty(spark, d)).select(*KEY, q("quantity_is_missing").cast("int").alias("quantity_is_missing"))
 
 
 @query("drop_null_rows", f"select order_id, line_no, quantity, price from {DIRTY_SQL} where quantity is not null")
@@ -89,7 +90,7 @@ def winsorize(spark, d):
 
 @query("dedup_rows", f"select distinct o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from {REPEATED_SQL}")
 def dedup_rows(spark, d):
-    return repeated(spark, d).dropDuplicates().select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return Fix("distinct").apply(repeated(spark, d)).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
 def _auto(c: str) -> str:
@@ -178,8 +179,6 @@ def number_features(spark, d):
 
 @query("typed_fixes", f"select order_id, line_no, regexp_replace(status, '^\\s+|\\s+$', '', 'g') as status, case when age > 120 then 120 when age < 0 then 0 else age end as age, try_cast(flag as bigint) as flag from {DIRTY_SQL} where regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') or email is null")
 def typed_fixes(spark, d):
-    from plumbline.operators.issues import Fix
-
     x = dirty(spark, d).select(*KEY, "status", "age", "email", "flag")
     for f in (Fix("keep_email", "email"), Fix("strip", "status"), Fix("clip", "age", (0, 120)), Fix("cast", "flag", ("bigint",))):
         x = f.apply(x)

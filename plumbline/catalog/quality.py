@@ -17,15 +17,14 @@ _S = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 
 @query(
     "masked_nulls",
-    " union all ".join(f"select '{c}' as \"column\", count(*) filter (where lower({_S.format(c=c)}) in ({_MASKED})) as masked from {DIRTY_SQL}" for c in ("status", "amount", "email", "flag"))
+    "select * from ("
+    + " union all ".join(f"select '{c}' as \"column\", count(*) filter (where lower({_S.format(c=c)}) in ({_MASKED})) as masked from {DIRTY_SQL}" for c in ("status", "amount", "email", "flag"))
     + " union all "
-    + " union all ".join(f"select '{c}' as \"column\", count(*) filter (where {c} in ({', '.join(map(str, MASKED_NUMBERS))})) as masked from {DIRTY_SQL}" for c in ("order_id", "age")),
+    + " union all ".join(f"select '{c}' as \"column\", count(*) filter (where {c} in ({', '.join(map(str, MASKED_NUMBERS))})) as masked from {DIRTY_SQL}" for c in ("order_id", "line_no", "age", "quantity", "price", "discount_rate"))
+    + ") where masked > 0",
 )
 def masked_nulls(spark, d):
-    x = dirty(spark, d)
-    counts = [(c, F.count_if(F.lower(strip(q(c))).isin(*MASKED_TEXT))) for c in ("status", "amount", "email", "flag")] + [(c, F.count_if(q(c).isin(*MASKED_NUMBERS))) for c in ("order_id", "age")]
-    row = x.agg(*[a.alias(c) for c, a in counts])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), q(c).alias("masked")) for c, _ in counts])).alias("x")).select("x.*")
+    return issues.detect(dirty(spark, d)).rows(spark).where("fix = 'null_out'").select("column", F.col("affected_rows").alias("masked"))
 
 
 @query(
@@ -51,7 +50,7 @@ def email_rule(spark, d):
 @query("age_rule", f"select 'age' as \"column\", count(*) filter (where age < 0 or age > 120) as affected_rows, 'high' as severity from {DIRTY_SQL}")
 def age_rule(spark, d):
     x = dirty(spark, d).select("order_id", "age")
-    return issues.detect(x).rows(spark).where("issue_type = 'outliers' and column = 'age' and fix = 'clip'").select("column", "affected_rows", "severity").limit(1)
+    return issues.detect(x).rows(spark).where("description like '%ages outside%'").select("column", "affected_rows", "severity")
 
 
 _NOW = datetime(1999, 1, 1)
@@ -83,8 +82,7 @@ def mid_headers(spark, d):
 
 @query("dup_rows", f"select (select count(*) from {REPEATED_SQL}) - (select count(*) from (select distinct * from {REPEATED_SQL})) as affected_rows")
 def dup_rows(spark, d):
-    x = repeated(spark, d)
-    return spark.createDataFrame([(x.count() - stats.distinct_rows(x),)], "affected_rows long")
+    return issues.detect(repeated(spark, d)).rows(spark).where("fix = 'distinct'").select("affected_rows")
 
 
 @query("near_dup", "select (select count(*) from orders) - (select count(*) from (select distinct o_custkey, o_orderstatus, o_orderpriority from orders)) as affected_rows")

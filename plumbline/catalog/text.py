@@ -61,4 +61,5 @@ def fuzzy_pairs(spark, d):
 
 @query("title_case", "select distinct c_mktsegment as raw, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) as titled from customer")
 def title_case(spark, d):
-    return table(spark, d, "customer").select(F.col("c_mktsegment").alias("raw"), F.initcap("c_mktsegment").alias("titled")).distinct()
+    x = table(spark, d, "customer").select(F.col("c_mktsegment").alias("raw"), F.col("c_mktsegment").alias("titled"))
+    return issues.Fix("title_case", "titled").apply(x).distinct()

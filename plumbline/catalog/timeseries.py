@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import query, table
@@ -50,9 +52,16 @@ def decompose_residual(spark, d):
     return rounded(series.decompose(_daily(spark, d)), 4)
 
 
-@query("residual_outliers")
+@query(
+    "residual_outliers",
+    f"""with s as {_DAILY}, t as (select i, y, sum(y) over (order by i rows between 3 preceding and 3 following) / 7 as trend from s), p as (select i % 7 as phase, median(y - trend) as seasonal from t group by 1),
+    r as (select i, y, trend, seasonal, y - trend - seasonal as residual from t join p on i % 7 = phase), c as (select median(residual) as mid, count(*) as n, avg(residual) as mean, stddev_pop(residual) as sd from r),
+    m as (select median(abs(residual - mid)) as mad from r, c)
+    select i, round(y, 4) as y, round(trend, 4) as trend, round(seasonal, 4) as seasonal, round(residual, 4) as residual from r, c, m
+    where n >= 14 and case when mad > 0 then 0.6745 * abs(residual - mid) / mad > 3 else abs(residual - mean) > 2 * sd end""",
+)
 def residual_outliers(spark, d):
-    return series.residual_outliers(_daily(spark, d))
+    return rounded(series.residual_outliers(_daily(spark, d)), 4)
 
 
 _STATS = "count(*) as n, count(*) - count(value) as null_values, round(avg(value), 6) as mean, min(value) as min, max(value) as max"
@@ -81,13 +90,12 @@ def windows_session(spark, d):
     return x.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
-@query("stream_windows")
+@query("stream_windows", f"select date_trunc('hour', ts) as window_start, event_type, {_STATS} from events group by 1, 2")
 def stream_windows(spark, d):
-    """The tumbling windows from a stream over the same files: append mode, so closed windows only."""
-    import uuid
-
+    """The tumbling windows from a stream over the same files. Updates go to Parquet, batch by batch; the last of each window, open ones too, is its result."""
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    name = f"w{uuid.uuid4().hex}"
-    run = streams.window_stats(source).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    base = f"{streams.shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    run = streams.updates(streams.window_stats(source), f"{base}/out", f"{base}/checkpoint")
     run.awaitTermination()
-    return spark.table(name)
+    x = streams.latest(spark.read.parquet(f"{base}/out"), ["window_start", "event_type"])
+    return x.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "null_values", F.round("mean", 6).alias("mean"), "min", "max")

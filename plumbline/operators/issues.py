@@ -152,8 +152,8 @@ class Ledger:
 
     def rows(self, spark) -> DataFrame:
         return spark.createDataFrame(
-            [(i.issue_type, i.severity, i.column, i.affected_rows, round(i.affected_pct, 4), i.fix.action) for i in self.issues],
-            "issue_type string, severity string, column string, affected_rows long, affected_pct double, fix string",
+            [(i.issue_type, i.severity, i.column, i.affected_rows, round(i.affected_pct, 4), i.fix.action, i.description) for i in self.issues],
+            "issue_type string, severity string, column string, affected_rows long, affected_pct double, fix string, description string",
         )
 
 

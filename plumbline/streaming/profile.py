@@ -5,7 +5,9 @@ Batch and stream share window_stats(); on a stream a watermark bounds the state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,6 +33,29 @@ def sessions(events: DataFrame, time: str = "ts", user: str = "user_id", gap: st
     return out.select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode, as in tests, a folder of this machine where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or "file://" + tempfile.mkdtemp(prefix="plumbline-")
+
+
+def updates(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the rows that each micro-batch changes to a folder of its own, so a repeated batch replaces itself; nothing passes through the driver."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return result.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(written: DataFrame, key: list[str]) -> DataFrame:
+    """Of what updates() wrote, each key's row of the last batch that changed it."""
+    rest = [c for c in written.columns if c not in (*key, "batch")]
+    return written.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_x")).select(*key, "_x.*")
+
+
 def profile_stream(events: DataFrame, path: str, checkpoint: str, columns: list[str] | None = None) -> StreamingQuery:
     """Appends to `path`, per micro-batch, each column's row, null and approximate distinct counts; each batch writes its own folder, so a repeated batch replaces itself."""
     from plumbline.functions.cells import q
