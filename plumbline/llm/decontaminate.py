@@ -2,8 +2,10 @@
 
 Documents stay where they are read. Each task cuts its documents into shards of
 bounded size, builds a suffix array of word numbers over each shard, and
-binary-searches every suffix of the benchmark in it. The benchmark is broadcast
-in blocks of bounded size, as many as it needs; a task holds one at a time.
+binary-searches every suffix of the benchmark in it. The benchmark is numbered
+and laid out as windows once, in blocks of bounded size, as many as it needs,
+which are broadcast; a task goes through them for each shard and holds one at a
+time.
 
 Words: A-Z lower-cased, then runs of ASCII digits and letters and of non-ASCII
 characters. A window is `window` consecutive words of an item; an item with
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import small_batches, unnamed
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-BLOCK_BYTES = 64 << 20  # of benchmark text in one broadcast
+BLOCK_BYTES = 8 << 20  # of benchmark text in one broadcast, which takes about ten times that
 SHARD_WORDS = 1 << 20  # of training text in one suffix array; a longer document is a shard of its own
 
 
@@ -44,24 +46,23 @@ class Suffixes:
     def __init__(self, items: list[tuple], window: int):
         self.window = window
         self.number: dict[bytes, int] = {}
-        self.ids, rows, lengths, owners, offsets = [], [], [], [], []
+        self.ids, rows = [], [np.empty((0, window), ">u4")]
+        lengths, owners, offsets = ([np.empty(0, np.int64)] for _ in range(3))
         for item_id, text in items:
             if not (found := words(text)):
                 continue
-            codes = [self.number.setdefault(w, len(self.number) + 1) for w in found]
+            codes = np.fromiter((self.number.setdefault(w, len(self.number) + 1) for w in found), np.uint32, len(found))
             n = min(window, len(codes))
-            for at in range(len(codes) - n + 1):
-                rows.append(codes[at : at + n] + [0] * (window - n))
-                lengths.append(n)
-                owners.append(len(self.ids))
-                offsets.append(at)
+            each = np.zeros((len(codes) - n + 1, window), ">u4")
+            each[:, :n] = np.lib.stride_tricks.sliding_window_view(codes, n)
+            rows.append(each)
+            lengths.append(np.full(len(each), n))
+            owners.append(np.full(len(each), len(self.ids)))
+            offsets.append(np.arange(len(each)))
             self.ids.append(None if item_id is None else str(item_id))
-        self.rows = np.array(rows, ">u4").reshape(-1, window)
-        self.length = np.array(lengths, np.int64)
-        self.owner = np.array(owners, np.int64)
-        self.offset = np.array(offsets, np.int64)
-        self.lead = int(min(lengths, default=1))
-        self.lead = min(self.lead, 3)
+        self.rows = np.concatenate(rows).astype(">u4")  # big-endian, so that bytes sort as numbers do
+        self.length, self.owner, self.offset = (np.concatenate(x) for x in (lengths, owners, offsets))
+        self.lead = min(3, int(self.length.min())) if len(self.length) else 1
         self.leads = np.unique(_pack(self.rows[:, : self.lead].astype(np.uint64)))
 
     def matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,17 +121,17 @@ def _longest(window, position, suffixes: Suffixes) -> dict[tuple[int, int], tupl
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> list:
-    """Broadcasts of (item_id, text) lists, each of a bounded number of bytes (or one item)."""
+    """Broadcasts of Suffixes, each of a bounded number of bytes of text (or one item)."""
     out, some, size = [], [], 0
     sc = benchmark.sparkSession.sparkContext
     for row in benchmark.select(item, text).where(F.col(text).isNotNull()).toLocalIterator():
         n = len(row[1].encode("utf-8", "surrogatepass"))
         if some and size + n > block_bytes:
-            out.append(sc.broadcast(some))
+            out.append(sc.broadcast(Suffixes(some, window)))
             some, size = [], 0
         some.append((row[0], row[1]))
         size += n
-    out.append(sc.broadcast(some))
+    out.append(sc.broadcast(Suffixes(some, window)))
     return out
 
 
@@ -164,22 +165,16 @@ def scan(
     )
 
     def searched(batches):
-        held: dict[int, Suffixes] = {}
-
-        def block(i):
-            if i not in held:
-                held.clear()
-                held[i] = Suffixes(blocks[i].value, window)
-            return held[i]
-
         def shard(texts):
             lists = [words(t) for t in texts]
             sizes = np.array([len(x) for x in lists], np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes + window)[:-1]])
             hit = np.zeros(int((sizes + window).sum()) + 1, np.int64)
             items = [{} for _ in texts]
-            for i in range(len(blocks)):
-                b = block(i)
+            for i, block in enumerate(blocks):
+                b = block.value
+                if len(blocks) > 1:
+                    block.__dict__.pop("_value", None)  # one block at a time: the next shard reads it again
                 if not len(b.rows):
                     continue
                 codes = np.zeros(len(hit) - 1, np.uint32)
@@ -204,17 +199,29 @@ def scan(
                 m = sorted((x for x in found.values() if x[0] is not None), key=lambda x: x[0])
                 yield int(n), int(cover[s : s + n].sum()), sorted({x[0] for x in m}), m
 
-        for batch in batches:
-            out, some, size = [], [], 0
-            for x in batch.column(at):
-                t = x.as_py()
-                n = len(t or "") // 5
-                if some and size + n > SHARD_WORDS:
-                    out += shard(some)
-                    some, size = [], 0
-                some.append(t)
-                size += n
-            out += shard(some)
+        def answers():
+            """(batch, results of its rows): shards go over the ends of batches."""
+            out, some, size, waiting = [], [], 0, []
+            for batch in batches:
+                waiting.append(batch)
+                for x in batch.column(at):
+                    t = x.as_py()
+                    n = len(t or "") // 5
+                    if some and size + n > SHARD_WORDS:
+                        out += shard(some)
+                        some, size = [], 0
+                    some.append(t)
+                    size += n
+                while waiting and len(out) >= waiting[0].num_rows:
+                    first = waiting.pop(0)
+                    yield first, out[: first.num_rows]
+                    out = out[first.num_rows :]
+            out += shard(some) if some else []
+            for batch in waiting:
+                yield batch, out[: batch.num_rows]
+                out = out[batch.num_rows :]
+
+        for batch, out in answers():
             arrays = [batch.column(i) for i in range(len(columns))]
             arrays += [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.string()))]
             arrays.append(
