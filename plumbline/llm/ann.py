@@ -157,9 +157,10 @@ def search(
     """
     import pyarrow as pa
 
-    from plumbline.llm.common import settle
+    from plumbline.llm.common import settle, small_batches
 
     spark = vectors.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).where(usable(F.col("v")) & F.col("id").isNotNull())
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
