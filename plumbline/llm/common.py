@@ -68,6 +68,11 @@ def release(df: DataFrame) -> None:
             _written.remove(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files that no plan refers to any more go when the driver collects its garbage, which may be much later than its disks fill: now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def unnamed(df: DataFrame, *columns: str) -> tuple:
     """df with its columns called c0, c1, ... (whatever they were, they clash with nothing then), and the new names of `columns`."""
     new = {c: f"c{i}" for i, c in enumerate(df.columns)}
