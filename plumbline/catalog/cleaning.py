@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from plumbline.catalog.base import DIRTY_SQL, REPEATED_SQL, dirty, near, query, repeated, table
 from plumbline.catalog.statistics import rounded
-from plumbline.functions.cells import NULL_TOKENS, PLACEHOLDERS, clip, null_tokens, q, to_number
+from plumbline.functions.cells import NULL_TOKENS, PLACEHOLDERS, clip, json_path, metadata, null_tokens, q, to_number, vector
 from plumbline.operators import clean, features
 from plumbline.operators.issues import Fix
 
@@ -183,3 +185,42 @@ def typed_fixes(spark, d):
     for f in (Fix("keep_email", "email"), Fix("strip", "status"), Fix("clip", "age", (0, 120)), Fix("cast", "flag", ("bigint",))):
         x = f.apply(x)
     return x.drop("email")
+
+
+@query(
+    "scaled",
+    f"""select l_orderkey, l_linenumber, round((l_quantity - (select avg(l_quantity) from lineitem)) / (select stddev_samp(l_quantity) from lineitem), 6) as l_quantity,
+      round((l_extendedprice - (select median(l_extendedprice) from lineitem)) / (select {near('l_extendedprice', 0.75)} - {near('l_extendedprice', 0.25)} from lineitem), 6) as l_extendedprice,
+      round((l_discount - (select min(l_discount) from lineitem)) / (select max(l_discount) - min(l_discount) from lineitem), 6) as l_discount from lineitem""",
+)
+def scaled(spark, d):
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    y = features.scale(x, {"l_quantity": "standard", "l_extendedprice": "robust", "l_discount": "minmax"})
+    return y.withColumns({c: F.round(c, 6) for c in ("l_quantity", "l_extendedprice", "l_discount")})
+
+
+@query(
+    "encoded",
+    """select o_orderkey, case o_orderstatus when 'F' then 0 when 'O' then 1 when 'P' then 2 end as o_orderstatus,
+      (select count(distinct p.o_orderpriority) from orders p where p.o_orderpriority < o.o_orderpriority)::int as o_orderpriority from orders o""",
+)
+def encoded(spark, d):
+    x = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return features.encode(x, {"o_orderstatus": "label_or_target", "o_orderpriority": "label_or_target"})
+
+
+@query("one_hot", "select o_orderkey, (o_orderstatus = 'F')::int as \"o_orderstatus_F\", (o_orderstatus = 'O')::int as \"o_orderstatus_O\", (o_orderstatus = 'P')::int as \"o_orderstatus_P\" from orders")
+def one_hot(spark, d):
+    return features.encode(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), {"o_orderstatus": "one_hot"})
+
+
+@query("json_cells", "select event_id, json_extract_string(props, '$.k') as value, json_extract_string(props, '$.k') as member from events")
+def json_cells(spark, d):
+    return table(spark, d, "events").select("event_id", json_path(F.col("props"), "k").alias("value"), metadata(F.col("props"))["k"].alias("member"))
+
+
+@query("vector_cells", "select l_orderkey, l_linenumber, l_quantity + l_discount as total from lineitem")
+def vector_cells(spark, d):
+    text = F.concat(F.lit("["), F.col("l_quantity").cast("string"), F.lit(", "), F.col("l_discount").cast("string"), F.lit("]"))
+    v = vector(text)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (v[0] + v[1]).alias("total"))

@@ -93,3 +93,23 @@ def total(flags: list[Column]) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return F.try_divide(a, b)
+
+
+def vector(c: Column, kind: str = "array<double>") -> Column:
+    """ARR-01: "[1, 2.5]" as an array; text that isn't one gives null."""
+    return F.from_json(c, kind)
+
+
+def metadata_text(c: Column) -> Column:
+    """MAP/JSON-01: a map or struct as JSON, null members kept."""
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
+def metadata(c: Column) -> Column:
+    """MAP/JSON-01: a JSON object as a map of texts; text that isn't one gives null."""
+    return F.from_json(c, "map<string,string>")
+
+
+def json_path(c: Column, *names: str) -> Column:
+    """JSON-02: the value at a path of object members, as text; null where there is none."""
+    return F.get_json_object(c, "$" + "".join(f"['{n}']" for n in names))

@@ -210,3 +210,8 @@ def sample_rows(df: DataFrame, n: int) -> DataFrame:
 
 def any_of(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, flags)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """AG-31: Spark's own estimate of the table's size, without reading it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
