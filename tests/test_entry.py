@@ -1,4 +1,4 @@
-"""Every registered query runs; those with SQL agree with DuckDB (a few here, all of them in the driver's check)."""
+"""Some registered queries against DuckDB (all of them run in the driver's check), and the entry points."""
 
 import duckdb
 import pytest
