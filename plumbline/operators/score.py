@@ -58,10 +58,10 @@ def eligible_categories(df: DataFrame, prof: Profile | None = None) -> list[str]
     ]
 
 
-def confidence(df: DataFrame, order: list[str] | None = None, sample: int | None = 1000, prof: Profile | None = None) -> DataFrame:
+def confidence(df: DataFrame, order: list[str] | None = None, sample: int | None = None, prof: Profile | None = None) -> DataFrame:
     """CF-07..11: column, completeness, consistency, validity, stability, overall, grade, issues.
 
-    Text consistency is judged on each text column's first `sample` values in the given order; None takes all of them, in the same single aggregate as the rest.
+    Text consistency is judged on all values, in the same single aggregate as the rest, or on each text column's first `sample` in the given order.
     """
     p = prof or profile(df)
     text, four, plan = strings(df), of_type(df, FOUR), Plan(df)

@@ -215,4 +215,4 @@ def read(spark: SparkSession, path: str, clean: bool = True, most_bytes: int | N
         raise SourceError(f"could not read {path}: {e}") from e
     if not df.take(1):
         raise EmptyFile(f"{path} is empty")
-    return sanitise(df) if clean else df
+    return sanitise(df, sample=None) if clean else df
