@@ -109,6 +109,96 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.rotated_codes import links
+
+    return links(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.ranked_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+with recursive e as materialized (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u as materialized (
+  select vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from e
+), link as materialized (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_inner_product(a.v, b.v) >= 0.95
+), reach(a, b) as (
+  select vec_id, vec_id from u union select reach.a, link.b from reach join link on reach.b = link.a
+), least as (select a, min(b) as component_id from reach group by a),
+number as (select a, count(*) as n from link group by a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+from embeddings left join least on vec_id = least.a left join number on vec_id = number.a
+"""
+
+OP12_SQL = r"""
+with d as materialized (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents
+), size as (select count(*) as docs, cast(sum(len(words)) as bigint) as terms from d where len(words) > 0),
+tf as materialized (select doc_id, len(words) as n, term, count(*) as tf from (select doc_id, words, unnest(words) as term from d) group by all),
+df as (select term, count(*) as df from tf group by term),
+asked as (
+  select distinct item_id, term from (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark)
+), scored as (
+  select item_id, doc_id, cast(sum(cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) as bigint) as score
+  from asked join tf using (term) join df using (term), size group by item_id, doc_id
+)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10
+"""
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    """Each round: the nearest entry of each part, then the floors of the means; unused entries stay."""
+    out = [
+        """k as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as materialized (
+  select vec_id, label, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] as v from k, range(4) r(p)
+), book0 as materialized (
+  select p, row_number() over (partition by p order by vec_id) - 1 as e, v from parts where vec_id in (select vec_id from k order by vec_id limit 256)
+)"""
+    ]
+    for r in range(rounds + 1):
+        out.append(f"""near{r} as materialized (
+  select vec_id, label, p, min(d * 256 + e) as de from (
+    select x.vec_id, x.label, x.p, e, list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, b.v) + list_inner_product(b.v, b.v) as d
+    from parts x join book{r} b on x.p = b.p) group by all
+)""")
+        if r < rounds:
+            out.append(f"""book{r + 1} as materialized (
+  select b.p, b.e, coalesce(n.v, b.v) as v from book{r} b left join (
+    select p, e, list(m order by place) as v from (
+      select n.p, cast(de as bigint) % 256 as e, place, floor(sum(x.v[place]) / count(*)) as m
+      from near{r} n join parts x on n.vec_id = x.vec_id and n.p = x.p, range(1, (select max(len(v)) + 1 from parts)) g(place) group by all) group by p, e) n on b.p = n.p and b.e = n.e
+)""")
+    last = f"near{rounds}"
+    return (
+        "with "
+        + ", ".join(out)
+        + f""", coded as (
+  select vec_id, label, string_agg(printf('%02x', cast(de as bigint) % 256), '' order by p) as code, cast(sum(cast(de as bigint) // 256) as bigint) as error from {last} group by vec_id, label
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(cast(cast(v[place] as bigint) as varchar), ',' order by p, e, place)) from book{rounds}, range(1, (select max(len(v)) + 1 from parts)) g(place)) as codebooks_sha256
+from coded"""
+    )
+
+
 OP8_SQL = r"""
 with u as (
   select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
@@ -136,4 +226,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from plumbline.llm.licenses import scan_sql
 
-    return {"op4_licenses": scan_sql(), "op8_url_filters": OP8_SQL}
+    return {"op4_licenses": scan_sql(), "op8_url_filters": OP8_SQL, "op11_embedding_dedup": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_vector_codes": _op13_sql()}
