@@ -11,8 +11,8 @@ blocks: it minimises the sum, over the postings, of the block's largest impact l
 the posting's own, plus BLOCK_COST a block. For each item, where the largest impacts of the
 blocks that cover a stretch of documents can't sum up to the k-th best score so far,
 the stretch is skipped: the stretches with the highest bounds go first, to raise that
-score, then the pivots follow in document order. A stretch whose bound equals the score is visited, as ties go
-to the smaller doc_id. So the k best of each shard are exact; the k best of those are the answer.
+score, then the pivots follow in document order. In a stretch, only documents of lists that can reach the score are
+scored. A stretch whose bound equals the score is visited, as ties go to the smaller doc_id. So the k best of each shard are exact; the k best of those are the answer.
 
 Null text, and text without terms, is no document. Items without terms, or with none
 that a document holds, have no rows. Rows of one item are one item with the terms of all. Repeated
@@ -35,6 +35,7 @@ from plumbline.llm.common import release, settle, small_batches
 SHARD_DOCS, SHARD_POSTINGS = 1 << 16, 1 << 22
 BLOCK_COST = 2_000_000  # in units of impact, of which a posting has at most 1,000,000
 UNIT, WIDEST = 8, 32  # block boundaries lie between units of so many postings; a block has at most so many units
+SHORT = 512  # postings of a list whose blocks may begin anywhere
 VOCABULARY, ITEM_TERMS = 500_000, 500_000  # terms that are sent to every task at once, terms of items searched at once
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -168,9 +169,10 @@ class _List:
         counts = counts.astype(np.int64)
         self.docs = docs
         self.impacts = (1_000_000_000 * counts) // (1000 * counts + 8 * m[docs])
-        begin = blocks(self.impacts)
+        begin = blocks(self.impacts, unit=1 if len(docs) <= SHORT else UNIT)
         self.first, self.last = docs[begin], docs[np.append(begin[1:], len(docs)) - 1]
         self.top = np.maximum.reduceat(self.impacts, begin)
+        self.most = int(self.top.max())
 
 
 class Searcher:
@@ -180,9 +182,16 @@ class Searcher:
         self.lists, self.score, self.read = lists, np.zeros(n, np.int64), 0
 
     def _evaluate(self, found: list, lows: np.ndarray, highs: np.ndarray, k: int, best: tuple) -> tuple:
-        """Scores all documents in the stretches [low, high), which are disjoint and in order, and keeps the k best."""
+        """Scores the documents in the stretches [low, high), which are disjoint and in order, and keeps the k best.
+
+        Lists whose largest impacts together stay below the k-th score can't bring up a document by themselves: they are
+        only looked up for the documents of the others.
+        """
+        least = best[1][-1] if len(best[0]) == k else 0
+        found = sorted(found, key=lambda x: x[1] * x[0].most)
+        below = int(np.searchsorted(np.cumsum([w * part.most for part, w in found]), least))  # sums under the k-th score
         touched = []
-        for part, w in found:
+        for part, w in found[below:]:
             a, b = np.searchsorted(part.docs, lows), np.searchsorted(part.docs, highs)
             n = b - a
             if (total := int(n.sum())) == 0:
@@ -192,6 +201,14 @@ class Searcher:
             self.score[docs] += w * part.impacts[at]
             self.read += total
             touched.append(docs)
+        if touched and below:
+            some = np.unique(np.concatenate(touched))
+            touched = [some]
+            for part, w in found[:below]:
+                at = np.minimum(np.searchsorted(part.docs, some), len(part.docs) - 1)
+                here = part.docs[at] == some
+                self.score[some[here]] += w * part.impacts[at[here]]
+                self.read += int(here.sum())
         if not touched:
             return best
         docs = np.concatenate(touched)
