@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.base import DIRTY_SQL, REPEATED_SQL, dirty, near, query, repeated, table
 from plumbline.catalog.statistics import rounded
 from plumbline.functions.cells import MASKED_NUMBERS, MASKED_TEXT, q, strings, strip
-from plumbline.operators import issues, outliers, profile, score, stats
+from plumbline.operators import issues, neighbours, outliers, profile, score, stats
 
 _MASKED = ", ".join(f"'{x}'" for x in MASKED_TEXT)
 _S = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
@@ -253,6 +253,24 @@ def multivariate(spark, d):
     return outliers.multivariate(table(spark, d, "lineitem").withColumn("row", F.expr("l_orderkey * 10 + l_linenumber")), "row", ["l_quantity", "l_extendedprice", "l_discount"])
 
 
+_LOF = """with x as materialized (select c_custkey as id, coalesce(cast(c_acctbal as double), 0) as a, coalesce(cast(c_nationkey as double), 0) as b from customer),
+  near as materialized (select * from (select x.id, y.id as o, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) as d, row_number() over (partition by x.id order by sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)), y.a, y.b, y.id) as r from x join x y on x.id <> y.id) where r <= 15),
+  reach as (select id as o, max(d) as kd from near group by 1), density as materialized (select id, 1 / (avg(greatest(kd, d)) + 1e-10) as dens from near join reach using (o) group by 1)"""
+
+
+@query("local_outliers", f"{_LOF} select near.id, round(avg(o.dens) / any_value(i.dens), 4) as lof from near join density o on o.id = near.o join density i on i.id = near.id group by near.id")
+def local_outliers(spark, d):
+    x = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal", "c_nationkey")
+    columns = ["c_acctbal", "c_nationkey"]
+    found = neighbours.local_outlier_factors(x, columns)
+    return x.withColumn("p", neighbours.point(columns)).join(found, "p").select("id", F.round("lof", 4).alias("lof"))
+
+
+@query("multivariate_summary")
+def multivariate_summary(spark, d):
+    return outliers.multivariate_summary(multivariate(spark, d), ["l_quantity", "l_extendedprice", "l_discount"])
+
+
 @query("text_columns", "select * from (values ('status'), ('amount'), ('email'), ('flag')) t(\"column\")")
 def text_columns(spark, d):
     return spark.createDataFrame([(c,) for c in strings(dirty(spark, d))], "column string")

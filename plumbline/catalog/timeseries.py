@@ -64,6 +64,18 @@ def residual_outliers(spark, d):
     return rounded(series.residual_outliers(_daily(spark, d)), 4)
 
 
+@query("stl_decompose")
+def stl_decompose(spark, d):
+    """Hourly totals, decomposed over a day."""
+    hourly = table(spark, d, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.sum("value").alias("y"))
+    return series.stl(series.positions(hourly, "hour", "y"), series.Spans(24, 13))
+
+
+@query("stl_outliers")
+def stl_outliers(spark, d):
+    return series.stl_outliers(_daily(spark, d), robust=True)
+
+
 _STATS = "count(*) as n, count(*) - count(value) as null_values, round(avg(value), 6) as mean, min(value) as min, max(value) as max"
 
 

@@ -7,7 +7,6 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 from plumbline.functions.cells import DATES, FOUR, MASKED_NUMBERS, MASKED_TEXT, numeric, of_type, q, strings, strip, to_number
 from plumbline.operators import stats
 from plumbline.operators.clean import bounds
+from plumbline.operators.fuzzy import similar_pairs
 from plumbline.operators.profile import Profile, profile
 from plumbline.plans.aggplan import Distinct, Plan
 
@@ -75,13 +75,13 @@ class Fix:
         if self.action == "keep_email":
             return df.where(q(c).rlike(EMAIL) | q(c).isNull())
         if self.action == "keep_until":
-            return df.where(q(c) <= F.lit(p[0]))
+            return df.where(q(c).isNull() | (q(c) <= F.lit(p[0])))
         if self.action == "keep_ordered":
             return df.where((q(c) >= q(p[0])) | q(c).isNull() | q(p[0]).isNull())
         if self.action == "drop_headers":
-            return df.where(F.lower(q(c)) != c.lower())
+            return df.where(q(c).isNull() | (F.lower(q(c)) != c.lower()))
         if self.action == "drop_summaries":
-            return df.where(~F.lower(strip(q(c))).isin(*SUMMARY_WORDS))
+            return df.where(q(c).isNull() | ~F.lower(strip(q(c))).isin(*SUMMARY_WORDS))
         return df
 
 
@@ -343,23 +343,8 @@ def _duplicates(df: DataFrame, p: Profile, n: int, pct) -> list[Issue]:
 
 
 def fuzzy_pairs(values: DataFrame, column: str, ratio: float = 0.88, length: int = 5) -> DataFrame:
-    """STR-09, JN-09: a, b, ratio of distinct texts that are alike by matching blocks but differ in more than case.
-
-    Candidates share a length band; the exact ratio is a pandas UDF over those pairs.
-    """
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-    v = values.where(q(column).isNotNull()).select(strip(q(column)).alias("v")).distinct().withColumn("n", F.length("v"))
-    left = v.select(F.col("v").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.floor(F.col("n") / (length + 1)) - 1, F.floor(F.col("n") / (length + 1)) + 1)).alias("band"))
-    right = v.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.floor(F.col("n") / (length + 1)).alias("band"))
-    pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= length) & (F.lower("a") != F.lower("b")))
-    # At most the shorter text can match: an upper bound that needs no UDF goes first.
-    pairs = pairs.where(F.expr(f"2.0D * least(na, nb) / (na + nb) >= {ratio}D"))
-    return pairs.select("a", "b", alike(F.lower("a"), F.lower("b")).alias("ratio")).where(F.col("ratio") >= ratio)
+    """STR-09, JN-09: a, b, ratio of distinct texts that are alike by matching blocks but differ in more than case."""
+    return similar_pairs(values, column, ratio, length)
 
 
 def _fuzzy(df: DataFrame, text: list[str], got: dict, n: int) -> list[Issue]:

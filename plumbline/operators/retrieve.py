@@ -80,7 +80,8 @@ def keyword_search(docs: DataFrame, query: str, k: int = 6, key: str = "doc_id",
     asked = sorted(set(re.findall(r"\w+", query.lower())))
     if not asked:
         return docs.select(F.col(key), F.lit(0.5).alias("score")).orderBy(key).limit(k)
-    own = docs.select(F.col(key), words(F.col(text)).alias("w")).where("size(w) > 0")
+    # A generator brings the array out: a filter on it can't be pushed below, where it would be worked out again.
+    own = docs.select(F.col(key), F.explode(F.array(words(F.col(text)))).alias("w")).where("size(w) > 0")
     both = F.size(F.array_intersect("w", F.array(*[F.lit(w) for w in asked])))
     scored = own.select(key, (both / (F.lit(len(asked) ** 0.5) * F.sqrt(F.size("w").cast("double")) + 1e-6)).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(k)

@@ -11,7 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.loess import Spans, stl
 from plumbline.plans.aggplan import median
+from plumbline.plans.grouped import group_medians
 from plumbline.functions.cells import DATES, numeric, of_type, q
 
 LAGS = {7: "weekly", 30: "monthly", 90: "quarterly", 365: "yearly"}
@@ -103,17 +105,53 @@ def decompose(s: DataFrame, period: int = 7) -> DataFrame:
     half = period // 2
     near = s.select(F.explode(F.sequence(F.col("i") - half, F.col("i") + half)).alias("i"), F.col("y").alias("z")).groupBy("i").agg((F.sum("z") / period).alias("trend"))
     x = s.join(near, "i").withColumn("d", F.col("y") - F.col("trend"))
-    seasonal = x.groupBy((F.col("i") % period).alias("phase")).agg(F.median("d").alias("seasonal"))
+    seasonal = group_medians(x, [F.col("i") % period], {"d": F.col("d")}).select(F.col("g.k0").alias("phase"), F.col("median").alias("seasonal"))
     return x.join(F.broadcast(seasonal), F.col("i") % period == F.col("phase")).select("i", "y", "trend", "seasonal", (F.col("d") - F.col("seasonal")).alias("residual"))  # `period` rows
 
 
+def _standing_out(x: DataFrame, limit: float) -> tuple[Column, float, int]:
+    """Which residuals stand out by MAD, or by 2 standard deviations where that is 0; the MAD and the number of rows."""
+    n, mean, sd = x.agg(F.count("*"), F.mean("residual"), F.stddev_pop("residual")).first()
+    center = median(x, F.col("residual"))
+    spread = median(x, F.abs(F.col("residual") - center)) if n else None
+    if spread:
+        return 0.6745 * F.abs(F.col("residual") - center) / spread > limit, spread, n
+    return F.abs(F.col("residual") - mean) > 2 * sd if sd else F.lit(False), 0.0, n
+
+
 def residual_outliers(s: DataFrame, period: int = 7, limit: float = 3.0) -> DataFrame:
-    """TS-06: rows of decompose() whose residual stands out by MAD, or by 2 standard deviations where that is 0; fewer than 14 rows: none."""
+    """TS-06: rows of decompose() whose residual stands out; fewer than 14 rows: none."""
     x = decompose(s, period)
-    n, mean, sd = x.agg(F.count("*"), F.mean("residual"), F.stddev_pop("residual")).first()
+    far, _, n = _standing_out(x, limit)
+    return x.where(far) if n >= 14 else x.limit(0)
+
+
+def _above_noise(x: DataFrame) -> Column:
+    """Residuals that are more than rounding of the values they were left over from."""
+    largest = x.agg(F.max(F.abs("y"))).first()[0] or 0.0
+    return F.abs(F.col("residual")) > 1e-9 * largest
+
+
+def stl_outliers(s: DataFrame, spans: Spans = Spans(), robust: bool = False, limit: float = 3.0) -> DataFrame:
+    """TS-06 by local regression, on (i, y): rows of stl() whose residual stands out; fewer than 14 rows: none."""
+    x = stl(s, spans, robust)
+    far, _, n = _standing_out(x, limit)
+    return x.where(far & _above_noise(x)) if n >= 14 else x.limit(0)
+
+
+def stl_report(s: DataFrame, spans: Spans = Spans(), robust: bool = False, limit: float = 3.0) -> dict:
+    """TS-06: what stl_outliers() found, and the decomposition in a few numbers."""
+    x = stl(s, spans, robust)
+    far, spread, n = _standing_out(x, limit)
     if n < 14:
-        return x.limit(0)
-    center = median(x, F.col("residual"))
-    spread = median(x, F.abs(F.col("residual") - center))
-    far: Column = 0.6745 * F.abs(F.col("residual") - center) / spread > limit if spread else F.abs(F.col("residual") - mean) > 2 * sd
-    return x.where(far)
+        return {"has_stl_outliers": False, "reason": "fewer than 14 observations"}
+    row = x.agg(F.count_if(far & _above_noise(x)), F.min("trend"), F.max("trend"), F.max("seasonal") - F.min("seasonal")).first()
+    return {
+        "has_stl_outliers": row[0] > 0,
+        "stl_outlier_count": row[0],
+        "total_observations": n,
+        "pct_stl_outliers": round(row[0] / n * 100, 2),
+        "trend_summary": {"min": row[1], "max": row[2]},
+        "seasonal_summary": {"amplitude": row[3]},
+        "residual_mad": spread,
+    }
