@@ -123,17 +123,25 @@ class Model:
         return out
 
 
+def draw(vectors: DataFrame, sample: int, total: int) -> DataFrame:
+    """The `sample` rows (id, v) of the smallest hashes of id and vector, wherever they stand in the table."""
+    place = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40))
+    # A few more than wanted pass the threshold; of those the smallest are taken.
+    upto = math.ceil(min(1.0, (1.2 * sample + 1000) / total) * (1 << 40))
+    placed = vectors.select("id", "v", place.alias("place"))
+    near = placed.where(F.col("place") < upto)
+    if not near.take(1):  # all rows are copies of a few, which the threshold missed
+        near = placed
+    return near.orderBy("place", "id").limit(sample).select("id", "v")
+
+
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Model | None, int]:
-    """vectors: (id, v). The sample is drawn by hash of the id."""
+    """vectors: (id, v)."""
     total = vectors.count()
     if not total:
         return None, 0
-    share = min(1.0, 1.2 * sample / total)
-    rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).limit(sample).select("v").toArrow()
-    flat = rows.column(0).combine_chunks()
+    flat = draw(vectors, sample, total).select("v").toArrow().column(0).combine_chunks()
     flat = flat.combine_chunks() if hasattr(flat, "combine_chunks") else flat
-    if not len(flat):
-        flat = vectors.limit(sample).select("v").toArrow().column(0).combine_chunks()
     return Model(_matrix(flat), total), total
 
 

@@ -35,7 +35,6 @@ from plumbline.llm.common import small_batches
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-DEEPEST = 512
 
 # Element names of HTML.
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -228,7 +227,7 @@ class Page:
                 close(closes, _STOPS.get(name, set()) | ({"table", "td", "th", "button", "div", "section", "article"} if closes == {"p"} else set()))
             out.append(("tag", name, stack[-1]))
             raw = name in _RAW
-            if name in _VOID or inside.endswith("/") and name in ("svg", "path") or len(stack) > DEEPEST and not raw:
+            if name in _VOID or inside.endswith("/") and name in ("svg", "path"):
                 continue
             self.parent.append(stack[-1])
             self.name.append(name)

@@ -30,6 +30,7 @@ MAX_PIECE = 12  # bytes
 MAX_WORD = 48  # bytes of a word in training; longer ones are cut, and when scoring, scored apart and not kept
 SAMPLE_BYTES = 2_000_000  # of text per language that the sample aims at
 SAMPLE_ROWS = 8  # of each language that are drawn at least, as far as it has so many
+LEAST = 1e-290  # below it, a probability is worked out in scaled form
 CACHE_WORDS = 200_000  # scored words that a task's process keeps
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -182,7 +183,7 @@ def language_counts(
 ) -> DataFrame | None:
     """(lang, word, n) over rows drawn by hash `by`: of each language about sample_bytes of text, and a few rows however long; None without any.
 
-    Each language has its own bound, in bytes, so none loses words to another. Of a row, sample_bytes characters count at most.
+    Each language has its own bound, in bytes, so none loses words to another. A drawn row counts whole, however long.
     """
     import pyarrow as pa
 
@@ -199,9 +200,6 @@ def language_counts(
     bounds = [(r["lang"], float(max(min(1.0, sample_bytes / max(1, r["n"])) * (1 << 20), r["least"] + 1))) for r in totals]
     upto = F.coalesce(*[F.when(F.col(lang) == la, F.lit(x)) for la, x in bounds])
     drawn = place < upto
-    # A word that the cut parts is left out.
-    clipped = F.when(F.length(text) > sample_bytes, F.regexp_replace(F.substring(text, 1, sample_bytes), r"[\p{L}\p{M}]{1,48}$", "")).otherwise(F.col(text))
-
     def counted(batches):
         from collections import Counter
 
@@ -215,7 +213,7 @@ def language_counts(
                 ["lang", "word", "n"],
             )
 
-    return rows.where(drawn).select(F.col(lang).alias("lang"), clipped.alias("text")).mapInArrow(counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.where(drawn).select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 class Scorer:
@@ -236,7 +234,12 @@ class Scorer:
         for group in by.values():
             for i in range(0, len(group), 4096):
                 some = group[i : i + 4096]
-                score = np.log(np.maximum(forward(self.lattice.ids(some), self.prob)[:, -1], 1e-300))
+                plain = forward(self.lattice.ids(some), self.prob)[:, -1]
+                with np.errstate(divide="ignore"):
+                    score = np.log(plain)
+                # Near the smallest doubles the product is inexact or gone: the scaled form has it.
+                if (low := np.flatnonzero((plain < LEAST).any(axis=1))).size:
+                    score[low] = log_forward(self.lattice, [some[i] for i in low], self.prob)
                 first = len(self.at)
                 while first + len(some) > len(self.rows):
                     self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])

@@ -298,20 +298,24 @@ def dedup(
     """
     names = docs.columns
     docs, key, text = unnamed(docs, key, text)
-    occurrences = settle(lines(docs, key, text, blocks))
-    grouped = groups(docs, occurrences, key, text, similarity, distance, blocks, whole)
-    dropped = occurrences.select("k", "th", "pos", "n1", "n2").join(_small(grouped), ["n1", "n2"]).where("not (keep <=> struct(k, th, pos))")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00null"))
+    named = docs.withColumns({"_id": name(key), "_hash": F.xxhash64(text)})
+    same = ["_id", "_hash"]
+    twice = settle(named.groupBy(*same).count().where("count > 1").select(*same))
+    repeats, once = bool(twice.head(1)), docs
+    if repeats:  # lines are counted by key, text and place: of rows equal in key and text one is read
+        again = named.join(twice, same, "left_semi").dropDuplicates(same)
+        once = named.join(twice, same, "left_anti").unionByName(again).drop(*same)
+    occurrences = settle(lines(once, key, text, blocks))
+    grouped = groups(once, occurrences, key, text, similarity, distance, blocks, whole)
+    dropped = occurrences.select("k", "th", "pos", "n1", "n2").join(_small(grouped), ["n1", "n2"]).where("not (keep <=> struct(k, th, pos))")
     gone = settle(dropped.groupBy(name("k").alias("_k"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_gone")))
     release(occurrences)
     release(grouped)
-    named = docs.withColumns({"_id": name(key), "_hash": F.xxhash64(text)})
-    twice = settle(named.groupBy("_id", "_hash").count().where("count > 1").select("_id", "_hash"))
     small = gone.agg(F.sum(F.size("_gone") / 10 + 1)).first()[0] or 0  # in rows of about 50 bytes
     out = named.join(F.broadcast(gone) if small <= BROADCAST_ROWS else gone, (F.col("_id") == F.col("_k")) & (F.col("_hash") == F.col("_th")), "left")
-    if twice.head(1):
+    if repeats:
         # Rows equal in key and text take turns; only they are numbered.
-        same = ["_id", "_hash"]
         again = out.join(twice, same, "left_semi").withColumn("_turn", F.expr("row_number() over (partition by _id, _hash order by _hash)"))
         out = out.join(twice, same, "left_anti").withColumn("_turn", F.lit(1)).unionByName(again)
     else:
