@@ -5,6 +5,10 @@ probability, go. lines: of each group of fuzzily equal lines one occurrence
 stays; documents that lose all they had go. near_duplicates: one document of each
 component of Jaccard similarity 0.8 or more over shingles of five words stays. decontaminate: documents that hold a benchmark window go.
 encode: the tokens of what is left.
+
+Null and letterless texts go in the first stage. Repeated rows are near duplicates: one stays. Texts are read
+whole. A table without documents gives one without rows. Columns beside those that a stage reads come through
+under their own names, whatever these are, up to the last stage.
 """
 
 from __future__ import annotations
@@ -13,22 +17,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, langid, line_dedup, simhash
-from plumbline.llm.common import settle, table
+from plumbline.llm.common import settle, table, unnamed
 from plumbline.llm.queries import language_model, tokenizer_file
 
 LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predict(docs, language_model(docs), keep=tuple(docs.columns), names=("_lang", "_score"))
-    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    plain, text = unnamed(docs, "text")
+    found = langid.predict(plain, language_model(docs), text=text, keep=tuple(plain.columns), names=("_lang", "_score"))
+    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*plain.columns).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(docs)
-    emptied = (F.col("_n_removed") > 0) & (F.size(line_dedup.words(F.col("text"))) == 0)
-    kept = found.where(F.col("text").isNull() | ~emptied)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    plain, key, text = unnamed(docs, "doc_id", "text")
+    found = line_dedup.dedup(plain, key, text)
+    emptied = (F.col("_n_removed") > 0) & (F.size(line_dedup.words(F.col(text))) == 0)
+    kept = found.where(F.col(text).isNull() | ~emptied).select(*plain.columns).toDF(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ STAGES = [
     ("decontaminate", decontaminated),
     ("encode", encode),
 ]
-ORACLE_SQL = None  # language models and tokenizers have no SQL; tests hold every stage against brute force
+ORACLE_SQL = None  # language models and tokenizers have no SQL; tests hold near_duplicates and decontaminate against the operators' own brute-force tests, the other stages against properties of their output
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
