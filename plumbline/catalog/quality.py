@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.catalog.base import DIRTY_SQL, REPEATED_SQL, dirty, near, query, repeated, table
 from plumbline.catalog.statistics import rounded
 from plumbline.functions.cells import MASKED_NUMBERS, MASKED_TEXT, q, strings, strip
-from plumbline.operators import issues, neighbours, outliers, profile, score, stats
+from plumbline.operators import history, issues, neighbours, outliers, profile, score, stats
+from plumbline.plans.shared import shared_folder
 
 _MASKED = ", ".join(f"'{x}'" for x in MASKED_TEXT)
 _S = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
@@ -279,3 +281,48 @@ def text_columns(spark, d):
 @query("dataset_fingerprint")
 def dataset_fingerprint(spark, d):
     return spark.createDataFrame([(issues.fingerprint(table(spark, d, "orders")),)], "fingerprint string")
+
+
+# ---- versions ---------------------------------------------------------------------------------------------------------
+
+_KEPT = ("order_id", "quantity", "price", "discount_rate")
+
+
+def _history(spark, d):
+    """The dirty rows by line number, a version each."""
+    x = dirty(spark, d)
+    base = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    x.select(*_KEPT, "flag", "line_no").write.partitionBy("line_no").parquet(f"{base}/rows")
+    kept = history.History(spark, f"{base}/states")
+    for r in spark.read.parquet(f"{base}/rows").select("line_no").distinct().orderBy("line_no").collect():
+        # Each version is read by itself, as a day that is appended would be.
+        kept.add(spark.read.parquet(f"{base}/rows/line_no={r[0]}"), r[0])
+    return kept
+
+
+@query(
+    "profile_history",
+    " union all ".join(
+        f"""select '{c}' as "column", count(*) as "rows", count(*) - count({c}) as nulls, round(avg({c}), 4) as mean, round(stddev_samp({c}), 3) as std, min(cast({c} as double)) as min, max(cast({c} as double)) as max, true as near from {DIRTY_SQL}"""
+        for c in _KEPT
+    ),
+)
+def profile_history(spark, d):
+    """The profile of all versions together, from their states; near: whether the distinct count lies within a tenth of the exact one."""
+    x = _history(spark, d).profile().where(F.col("column").isin(*_KEPT))
+    rows = dirty(spark, d)
+    exact = stats.distinct_counts(rows, list(_KEPT), null_counts=False)
+    close = F.lit(False)
+    for c in _KEPT:
+        close = close | ((F.col("column") == c) & (F.abs(F.col("distinct") - exact[c]) <= F.lit(1 + 0.1 * exact[c])))
+    return x.select("column", "rows", "nulls", F.round("mean", 4).alias("mean"), F.round("std", 3).alias("std"), "min", "max", close.alias("near"))
+
+
+@query(
+    "version_trend",
+    f"""with v as (select line_no as version, count(*) as n, {', '.join(f'(count(*) - count({c})) * 100.0 / count(*) as {c}' for c in (*_KEPT, 'flag'))} from {DIRTY_SQL} group by 1)
+    select a.version, 'rows' as change, null as "column", b.n::varchar as before, a.n::varchar as after from v a join v b on a.version = b.version + 1 union all """
+    + " union all ".join(f"select a.version, 'null_shift', '{c}', printf('%.2f', b.{c}), printf('%.2f', a.{c}) from v a join v b on a.version = b.version + 1 where abs(round(a.{c} - b.{c}, 2)) >= 5" for c in (*_KEPT, "flag")),
+)
+def version_trend(spark, d):
+    return _history(spark, d).trend().select("version", "change", "column", "before", "after")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from plumbline.catalog.base import query, table
 from plumbline.catalog.statistics import rounded
 from plumbline.operators import series
+from plumbline.plans.shared import shared_folder
 from plumbline.streaming import profile as streams
+from plumbline.streaming import watch
 
 _S = "(select row_number() over (order by ts, event_id) - 1 as i, value as y from events)"
 
@@ -111,3 +113,54 @@ def stream_windows(spark, d):
     run.awaitTermination()
     x = streams.latest(spark.read.parquet(f"{base}/out"), ["window_start", "event_type"])
     return x.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "null_values", F.round("mean", 6).alias("mean"), "min", "max")
+
+
+# Events arrive in four parts by time, every tenth of them one part late.
+_PART = "least(3, cast((us - lo) * 4 {div} greatest(1, hi - lo) as int) + case when event_id % 10 = 0 then 1 else 0 end)"
+_LATE = f"""with e as (select *, {_PART.format(div='//')} as part from (select *, epoch_us(ts) as us, min(epoch_us(ts)) over () as lo, max(epoch_us(ts)) over () as hi from events)),
+  clock as (select part, max(max(ts)) over (order by part rows between unbounded preceding and 1 preceding) as mark from e group by part)
+  select date_trunc('hour', ts) as window_start, event_type, count(*) filter (where ts >= mark - interval 1 hour or mark is null) as on_time, count(*) filter (where ts < mark - interval 1 hour) as late
+  from e join clock using (part) group by 1, 2"""
+
+
+@query("stream_late", _LATE)
+def stream_late(spark, d):
+    """Rows on time and late of each window: the stream is stopped after each part, and starts again from its checkpoint."""
+    e = table(spark, d, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    ends = e.agg(F.min(us).alias("lo"), F.max(us).alias("hi"))  # one row
+    dealt = e.select("*", us).join(F.broadcast(ends)).withColumn("part", F.expr(_PART.format(div="div")))
+    base = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    dealt.select(*e.columns, "part").write.partitionBy("part").parquet(f"{base}/dealt")
+    for part in range(4):
+        spark.read.schema(e.schema).parquet(f"{base}/dealt/part={part}").write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(e.schema).parquet(f"{base}/in")
+        watch.late_windows(source, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    x = watch.late_totals(spark, f"{base}/out")
+    return x.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "on_time", "late")
+
+
+_WATCHED = ("value", "event_type")
+_BLANK = "case when part = 2 and event_id % 3 = 0 then null else value end"
+_WATCH = f"""with e as (select *, {_PART.format(div='//')} as part from (select *, epoch_us(ts) as us, min(epoch_us(ts)) over () as lo, max(epoch_us(ts)) over () as hi from events)),
+  p as (select part, count(*) filter (where {_BLANK} is null) * 100.0 / count(*) as pct from e group by part)
+  select a.part, 'null_shift' as change, 'value' as "column", printf('%.2f', b.pct) as before, printf('%.2f', a.pct) as after from p a join p b on a.part = b.part + 1 where abs(a.pct - b.pct) >= 5"""
+
+
+@query("stream_drift", _WATCH)
+def stream_drift(spark, d):
+    """What changes from batch to batch of a stream whose third part lacks a third of its values."""
+    e = table(spark, d, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    ends = e.agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
+    dealt = e.select("*", us).join(F.broadcast(ends)).withColumn("part", F.expr(_PART.format(div="div")))
+    dealt = dealt.select("event_id", "event_type", F.expr(_BLANK).alias("value"), "part")
+    base = f"{shared_folder(spark)}/drift-{uuid.uuid4().hex}"
+    dealt.write.partitionBy("part").parquet(f"{base}/dealt")
+    schema = dealt.drop("part").schema
+    for part in range(4):
+        spark.read.schema(schema).parquet(f"{base}/dealt/part={part}").write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(schema).parquet(f"{base}/in")
+        watch.watch(source, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{base}/out/changes")
+    return found.select(F.col("batch").cast("int").alias("part"), "change", "column", "before", "after")
