@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import DIRTY_SQL, dirty, near, query, table
-from plumbline.operators import profile, stats
+from plumbline.operators import charts, profile, stats
 from plumbline.plans.aggplan import Plan
 from plumbline.functions.cells import q
 
@@ -210,3 +210,51 @@ def moments_mixed_skew(spark, d):
 @query("sample_rows")
 def sample_rows(spark, d):
     return stats.sample_rows(table(spark, d, "orders"), 100)
+
+
+# ---- chart tables -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    "chart_density",
+    """with e as (select min(l_quantity) as xl, max(l_quantity) as xh, min(l_extendedprice) as yl, max(l_extendedprice) as yh from lineitem),
+    b as (select cast(least(39, floor((l_quantity - xl) / (xh - xl) * 40)) as integer) as x_bin, cast(least(39, floor((l_extendedprice - yl) / (yh - yl) * 40)) as integer) as y_bin, e.* from lineitem, e)
+    select x_bin, y_bin, count(*) as n, round(any_value(xl + x_bin * (xh - xl) / 40), 6) as x_low, round(any_value(yl + y_bin * (yh - yl) / 40), 6) as y_low from b group by 1, 2""",
+)
+def chart_density(spark, d):
+    return rounded(charts.density(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
+
+
+@query(
+    "chart_line",
+    """with e as (select epoch_us(ts) as t, value as v, event_id from events where ts is not null and value is not null), r as (select min(t) as lo, max(t) as hi from e),
+    p as (select least(199, cast((t - lo)::hugeint * 200 // (hi - lo) as integer)) as pixel, t, v from e, r)
+    select pixel, count(*) as n, min(v) as min, max(v) as max, round(avg(v), 6) as mean, arg_min(v, (t, v)) as first, arg_max(v, (t, v)) as last from p group by 1""",
+)
+def chart_line(spark, d):
+    return rounded(charts.line(table(spark, d, "events"), "ts", "value", 200))
+
+
+def _box(x: str) -> str:
+    return f"list_sort(list(o_totalprice))[cast(floor((count(*) - 1) * {x} + 0.5) as bigint) + 1]"
+
+
+@query(
+    "chart_boxes",
+    f"""with f as (select o_orderpriority as category, count(*) as n, min(o_totalprice) as min, {_box('0.25')} as q1, {_box('0.5')} as median, {_box('0.75')} as q3, max(o_totalprice) as max from orders group by 1 order by n desc, category limit 10)
+    select category, any_value(n) as n, any_value(f.min) as min, any_value(q1) as q1, any_value(f.median) as median, any_value(q3) as q3, any_value(f.max) as max,
+      min(o_totalprice) filter (where o_totalprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as low, max(o_totalprice) filter (where o_totalprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as high,
+      count(*) filter (where o_totalprice not between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as beyond
+    from orders join f on o_orderpriority = category group by category""",
+)
+def chart_boxes(spark, d):
+    return charts.boxes(table(spark, d, "orders"), "o_orderpriority", "o_totalprice")
+
+
+@query(
+    "chart_missing",
+    f"""with x as (select *, min(order_id) over () as lo, max(order_id) over () as hi from {DIRTY_SQL}), b as (select *, cast(least(49, floor((order_id - lo) / (hi - lo)::double * 50)) as integer) as block from x)
+    select block, 'quantity' as "column", count(*) as n, count(*) - count(quantity) as nulls from b group by 1 union all select block, 'price', count(*), count(*) - count(price) from b group by 1 union all select block, 'status', count(*), count(*) - count(status) from b group by 1""",
+)
+def chart_missing(spark, d):
+    return charts.missing_map(dirty(spark, d), "order_id", ["quantity", "price", "status"])

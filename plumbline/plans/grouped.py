@@ -30,36 +30,49 @@ def _bounded(v: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < _INFINITE), v)
 
 
-def _picked(values: Column, ranks: Column) -> Column:
-    return F.transform(ranks, lambda r: F.get(values, r.cast("int")))
+def group_ranks(df: DataFrame, by: list[Column], columns: dict[str, Column], ranks, small: int = SMALL, bins: int = BINS) -> DataFrame:
+    """g (struct of `by`), name, n, rank, value of each named column's non-null values within each group, ascending from rank 0, NaN last.
 
-
-def group_medians(df: DataFrame, by: list[Column], columns: dict[str, Column], small: int = SMALL, bins: int = BINS) -> DataFrame:
-    """g (struct of `by`), name, n, median of each named column's non-null values within each group; null groups are groups. A column without values has no row."""
+    ranks: from the Column n, the number of values, to an array of ranks below n. Null groups are groups. A column without values has no row.
+    """
     cells = F.array(*[F.struct(F.lit(name).alias("name"), c.cast("double").alias("v")) for name, c in columns.items()])
     keys = [f"k{i}" for i in range(len(by))]
     long = df.select(*[b.alias(k) for k, b in zip(keys, by)], F.explode(cells).alias("x")).select(F.struct(*keys).alias("g"), "x.name", "x.v").where("v is not null")
     long = settled(long, "groups")
     key = ["g", "name"]
     sizes = settled(long.groupBy(*key).agg(F.count("*").alias("n")), "sizes")
+    wanted = lambda n: F.array_distinct(ranks(n).cast("array<long>"))
+
+    def at_once(rows):
+        held = _sorted(rows, key).select("g", "name", "values", F.size("values").cast("long").alias("n"))
+        each = held.select("g", "name", "n", "values", F.explode(wanted(F.col("n"))).alias("rank"))
+        return each.select("g", "name", "n", "rank", F.get("values", F.col("rank").cast("int")).alias("value"))
+
     larger = sizes.where(f"n > {small}")
     if not larger.take(1):
-        return _sorted(long, key).select("g", "name", F.size("values").cast("long").alias("n"), _mean(_picked(F.col("values"), _middle(F.size("values")))).alias("median"))
+        return at_once(long)
     few = long.join(sizes.where(f"n <= {small}").select(*key), key, "left_semi")
-    out = [_sorted(few, key).select("g", "name", F.size("values").cast("long").alias("n"), _mean(_picked(F.col("values"), _middle(F.size("values")))).alias("median"))]
     rows = long.join(larger.select(*key), key, "left_semi")
-    targets = larger.select(*key, "n", F.explode(F.array_distinct(_middle(F.col("n")))).alias("rank"))
-    found = ranked(rows, targets, key, small, bins)
-    out.append(found.groupBy(*key).agg(F.first("n").alias("n"), (F.min("value") / 2 + F.max("value") / 2).alias("median")).select("g", "name", "n", "median"))
-    return out[0].unionByName(out[1])
+    found = ranked(rows, larger.select(*key, "n", F.explode(wanted(F.col("n"))).alias("rank")), key, small, bins)
+    return at_once(few).unionByName(found)
 
 
-def _middle(n: Column) -> Column:
-    return F.array(F.floor((n - 1) / 2), F.floor(n / 2))
+def group_medians(df: DataFrame, by: list[Column], columns: dict[str, Column], small: int = SMALL, bins: int = BINS) -> DataFrame:
+    """g, name, n, median: the mean of the two middle values."""
+    found = group_ranks(df, by, columns, _middle, small, bins)
+    return found.groupBy("g", "name").agg(F.first("n").alias("n"), (F.min("value") / 2 + F.max("value") / 2).alias("median"))
+
+
+def group_quantiles(df: DataFrame, by: list[Column], columns: dict[str, Column], qs: tuple[float, ...], small: int = SMALL, bins: int = BINS) -> DataFrame:
+    """g, name, n, quantiles: for each of qs the value of nearest rank, halves away from zero (AG-04)."""
+    place = lambda n, x: F.floor((n - 1) * x + 0.5)
+    found = group_ranks(df, by, columns, lambda n: F.array(*[place(n, x) for x in qs]), small, bins)
+    held = found.groupBy("g", "name").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))  # a few ranks a group
+    return held.select("g", "name", "n", F.array(*[F.col("at")[place(F.col("n"), x)] for x in qs]).alias("quantiles"))
 
 
-def _mean(pair: Column) -> Column:
-    return pair[0] / 2 + pair[1] / 2
+def _middle(n: Column) -> Column:
+    return F.array(F.floor((n - 1) / 2), F.floor(n / 2))
 
 
 def _sorted(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -71,9 +71,14 @@ def check_size(spark: SparkSession, paths: list[str], most: int = 50 << 20, file
 def check_archive(content: bytes, most: int = 200 << 20, entries: int = 5000, ratio: float = 100.0) -> None:
     """SRC-10, for workbooks, which are zip archives: too many entries, paths that lead out, too large or too dense."""
     try:
-        infos = zipfile.ZipFile(io.BytesIO(content)).infolist()
+        check_entries(zipfile.ZipFile(io.BytesIO(content)), most, entries, ratio)
     except zipfile.BadZipFile as e:
         raise SourceError("not a zip archive") from e
+
+
+def check_entries(archive: zipfile.ZipFile, most: int = 200 << 20, entries: int = 5000, ratio: float = 100.0) -> None:
+    """SRC-10 on an open archive: only its directory is read."""
+    infos = archive.infolist()
     if len(infos) > entries:
         raise SourceError("Too many files in the archive")
     if any(i.filename.startswith(("/", "\\")) or ".." in i.filename.replace("\\", "/").split("/") for i in infos):
@@ -86,5 +91,9 @@ def check_archive(content: bytes, most: int = 200 << 20, entries: int = 5000, ra
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-13: path, length, sha256."""
+    """SRC-13: path, length, sha256. Where Arrow can open the files, they are read in ranges and may be of any size; else they are rows of Spark, of 2 GB at most."""
+    from plumbline.sources.large import SCHEMES, range_hashes, scheme
+
+    if scheme(path) in SCHEMES:
+        return range_hashes(spark, path)
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from plumbline.functions.cells import total
 from plumbline.operators.clean import sanitise
 from plumbline.sources.guards import EmptyFile, SourceError, check_archive, check_signature, check_size, extension, head_bytes
+from plumbline.sources.large import SCHEMES, arrow_files, scheme, worksheet
 
 HEAD = 1 << 16  # bytes that are looked at
 # Separators that are tried.
@@ -184,8 +185,25 @@ def arrow_file(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(rows, schema)
 
 
-def read(spark: SparkSession, path: str, clean: bool = True, most_bytes: int | None = None) -> DataFrame:
-    """SRC-01: by extension, sanitised; an empty table raises. The first bytes must be of that kind (SRC-11); most_bytes bounds an upload's size (SRC-12)."""
+def _sheet(spark: SparkSession, path: str, sheet: str | int) -> DataFrame:
+    """A sheet streamed by a task where Arrow can open the file; else the first one, by way of Spark and the driver."""
+    if scheme(path) not in SCHEMES:
+        return workbook(spark, path)
+    df = worksheet(spark, path, sheet)
+    if df is None:
+        raise EmptyFile(path)
+    return df
+
+
+def _arrow(spark: SparkSession, path: str) -> DataFrame:
+    """By record batches where Arrow can open the file and its format has an index; else whole files."""
+    if scheme(path) in SCHEMES and head_bytes(spark, path, 6) == b"ARROW1":
+        return arrow_files(spark, path)
+    return arrow_file(spark, path)
+
+
+def read(spark: SparkSession, path: str, clean: bool = True, most_bytes: int | None = None, sheet: str | int = 0) -> DataFrame:
+    """SRC-01: by extension, sanitised; an empty table raises. The first bytes must be of that kind (SRC-11); most_bytes bounds an upload's size (SRC-12); sheet: that of a workbook, by name or number."""
     kind = extension(path)
     try:
         check_signature(spark, path)
@@ -198,7 +216,7 @@ def read(spark: SparkSession, path: str, clean: bool = True, most_bytes: int | N
         elif kind == ".gz":
             df = delimited(spark, path, ",", 0, "UTF-8")
         elif kind == ".xlsx":
-            df = workbook(spark, path)
+            df = _sheet(spark, path, sheet)
         elif kind == ".xls":
             raise SourceError("the old binary workbook format can't be read; save it as .xlsx")
         elif kind == ".parquet":
@@ -208,7 +226,7 @@ def read(spark: SparkSession, path: str, clean: bool = True, most_bytes: int | N
         elif kind in (".jsonl", ".ndjson"):
             df = spark.read.json(path)
         else:
-            df = arrow_file(spark, path)
+            df = _arrow(spark, path)
     except SourceError:
         raise
     except Exception as e:
