@@ -22,22 +22,35 @@ def type_sniff(spark, d):
     return out.select("column", "suggested_type")
 
 
-@query("derived_columns", "select 'total' as \"column\", 'a + b' as formula union all select 'product', 'a * b'")
+_MADE = "l_quantity as a, cast(l_linenumber as double) as b, l_discount as c, l_quantity + l_linenumber as total, l_quantity * l_linenumber as product, l_quantity + l_discount as plus, l_extendedprice as price"
+_ORDERED = ("a", "b", "c", "total", "product", "plus", "price")
+
+
+def _derived_sql() -> str:
+    tried = [(x, y, z, op) for i, x in enumerate(_ORDERED) for j, y in enumerate(_ORDERED[i + 1 :], i + 1) for z in _ORDERED[j + 1 :] for op in "+*"]
+    return " union all ".join(f"select '{z}' as \"column\", '{x} {op} {y}' as formula from (select {_MADE} from lineitem) having avg(abs({z} - {x} {op} {y})) < 0.01" if op == "*" else f"select '{z}' as \"column\", '{x} {op} {y}' as formula from (select {_MADE} from lineitem) having avg(abs({z} - ({x} + {y}))) < 0.01" for x, y, z, op in tried)
+
+
+@query("derived_columns", _derived_sql())
 def derived_columns(spark, d):
-    x = table(spark, d, "lineitem").selectExpr("l_quantity as a", "cast(l_linenumber as double) as b", "l_quantity + l_linenumber as total", "l_quantity * l_linenumber as product")
-    return infer.derived(x)
+    return infer.derived(spark.sql(f"select {_MADE} from {{t}}", t=table(spark, d, "lineitem")), first=100)
+
+
+_WRONG = "order_id, status, case when line_no = 1 then upper(email) else email end as email, 'same' as kind, case when line_no < 6 then null else quantity end as rarely"
 
 
 @query(
     "schema_issues",
-    f"""select * from (
-      select 'status' as "column", 'whitespace' as issue, 'low' as severity, count(*) filter (where status <> regexp_replace(status, '^\\s+|\\s+$', '', 'g')) as affected, count(status) as known from {DIRTY_SQL}) where affected > 0.1 * known""",
+    f"""with x as (select {_WRONG} from {DIRTY_SQL}) select "column", issue, severity, affected from (
+      select 'status' as "column", 'whitespace' as issue, 'low' as severity, count(*) filter (where status <> regexp_replace(status, '^\\s+|\\s+$', '', 'g')) as affected, count(status) * 0.1 as more from x union all
+      select 'email', 'inconsistent_casing', 'medium', count(distinct email) - count(distinct lower(email)), case when count(*) filter (where email <> lower(email)) > 0 and count(*) filter (where email <> upper(email)) > 0 and count(distinct lower(email)) < 0.9 * count(distinct email) then -1 else 1e18 end from x union all
+      select 'status', 'inconsistent_casing', 'medium', count(distinct status) - count(distinct lower(status)), case when count(*) filter (where status <> lower(status)) > 0 and count(*) filter (where status <> upper(status)) > 0 and count(distinct lower(status)) < 0.9 * count(distinct status) then -1 else 1e18 end from x union all
+      select 'kind', 'constant_column', 'medium', count(*), case when count(distinct kind) = 1 then -1 else 1e18 end from x union all
+      select 'rarely', 'high_nulls', case when count(rarely) < 0.2 * count(*) then 'high' else 'medium' end, count(*) - count(rarely), case when count(rarely) < 0.5 * count(*) then -1 else 1e18 end from x) where affected > more""",
 )
 def schema_issues(spark, d):
-    x = dirty(spark, d).select("order_id", "status")
-    out = infer.schema_issues(x).where("issue = 'whitespace'")
-    known = x.where("status is not null").count()
-    return out.select("column", "issue", "severity", "affected", F.lit(known).cast("long").alias("known"))
+    x = dirty(spark, d).selectExpr("*")
+    return infer.schema_issues(spark.sql(f"select {_WRONG} from {{t}}", t=x))
 
 
 @query("encoding_advice", f"select 'status' as \"column\", case when n = 2 then 'binary' when n <= 10 then 'one_hot' when n <= 50 then 'label_or_target' else 'hash_or_embedding' end as encoding, n as n_unique from (select count(distinct status) + max(case when status is null then 1 else 0 end) as n from {DIRTY_SQL}) union all select 'email', case when n = 2 then 'binary' when n <= 10 then 'one_hot' when n <= 50 then 'label_or_target' else 'hash_or_embedding' end, n from (select count(distinct email) as n from {DIRTY_SQL})")

@@ -29,15 +29,20 @@ def masked_nulls(spark, d):
     return issues.detect(dirty(spark, d)).rows(spark).where("fix = 'null_out'").select("column", F.col("affected_rows").alias("masked"))
 
 
+_CASED = ("status", "flag")
+
+
 @query(
     "whitespace_case",
-    " union all ".join(f"select '{c}' as \"column\", count(*) filter (where {c} <> {_S.format(c=c)}) as spaced, count(distinct {c}) as raw, count(distinct lower({c})) as lowered from {DIRTY_SQL}" for c in ("status", "flag")),
+    "select * from ("
+    + " union all ".join(f"select '{c}' as \"column\", 'strip' as fix, count(*) filter (where {c} <> {_S.format(c=c)}) as affected_rows from {DIRTY_SQL}" for c in _CASED)
+    + " union all "
+    + " union all ".join(f"select '{c}' as \"column\", 'title_case' as fix, case when count(distinct {c}) > count(distinct lower({c})) and count(distinct {c}) <= 100 then count(*) else 0 end as affected_rows from {DIRTY_SQL}" for c in _CASED)
+    + ") where affected_rows > 0",
 )
 def whitespace_case(spark, d):
-    x = dirty(spark, d)
-    cols = ("status", "flag")
-    row = x.agg(*[a.alias(f"{c}_{k}") for c in cols for k, a in (("s", F.count_if(q(c) != strip(q(c)))), ("r", F.count_distinct(q(c))), ("l", F.count_distinct(F.lower(q(c)))))])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_s").alias("spaced"), F.col(f"{c}_r").alias("raw"), F.col(f"{c}_l").alias("lowered")) for c in cols])).alias("x")).select("x.*")
+    x = dirty(spark, d).select("order_id", *_CASED)
+    return issues.detect(x).rows(spark).where("fix in ('strip', 'title_case')").select("column", "fix", "affected_rows")
 
 
 def _ledger_of(df, kind: str, **options):
@@ -87,15 +92,24 @@ def dup_rows(spark, d):
     return issues.detect(repeated(spark, d)).rows(spark).where("fix = 'distinct'").select("affected_rows")
 
 
-@query("near_dup", "select (select count(*) from orders) - (select count(*) from (select distinct o_custkey, o_orderstatus, o_orderpriority from orders)) as affected_rows")
+_BANDS = "o_custkey % 20 as customer, o_orderstatus as status, o_orderpriority as priority, cast(floor(o_totalprice / 100000) as int) as band, year(o_orderdate) as ordered, o_orderkey as number"
+
+
+@query("near_dup", f"select count(*) - (select count(*) from (select distinct customer, status, priority, band, ordered from (select {_BANDS} from orders))) as affected_rows from orders")
 def near_dup(spark, d):
-    x = table(spark, d, "orders")
-    return spark.createDataFrame([(x.count() - stats.distinct_rows(x, ["o_custkey", "o_orderstatus", "o_orderpriority"]),)], "affected_rows long")
+    """Rows that repeat but for the column with the most values: the five with the fewest are looked at."""
+    x = spark.sql(f"select {_BANDS} from {{t}}", t=table(spark, d, "orders"))
+    return issues.detect(x).rows(spark).where("description like '%near-duplicate rows%'").select("affected_rows")
 
 
-@query("pk_collision", "select coalesce(sum(n), 0)::bigint as members from (select count(*) as n from " + REPEATED_SQL + " group by o_orderkey having count(*) > 1)")
+@query(
+    "pk_collision",
+    f"select (select coalesce(sum(n), 0)::bigint from (select count(*) as n from {REPEATED_SQL} group by o_orderkey having count(*) > 1)) - (select count(*) from {REPEATED_SQL}) + (select count(*) from (select distinct o_orderkey, o_custkey from {REPEATED_SQL})) as conflicts",
+)
 def pk_collision(spark, d):
-    return spark.createDataFrame([(stats.duplicate_members(repeated(spark, d), ["o_orderkey"]),)], "members long")
+    """Members of groups with one key, less the exact duplicate rows."""
+    x = repeated(spark, d).select(F.col("o_orderkey").alias("order_id"), "o_custkey")
+    return issues.detect(x).rows(spark).where("fix = 'keep_first'").select(F.col("affected_rows").alias("conflicts"))
 
 
 @query("missing_issues", "select * from (" + " union all ".join(
@@ -108,11 +122,13 @@ def missing_issues(spark, d):
     return out.select("column", "affected_rows", "severity", (F.col("affected_rows") * 100.0 / n).cast("double").alias("pct"))
 
 
-@query("high_cardinality", f"select 'email' as \"column\", count(distinct email) as n_unique from {DIRTY_SQL} having count(distinct email) > 100 and count(distinct email) > 0.1 * count(*)")
+_NAMED = "concat('c', cast(o_custkey as string)) as buyer, concat('o', cast(o_orderkey as string)) as label, o_orderstatus as status"
+
+
+@query("high_cardinality", " union all ".join(f"select '{c}' as \"column\", count(*) as affected_rows, count(distinct {c}) || ' distinct values' as description from (select {_NAMED} from orders) having count(distinct {c}) > 100 and count(distinct {c}) > 0.5 * count(*)" for c in ("buyer", "label", "status")))
 def high_cardinality(spark, d):
-    x = dirty(spark, d)
-    n = stats.distinct_counts(x, ["email"])["email"]
-    return spark.createDataFrame([("email", n)] if n > 100 and n > 0.1 * x.count() else [], "column string, n_unique long")
+    x = spark.sql(f"select {_NAMED} from {{t}}", t=table(spark, d, "orders"))
+    return issues.detect(x).rows(spark).where("issue_type = 'high_cardinality'").select("column", "affected_rows", "description")
 
 
 @query("issue_ledger")
@@ -144,11 +160,16 @@ def inspect_columns(spark, d):
     return profile.inspect(dirty(spark, d).select("order_id", "quantity", "price", "status", "flag"))
 
 
-@query("schema_drift", "select 'added' as change, 'region' as \"column\" union all select 'removed', 'discount_rate' union all select 'type_changed', 'order_id' union all select 'null_shift', 'quantity'")
+@query(
+    "schema_drift",
+    f"""with x as (select order_id, quantity, discount_rate from {DIRTY_SQL}), p as (select 100.0 * (count(*) - count(quantity)) / count(*) as a, 100.0 * count(*) filter (where order_id % 2 = 0 or quantity is null) / count(*) as b from x)
+    select 'added' as change, 'region' as "column", null as before, 'string' as after union all select 'removed', 'discount_rate', 'double', null union all select 'type_changed', 'order_id', 'bigint', 'string'
+    union all select 'null_shift', 'quantity', printf('%.2f', a), printf('%.2f', b) from p where abs(b - a) >= 5""",
+)
 def schema_drift(spark, d):
     x = dirty(spark, d).select("order_id", "quantity", "discount_rate")
     y = x.selectExpr("cast(order_id as string) as order_id", "if(order_id % 2 = 0, null, quantity) as quantity", "'x' as region")
-    return profile.drift(x, y).select("change", "column")
+    return profile.drift(x, y)
 
 
 # ---- scores -----------------------------------------------------------------------------------------------------------
@@ -160,17 +181,22 @@ def _confidence_sql() -> str:
           case when count(*) filter (where {c} < 0) > 0 and count(*) filter (where {c} > 0) > 0 and count(*) filter (where {c} < 0) < 0.05 * count(*) filter (where {c} <> 0) then 90.0 else 100.0 end::double as consistency,
           (100 - case when max(q3) > max(q1) and count(*) filter (where {c} < q1 - 3 * (q3 - q1) or {c} > q3 + 3 * (q3 - q1)) > 0.05 * count({c}) then 25 when max(q3) > max(q1) and count(*) filter (where {c} < q1 - 3 * (q3 - q1) or {c} > q3 + 3 * (q3 - q1)) > 0.01 * count({c}) then 10 else 0 end
              - case when min({c}) = max({c}) then 40 else 0 end)::double as validity,
-          case when avg({c}) <> 0 then case when abs(stddev_samp({c}) / avg({c})) < 0.001 then 20 when abs(stddev_samp({c}) / avg({c})) < 0.01 then 50 when abs(stddev_samp({c}) / avg({c})) > 10 then 70 else 100 end when stddev_samp({c}) = 0 then 10 else 100 end::double as stability
+          case when avg({c}) <> 0 then case when abs(stddev_samp({c}) / avg({c})) < 0.001 then 20 when abs(stddev_samp({c}) / avg({c})) < 0.01 then 50 when abs(stddev_samp({c}) / avg({c})) > 10 then 70 else 100 end when stddev_samp({c}) = 0 then 10 else 100 end::double as stability,
+          case when max(q3) > max(q1) and count(*) filter (where {c} < q1 - 3 * (q3 - q1) or {c} > q3 + 3 * (q3 - q1)) > 0.01 * count({c}) then 1 else 0 end as far, count(*) filter (where {c} < 0) as neg, count(*) filter (where {c} > 0) as pos, min({c}) = max({c}) as same
           from (select {c} from {DIRTY_SQL}), (select {near(c, 0.25)} as q1, {near(c, 0.75)} as q3 from {DIRTY_SQL})"""
 
     rows = " union all ".join(one(c) for c in ("quantity", "price", "discount_rate", "age"))
-    return f"""select "column", round(completeness, 6) as completeness, consistency, validity, stability, round(0.35 * completeness + 0.25 * consistency + 0.25 * validity + 0.15 * stability, 6) as overall from ({rows})"""
+    overall = "0.35 * completeness + 0.25 * consistency + 0.25 * validity + 0.15 * stability"
+    found = """concat_ws(', ', case when completeness < 50 then 'High missing rate' when completeness < 80 then 'Moderate missing rate' end, case when neg > 0 and pos > 0 and neg < 0.05 * (neg + pos) then 'Sparse negative values' end,
+      case when far = 1 then 'Outliers' end, case when same then 'All values are identical' end)"""
+    return f"""select "column", round(completeness, 6) as completeness, consistency, validity, stability, round({overall}, 6) as overall,
+      case when {overall} >= 90 then 'A' when {overall} >= 75 then 'B' when {overall} >= 60 then 'C' when {overall} >= 40 then 'D' else 'F' end as grade, {found} as issues from ({rows})"""
 
 
 @query("confidence", _confidence_sql())
 def confidence(spark, d):
     x = score.confidence(dirty(spark, d).select("quantity", "price", "discount_rate", "age"))
-    return rounded(x.select("column", "completeness", "consistency", "validity", "stability", "overall"))
+    return rounded(x.withColumn("issues", F.array_join("issues", ", ")))
 
 
 @query("dataset_confidence")
@@ -273,9 +299,11 @@ def multivariate_summary(spark, d):
     return outliers.multivariate_summary(multivariate(spark, d), ["l_quantity", "l_extendedprice", "l_discount"])
 
 
-@query("text_columns", "select * from (values ('status'), ('amount'), ('email'), ('flag')) t(\"column\")")
+@query("text_columns", " union all ".join(f"select '{c}' as \"column\", count({c}) as known from {DIRTY_SQL}" for c in ("status", "amount", "email", "flag")))
 def text_columns(spark, d):
-    return spark.createDataFrame([(c,) for c in strings(dirty(spark, d))], "column string")
+    x = dirty(spark, d)
+    counts = x.agg(*[F.count(q(c)).alias(c) for c in strings(x)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("known")) for c in strings(x)])).alias("x")).select("x.*")
 
 
 @query("dataset_fingerprint")
