@@ -147,14 +147,16 @@ def _compare_sql() -> str:
         for c in cols
         for m, e in (("missing_count", "count(*) - count({c})"), ("unique_count", "count(distinct {c}) + max(case when {c} is null then 1 else 0 end)"), ("mean", "avg({c})"), ("std", "stddev_samp({c})"))
     )
-    return f"""with b as ({long(before)}), a as ({long(after)}) select scope, metric, round(b.v, 4) as before, round(a.v, 4) as after, round(a.v - b.v, 4) as delta from b join a using (scope, metric)"""
+    pct = "case when a.v = b.v then 0.0 when b.v = 0 then 100.0 else (a.v - b.v) / abs(b.v) * 100 end"
+    return f"""with b as ({long(before)}), a as ({long(after)}) select scope, metric, round(b.v, 4) as before, round(a.v, 4) as after, round(a.v - b.v, 4) + 0.0 as delta, round({pct}::double, 4) + 0.0 as pct_change,
+      case when metric = 'missing_count' then a.v < b.v end as improved from b join a using (scope, metric)"""
 
 
 @query("compare_before_after", _compare_sql())
 def compare_before_after(spark, d):
     x = dirty(spark, d).select("order_id", "line_no", "quantity", "price")
-    out = clean.compare(x, clean.fill(x, "quantity", "fill_median")).where("scope <> '*'")
-    return rounded(out.select("scope", "metric", "before", "after", "delta"), 4)
+    raw = x.toDF("Order ID", "Line No", " quantity", "Price ")
+    return rounded(clean.compare(raw, clean.fill(x, "quantity", "fill_median")).where("scope <> '*'"), 4)
 
 
 @query(

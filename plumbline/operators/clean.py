@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.cells import FOUR, PLACEHOLDERS, TWO, finite, null_tokens, numeric, q, strings, strip, to_number, undress
 from plumbline.functions.cells import NUMBER
-from plumbline.functions.names import rename_all
+from plumbline.functions.names import rename_all, unique_names
 from plumbline.operators import stats
 from plumbline.plans.aggplan import Distinct, Median, Plan, median, nearest_quantiles
 
@@ -298,7 +298,11 @@ def clean(df: DataFrame, rules: list[Rule] = (), order: list[str] | None = None)
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """CL-15: scope, metric, before, after, delta, pct_change, improved: completeness and uniqueness of the tables, then per column missing, unique, mean, std. Two aggregates and two distinct counts."""
+    """CL-15: scope, metric, before, after, delta, pct_change, improved: completeness and uniqueness of the tables, then per column missing, unique, mean, std. Two aggregates and two distinct counts.
+
+    The names of `before` are made snake case first, so that a raw table meets its cleaned one; a name that two columns would share goes to the first.
+    """
+    before = before.toDF(*unique_names(before.columns))
 
     def facts(df: DataFrame) -> dict:
         plan = Plan(df)

@@ -19,7 +19,7 @@ from plumbline.functions.cells import DATES, numeric, of_type, q
 LAGS = {7: "weekly", 30: "monthly", 90: "quarterly", 365: "yearly"}
 
 
-def positions(df: DataFrame, time: str, value: str, tie: str | None = None, ranges: int = 200) -> DataFrame:
+def positions(df: DataFrame, time: str, value: str, tie: str | None = None, ranges: int | None = None) -> DataFrame:
     """WN-03: i, y in time order, nulls dropped first; ties by `tie`, else by value.
 
     The rows fall into ranges of time at approximate quantiles, are numbered within each, and shifted by the counts of the
@@ -27,11 +27,11 @@ def positions(df: DataFrame, time: str, value: str, tie: str | None = None, rang
     """
     t = F.unix_micros(q(time).cast("timestamp"))
     x = df.where(q(time).isNotNull() & q(value).isNotNull()).select(t.alias("t"), q(tie or value).alias("b"), q(value).cast("double").alias("y"))
-    n = min(ranges, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = x.agg(F.percentile_approx("t", [k / n for k in range(1, n)], 1000)).first()[0] if n > 1 else None
     x = x.withColumn("p", sum(((F.col("t") > c).cast("int") for c in sorted(set(cuts or ()))), F.lit(0)))
     first, at = {}, 0
-    for r in x.groupBy("p").count().orderBy("p").collect():  # at most `ranges` rows
+    for r in x.groupBy("p").count().orderBy("p").collect():  # a row a range
         first[r["p"]] = at
         at += r["count"]
     own = F.expr("row_number() over (partition by p order by t, b, y) - 1")
