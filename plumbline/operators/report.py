@@ -26,11 +26,40 @@ def chart_specs(df: DataFrame, k: int = 10) -> list[dict]:
     return out
 
 
-def narrative(result: dict) -> str:
-    """RG-11, LI-02: sentences from an analysis result, the five highest insights first."""
-    lines = [f"{result['rows']} rows, {len(result['columns'])} columns."]
-    lines += [f"{i['title']} (score {i['score']:.2f})." for i in result.get("insights", [])[:5]]
-    return "\n".join(lines)
+def _number(x) -> str:
+    return f"{x:.6g}" if isinstance(x, float) else str(x)
+
+
+def narrative(result: dict, name: str = "the dataset", cleaned: dict | None = None) -> str:
+    """RG-11, LI-02: an analysis result in sentences, a paragraph for each subject, the five highest insights in front.
+
+    cleaned: what a cleaning report counted, by name.
+    """
+    columns = result["columns"]
+    parts = [[f"{name[:1].upper()}{name[1:]} has {result['rows']} rows and {len(columns)} columns: {', '.join(columns)}."]]
+    parts[0] += [f"{i['title']} (score {i['score']:.2f})." for i in result.get("insights", [])[:5]]
+    told = (("mean", "a mean of"), ("median", "a median of"), ("min", "a least value of"), ("max", "a greatest value of"), ("std", "a standard deviation of"))
+    parts.append([f"{r['column']} has " + ", ".join(f"{words} {_number(r[k])}" for k, words in told if r.get(k) is not None) + "." for r in result.get("summary") or []])
+    parts.append(
+        [
+            f"{r['column_a']} and {r['column_b']} have a {r['strength']} {r['direction']} correlation of {r['r_value']:.4f}: where one is high, the other tends to be {'high' if r['direction'] == 'positive' else 'low'}."
+            for r in result.get("strong_correlations") or []
+        ]
+    )
+    parts.append([f"{c} has {r['count']} outliers, {r['percentage']:.1f}% of the rows, outside {_number(r['lower'])} to {_number(r['upper'])}." for c, r in (result.get("outliers") or {}).items() if r["count"]])
+    trends = (result.get("trends") or {}).items()
+    parts.append([f"{c} has a {t['strength']} {t['direction']} trend over {t['data_points']} points." for c, t in trends if t.get("detected") and t["direction"] != "flat" and t["statistically_significant"]])
+    missing = (result.get("missing_patterns") or {}).get("column_details", {})
+    parts.append([f"{r['count']} values of {c} are missing ({r['percentage']:.1f}%, {r['severity']})." for c, r in missing.items()])
+    scores = result.get("confidence") or []
+    if scores:
+        overall = sum(r["overall"] for r in scores) / len(scores)
+        weak = [r for r in scores if r["grade"] in ("D", "F")]
+        parts.append([f"Confidence in the data is {overall:.1f} of 100."] + [f"{r['column']} has grade {r['grade']}: {', '.join(r['issues'])}." for r in weak])
+    parts.append([f"{r['severity'].capitalize()}: {r['column'] or 'rows'}, {r['description']}." for r in (result.get("issues") or [])[:10]])
+    done = [f"{k.replace('_', ' ')}: {v}" for k, v in (cleaned or {}).items() if v]
+    parts.append([f"Cleaning: {', '.join(done)}."] if done else ["Cleaning changed nothing."] if cleaned is not None else [])
+    return "\n\n".join(" ".join(p) for p in parts if p)
 
 
 def to_html(result: dict, title: str = "Dataset report") -> str:

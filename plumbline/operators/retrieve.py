@@ -131,3 +131,44 @@ def clean_question(text: str, longest: int = 2000) -> str:
 def history(turns: list[tuple[str, str]], last: int = 6) -> str:
     """RG-10: the last turns as prompt text."""
     return "\n".join(f"{role}: {clean_question(text)}" for role, text in turns[-last:])
+
+
+def named_columns(question: str, columns: list[str]) -> list[str]:
+    """The columns that a question names, with underscores or spaces."""
+    low = question.lower()
+    return [c for c in columns if c.lower() in low or c.lower().replace("_", " ") in low]
+
+
+def context(question: str, result: dict) -> dict:
+    """RG-10: what an analysis result holds on a question: the statistics, roles and scores of the columns it names, and the parts that its words ask for."""
+    low = question.lower()
+    named = set(named_columns(question, result["columns"]))
+    out: dict = {}
+    for part in ("summary", "classification", "roles", "confidence"):
+        if rows := [r for r in result.get(part) or [] if r["column"] in named]:
+            out[part] = rows
+    asked = (
+        (("correlat", "relat", "depend", "associat"), "strong_correlations"),
+        (("outlier", "anomal", "extreme"), "outliers"),
+        (("trend", "season", "time", "over the year"), "time_series"),
+        (("missing", "null", "empty"), "missing_patterns"),
+        (("quality", "issue", "problem", "clean"), "issues"),
+        (("categor", "frequent", "common", "share"), "categorical"),
+    )
+    for words, part in asked:
+        if any(w in low for w in words) and result.get(part):
+            out[part] = result[part]
+    return out
+
+
+def followups(result: dict | None, k: int = 3) -> list[str]:
+    """RG-10: questions that the result can answer."""
+    if not result:
+        return ["Which quality issues matter most?", "Which columns are correlated most strongly?", "What did cleaning change?"][:k]
+    numbers = [r["column"] for r in result.get("summary") or []]
+    out = [f"How are {r['column_a']} and {r['column_b']} related?" for r in (result.get("strong_correlations") or [])[:1]] or ([f"How are {numbers[0]} and {numbers[1]} related?"] if len(numbers) > 1 else [])
+    worst = max((result.get("outliers") or {}).items(), key=lambda x: x[1]["percentage"], default=None)
+    out += [f"Which outliers does {worst[0]} have?"] if worst else [f"Does {numbers[0]} have outliers?"] if numbers else []
+    out += [f"How did {c} change over time?" for c, t in (result.get("trends") or {}).items() if t.get("detected")][:1]
+    out += ["Which steps do you recommend for this dataset?", "Which quality issues matter most?"]
+    return list(dict.fromkeys(out))[:k]

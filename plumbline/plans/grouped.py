@@ -38,9 +38,7 @@ def group_ranks(df: DataFrame, by: list[Column], columns: dict[str, Column], ran
     cells = F.array(*[F.struct(F.lit(name).alias("name"), c.cast("double").alias("v")) for name, c in columns.items()])
     keys = [f"k{i}" for i in range(len(by))]
     long = df.select(*[b.alias(k) for k, b in zip(keys, by)], F.explode(cells).alias("x")).select(F.struct(*keys).alias("g"), "x.name", "x.v").where("v is not null")
-    long = settled(long, "groups")
     key = ["g", "name"]
-    sizes = settled(long.groupBy(*key).agg(F.count("*").alias("n")), "sizes")
     wanted = lambda n: F.array_distinct(ranks(n).cast("array<long>"))
 
     def at_once(rows):
@@ -48,9 +46,11 @@ def group_ranks(df: DataFrame, by: list[Column], columns: dict[str, Column], ran
         each = held.select("g", "name", "n", "values", F.explode(wanted(F.col("n"))).alias("rank"))
         return each.select("g", "name", "n", "rank", F.get("values", F.col("rank").cast("int")).alias("value"))
 
-    larger = sizes.where(f"n > {small}")
-    if not larger.take(1):
+    if not long.groupBy(*key).count().where(f"count > {small}").take(1):
         return at_once(long)
+    long = settled(long, "groups")
+    sizes = settled(long.groupBy(*key).agg(F.count("*").alias("n")), "sizes")
+    larger = sizes.where(f"n > {small}")
     few = long.join(sizes.where(f"n <= {small}").select(*key), key, "left_semi")
     rows = long.join(larger.select(*key), key, "left_semi")
     found = ranked(rows, larger.select(*key, "n", F.explode(wanted(F.col("n"))).alias("rank")), key, small, bins)

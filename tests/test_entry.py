@@ -17,7 +17,7 @@ def test_sql_keys():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["summary_stats", "nearest_quantiles", "histogram_15", "join_full", "auto_clean", "fk_orphans", "confidence", "iqr_outliers", "trend", "windows_sliding", "keyword_topk"])
+@pytest.mark.parametrize("name", ["summary_stats", "nearest_quantiles", "histogram_15", "join_full", "auto_clean", "fk_orphans", "confidence", "iqr_outliers", "trend", "windows_sliding", "keyword_topk", "local_outliers", "group_stats", "bm25_topk", "chart_boxes", "version_trend", "derived_columns", "whitespace_case"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
