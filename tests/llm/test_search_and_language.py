@@ -103,6 +103,22 @@ def test_ann_discards_by_its_tables(spark):
     assert len(got) == 100 and hits / 1000 >= 0.9
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_ann_queries_unlike_the_table(spark, copies):
+    """Tight clusters, or copies, whose queries lie elsewhere: the sample alone would probe too few cells."""
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(300, 24))
+    x = np.repeat(centers, 40, axis=0) if copies else centers[rng.integers(300, size=12_000)] + 0.05 * rng.normal(size=(12_000, 24))
+    x[::100] = rng.normal(size=(120, 24))
+    x[1::10] = rng.normal(size=(1200, 24))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = nearest(list(enumerate(x)), range(0, 12_000, 100))
+    assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) / 1200 >= 0.9
+
+
 def test_ann_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(df, F.col("vec_id") % 100 == 0).count() == 0
