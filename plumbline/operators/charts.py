@@ -29,6 +29,14 @@ def density(df: DataFrame, x: str, y: str, bins: int = 40) -> DataFrame:
     return cells.select("x_bin", "y_bin", "n", corner("x").alias("x_low"), corner("y").alias("y_low"))
 
 
+def _mean(v: str) -> Column:
+    """The mean of doubles whatever the order of the rows: whole parts and fractions (to 18 places) are summed as decimals; as usual where a value is beyond 1e18, infinite or NaN."""
+    fits = F.coalesce(F.max(F.abs(v)) < 1e18, F.lit(False))
+    small = F.when(F.abs(v) < 1e18, F.col(v))
+    whole, rest = F.sum(F.floor(small).cast("decimal(19,0)")), F.sum((small - F.floor(small)).cast("decimal(20,18)"))
+    return F.when(fits, (whole.cast("double") + rest.cast("double")) / F.count(v)).otherwise(F.mean(v))
+
+
 def line(df: DataFrame, time: str, value: str, pixels: int = 800) -> DataFrame:
     """A series of any length for a line of so many pixels: pixel, n, min, max, mean, first, last; a line from min to max in each pixel draws what all points would."""
     rows = df.select(F.unix_micros(q(time).cast("timestamp")).alias("t"), q(value).cast("double").alias("v")).where("t is not null and v is not null")
@@ -37,7 +45,7 @@ def line(df: DataFrame, time: str, value: str, pixels: int = 800) -> DataFrame:
     placed = both.select("t", "v", F.least(F.lit(pixels - 1), at.cast("int")).alias("pixel"))
     edge = lambda f, order: f(F.col("v"), order)
     return placed.groupBy("pixel").agg(
-        F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.mean("v").alias("mean"),
+        F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), _mean("v").alias("mean"),
         edge(F.min_by, F.struct("t", "v")).alias("first"), edge(F.max_by, F.struct("t", "v")).alias("last"),
     )
 

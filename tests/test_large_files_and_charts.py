@@ -103,3 +103,13 @@ def test_chart_tables_on_odd_rows(spark):
     got = {r["block"]: (r["n"], r["nulls"]) for r in charts.missing_map(holes, "i", blocks=4).collect()}
     assert got == {-1: (1, 1), 0: (25, 25), 1: (25, 0), 2: (25, 0), 3: (25, 0)}
     assert charts.shape(2.0, 1.0).startswith("right") and charts.shape(1.0, 2.0).startswith("left") and charts.shape(1.0, 1.0) == "roughly symmetric" and charts.shape(None, 1.0) is None
+
+
+def test_line_means_do_not_depend_on_the_order_of_rows(spark):
+    """Sums of doubles in the rows' order end in 0.25 here, and in other digits in other orders."""
+    values = [1e15, 0.3, -1e15]
+    for order in (values, values[::-1], [0.3, 1e15, -1e15]):
+        x = spark.createDataFrame([(i, v) for i, v in enumerate(order)], "i int, v double").selectExpr("timestamp'2024-01-01' as t", "v").coalesce(1)
+        assert charts.line(x, "t", "v", 10).first()["mean"] == 0.3 / 3
+    odd = spark.sql("select timestamp'2024-01-01' as t, cast(v as double) as v from values ('Infinity'), ('1') as x(v)")
+    assert charts.line(odd, "t", "v", 10).first()["mean"] == float("inf")
