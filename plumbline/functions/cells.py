@@ -40,9 +40,12 @@ def strings(df: DataFrame) -> list[str]:
     return of_type(df, T.StringType)
 
 
+SPACES = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
-    """All white space off both ends (trim takes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """All white space off both ends (trim without a list takes spaces only); no pattern is tried at every character."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def null_tokens(c: Column, tokens=NULL_TOKENS) -> Column:
@@ -53,8 +56,8 @@ def null_tokens(c: Column, tokens=NULL_TOKENS) -> Column:
 
 def undress(c: Column) -> Column:
     """Currency signs, separators, white space and % off; (x) is -x."""
-    c = F.regexp_replace(F.regexp_replace(c, r"[$,€£₹¥\s]", ""), "%", "")
-    return F.regexp_replace(c, r"^\((.*)\)$", "-$1")
+    c = F.translate(c, "$,€£₹¥%" + SPACES, "")
+    return F.when(c.startswith("("), F.regexp_replace(c, r"^\((.*)\)$", "-$1")).otherwise(c)
 
 
 def to_number(c: Column) -> Column:
