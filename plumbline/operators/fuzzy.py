@@ -9,16 +9,30 @@ segment: (length, number, characters) is the key of the join. Segments that many
 texts share are no key by themselves: as a pair has two in common, those count in twos only.
 Candidates then pass an edit-distance bound in the JVM; the ratio itself is worked
 out for what is left.
+
+Texts of more than SHORT characters have many segments of few characters each, and
+their keys and twos grow with the square of the length. They meet by length, block
+by block: no pair is listed that the bigrams rule out. M matching characters stand in
+1 + n + m - 2 M blocks at most, so of their bigrams 3 M - 1 - n - m or more are whole in
+both texts. One matrix product a pair of blocks counts those common to two texts. That compares
+all texts of near lengths, which is quadratic, but two numbers a pair of texts and nothing shuffled for it.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.cells import q, strip
+from plumbline.plans.shared import settled
+
 LEAST_RATIO = 0.85  # below it, short texts would have fewer characters than segments
 FREQUENT = 8  # texts that share a segment of one length and place
+SHORT = 20  # characters; longer texts meet in blocks
+BLOCK = 4096  # texts of one length in a block, fewer if they are long
+_AT_ONCE = 1 << 21  # numbers of a product in memory
 
 
 def _spare(r: float, total: str) -> str:
@@ -76,6 +90,55 @@ def candidates(texts: DataFrame, r: float = 0.88, length: int = 5, frequent: int
     return single.unionByName(both)
 
 
+def _bigrams(texts: list[str], n: int, buckets: int) -> np.ndarray:
+    """[text, bucket]: 1 where a bigram falls, its first, second, ... occurrence each in a bucket of its own. Two in one bucket make texts look more alike than they are, which loses no pair."""
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), n).astype(np.uint64)
+    g = np.sort(c[:, :-1] << np.uint64(21) | c[:, 1:], axis=1)
+    place = np.arange(n - 1)[None, :]
+    first = np.maximum.accumulate(np.where(np.diff(g, axis=1, prepend=np.uint64(1 << 63)) != 0, place, 0), axis=1)
+    h = (g << np.uint64(20) ^ (place - first).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    out = np.zeros((len(texts), buckets), np.float32)
+    out[np.arange(len(texts))[:, None], ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)] = 1
+    return out
+
+
+def met(texts: DataFrame, r: float = 0.88, length: int = 5, block: int = BLOCK) -> DataFrame:
+    """(x, y) of the distinct texts (t, of two characters or more) whose bigrams leave room for the ratio, x the shorter; a superset of the similar pairs.
+
+    A task holds two blocks of texts of one length each.
+    """
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n, m = int(key[0]), int(key[2])
+        x, y = rows["t"][~rows["second"]].tolist(), rows["t"][rows["second"]].tolist()
+        same = n == m and key[1] == key[3]
+        buckets = 1 << (16 * m - 1).bit_length()
+        whole = 3 * int(np.ceil(r * (n + m) / 2 - 1e-9)) - 1 - n - m
+        found: list = []
+        b = _bigrams(y, m, buckets)
+        least_b = b.sum(axis=1) - (m - 1 - whole)
+        step = max(1, _AT_ONCE // len(y)) if y else 1
+        for s in range(0, len(x) if y else 0, step):
+            a = _bigrams(x[s : s + step], n, buckets)
+            least = np.maximum((a.sum(axis=1) - (n - 1 - whole))[:, None], least_b[None, :])
+            i, j = np.nonzero(a @ b.T >= least)
+            if same:
+                i, j = i[i + s < j], j[i + s < j]
+            found += [(x[p + s], y[q]) for p, q in zip(i, j)]
+        return pd.DataFrame(found, columns=["x", "y"], dtype=object)
+
+    sized = texts.select("t", F.length("t").alias("n")).where("n > 1")
+    blocks = sized.groupBy("n").agg(F.expr(f"cast(ceil(count(*) / greatest(32, least({block}, {1 << 19} div n))) as int)").alias("blocks"))
+    each = blocks.select("n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asked = each.select("n", "block", F.explode(F.sequence("n", F.col("n") + length)).alias("m"))
+    pairs = asked.join(each.toDF("m", "other"), "m").where(f"(n < m or block <= other) and 2.0D * n / (n + m) >= {r!r}D - 1e-9D")
+    placed = sized.join(blocks, "n").select("t", "n", F.pmod(F.xxhash64("t"), "blocks").cast("int").alias("block"))
+    one = placed.join(pairs, ["n", "block"]).select("n", "block", "m", "other", "t", F.lit(False).alias("second"))
+    two = placed.toDF("t", "m", "other").join(pairs, ["m", "other"]).select("n", "block", "m", "other", "t", F.lit(True).alias("second"))
+    return one.unionByName(two).groupBy("n", "block", "m", "other").applyInPandas(meet, "x string, y string")
+
+
 def close(x: Column, y: Column, r: float) -> Column:
     """Bounds that the ratio implies: lengths, and the distance of edits that the unmatched characters leave room for."""
     n, m = F.length(x), F.length(y)
@@ -99,12 +162,14 @@ def similar_pairs(values: DataFrame, column: str, ratio: float = 0.88, length: i
 
     Null and empty texts have no partner. Ratios below LEAST_RATIO are refused.
     """
-    from plumbline.functions.cells import q, strip
-
     if ratio < LEAST_RATIO:
         raise ValueError(f"a ratio of {LEAST_RATIO} at least")
     v = values.where(q(column).isNotNull()).select(strip(q(column)).alias("v")).distinct().withColumn("t", F.lower("v"))
-    pairs = candidates(v.select("t").distinct(), ratio, length, frequent).where((F.col("x") != F.col("y")) & close(F.col("x"), F.col("y"), ratio))
+    v = settled(v, "texts")
+    texts = v.select("t").distinct()
+    # Both of a pair are longer, or the shorter has a partner of `length` more at most.
+    pairs = candidates(texts.where(F.length("t") <= SHORT + length), ratio, length, frequent).unionByName(met(texts.where(F.length("t") > SHORT), ratio, length))
+    pairs = pairs.where((F.col("x") != F.col("y")) & close(F.col("x"), F.col("y"), ratio))
     pairs = pairs.where(F.abs(F.length("x") - F.length("y")) <= length).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     one, two = v.toDF("v1", "x"), v.toDF("v2", "y")
     named = pairs.join(one, "x").join(two, "y").select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b"))

@@ -79,6 +79,22 @@ def test_fuzzy_candidates_grow_with_the_rows(spark):
     assert many < 15 * few  # ten times the rows
 
 
+def test_fuzzy_long_texts_meet_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    parts = np.array([a + b for a in ("th", "r", "s ", "é", "𝒳n", "m") for b in ("e", "ou", "in", "a", "on ", "y")])
+    texts = {"".join(rng.choice(parts, 30))[: int(rng.integers(55, 61))].strip() for _ in range(700)}
+    texts |= {t[:at] + new + t[at + cut :] for t in sorted(texts)[:150] for at, new, cut in [(int(rng.integers(0, 50)), str(rng.choice(["", "x", "abc"])), int(rng.integers(0, 5)))]}
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "t string").repartition(3)
+    some = sorted(texts)[:500]
+    want = {(a, b) for a, b in _brute_pairs(some)}
+    for block in (40, 4096):
+        found = {tuple(sorted(r)) for r in fuzzy.met(df, block=block).collect()}
+        assert len(want) > 40 and want <= found
+        assert len(found) < len(texts) ** 2 / 50  # the bigrams rule out nearly all pairs
+    got = {(r["a"], r["b"]) for r in fuzzy.similar_pairs(df, "t").collect()}
+    assert {x for x in got if set(x) <= set(some)} == want
+
+
 # ---- nearest neighbours and local outlier factors -----------------------------------------------------------------------
 
 
