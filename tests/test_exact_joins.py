@@ -125,6 +125,23 @@ def test_lof_against_all_distances(spark, cell_points):
     assert np.allclose([got[tuple(r)][1] for r in x], want, rtol=1e-6)
 
 
+def test_only_cells_within_reach_are_visited(spark):
+    x = np.random.default_rng(10).uniform(0, 100, (2000, 2))
+    cells = neighbours.Cells(x[:500], 32)
+    radius = np.linspace(0, 20, 2000)
+    radius[7] = np.inf
+    row, cell = cells.reached(x, radius)
+    gap = np.maximum(0, np.maximum(cells.low[None] - x[:, None], x[:, None] - cells.high[None]))
+    i, j = np.nonzero(np.sqrt((gap**2).sum(-1)) <= radius[:, None] * (1 + 1e-12))
+    assert row.tolist() == i.tolist() and cell.tolist() == j.tolist()
+    df = spark.createDataFrame([(list(map(float, r)), 1) for r in x], "p array<double>, w long")
+    got = neighbours.nearest(df, 5, cell_points=400).collect()
+    home = [r for r in got if r["near"] is None]  # nothing is sent elsewhere or looked up for these
+    assert len(got) == 2000 and len(home) > 1000
+    assert all(len(r["places"]) == len(r["d"]) == sum(r["times"]) == 5 for r in home)
+    assert all(sum(y["w"] for y in r["near"]) == 5 for r in got if r["near"] is not None)
+
+
 def test_lof_five_thousand_rows(spark):
     rng = np.random.default_rng(8)
     x = rng.gamma(2, 2, (5000, 2))
