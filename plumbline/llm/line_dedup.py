@@ -66,7 +66,16 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
-    """(k, th, pos, n1, n2, len, fp0, fp1, ...): one row per line that has a word; a SimHash of 16 bits a block, in longs.
+    """(k, th, pos, n1, n2, len, fp0, fp1, ...): one row per line that has a word; a SimHash of 16 bits a block, in longs."""
+    return _lines_of(*_fingerprints(docs, key, text, blocks))
+
+
+def _lines_of(parts: DataFrame, long: DataFrame) -> DataFrame:
+    return parts.where(F.col("own") <= CHUNK).select(long.columns).unionByName(long)
+
+
+def _fingerprints(docs: DataFrame, key: str, text: str, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Two settled tables: the lines, those of more than CHUNK different words in parts with their counters, and the fingerprints of these.
 
     Each distinct word of the line is dealt out and counted once, in partial
     aggregates, so a line crosses the exchange as two longs a block: lane j holds
@@ -82,12 +91,14 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", blocks: int
     same = [F.max(c).alias(c) for c in ("n1", "n2", "len", "own")]
     parts = each.groupBy("k", "th", "pos", "chunk").agg(*same, *counts)
     names = ["k", "th", "pos", "n1", "n2", "len"]
-    short = parts.where(F.col("own") <= CHUNK).select(*names, *_longs([_over_half(F.col(f"c{j}"), F.col("own")) for j in lanes]))
+    # Parts are written before the longer lines are picked from them: the exchange is read once.
+    fps = _longs([_over_half(F.col(f"c{j}"), F.col("own")) for j in lanes])
+    parts = settle(parts.select(*names, "own", *fps, *[F.when(F.col("own") > CHUNK, F.col(f"c{j}")).alias(f"c{j}") for j in lanes]))
     # Longer lines have several chunks: their counters go on in 32 bits, two to a long.
     two = F.lit(0xFF << 32 | 0xFF)
     wide = [F.sum(F.shiftrightunsigned(f"c{j}", 8 * i).bitwiseAND(two)).alias(f"c{j}_{i}") for j in lanes for i in range(4)]
     long = parts.where(F.col("own") > CHUNK).groupBy("k", "th", "pos").agg(*same, *wide)
-    return short.unionByName(long.select(*names, *_longs([_over_half_wide(j, F.col("own").cast("long")) for j in lanes])))
+    return parts, settle(long.select(*names, *_longs([_over_half_wide(j, F.col("own").cast("long")) for j in lanes])))
 
 
 def _over_half(lane: Column, n: Column) -> Column:
@@ -154,12 +165,14 @@ def _texts(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose words are similar enough."""
+    """The pairs (a, b) of classes, by their id or else (n1, n2), whose words are similar enough."""
     pairs = settle(pairs.distinct())
-    if not pairs.head(1):
+    n = pairs.count()
+    if not n:
         return pairs
     wanted = pairs.select(F.col("a").alias("nkey")).union(pairs.select("b")).distinct()
-    wanted = wanted.select("nkey", "nkey.n1", "nkey.n2").join(classes.select("n1", "n2", "first"), ["n1", "n2"]).select("nkey", "first")
+    nkey = F.col("id") if "id" in classes.columns else F.struct("n1", "n2")
+    wanted = classes.select(nkey.alias("nkey"), "first").join(F.broadcast(wanted) if 2 * n <= BROADCAST_ROWS else wanted, "nkey", "left_semi")
     texts = settle(_texts(wanted, docs, key, text).dropDuplicates(["nkey"]))
     both = pairs.join(texts.toDF("a", "ta", "ca"), "a").join(texts.toDF("b", "tb", "cb"), "b").withColumn("longer", F.greatest(F.length("ca"), F.length("cb")))
     # Cheap tries with few edits first: the cost of a try grows with the edits it allows.
@@ -176,15 +189,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
 
 
 def _buckets(classes: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """(key, n, nkey, len): the n members of each bucket that more than one class shares; of all classes only keys and half a name are shuffled."""
-    dealt = classes.select(F.explode(F.array(*_keys(distance, blocks))).alias("key"), "n1")
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    found = settle(dealt.join(shared.hint("shuffle_hash"), "key"))
-    some = found.select("n1").distinct()
-    few = some.count() <= BROADCAST_ROWS
-    # Classes with the same half name would all take its buckets; the keys tell whose they are.
-    named = classes.join(F.broadcast(some) if few else some, "n1", "left_semi").select(F.explode(F.array(*_keys(distance, blocks))).alias("key"), "n1", "n2", "len")
-    out = settle(named.join(found.select("key", "n").distinct(), "key").select("key", "n", F.struct("n1", "n2").alias("nkey"), "len"))
+    """(key, id, len): the members of each bucket that several classes share."""
+    # Dealt once: counting and picking read the same exchange, since both use all of its columns. Keys hardly repeat, so counting before it gains nothing.
+    dealt = classes.select(F.explode(F.array(*_keys(distance, blocks))).alias("key"), "id").repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    found = settle(dealt.join(shared.hint("shuffle_hash"), "key").hint("rebalance"))
+    out = settle(classes.select("id", "len").join(_small(found), "id").select("key", "id", "len"))
     release(found)
     return out
 
@@ -195,8 +205,15 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _roots(links: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """(node, root) of links (a, b), on top of those found before."""
-    return components(links if more is None else more.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+    """(node, root) of links (a, b), settled, on top of those found before: of these, only the roots that links touch are gone through again."""
+    if more is None:
+        return components(links)
+    if not links.head(1):
+        return more
+    ends = links.join(more.toDF("a", "ra"), "a", "left").join(more.toDF("b", "rb"), "b", "left")
+    tops = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    moved = more.toDF("node", "was").join(tops.toDF("was", "now"), "was", "left")
+    return moved.select("node", F.coalesce("now", "was").alias("root")).union(tops)
 
 
 def _runs(docs: DataFrame, classes: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
@@ -232,9 +249,9 @@ def _missed(docs: DataFrame, classes: DataFrame, roots: DataFrame, key: str, tex
     keyed = _runs(docs, classes, key, text, similarity).repartition(n, "run")
     shared = keyed.groupBy("run").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.bit_or("x").alias("any")).where("low <> high and any & 1 = 1")
     many = settle(keyed.join(shared.select("run"), "run").distinct())
-    of = classes.select(F.col("n1").alias("id"), F.struct("n1", "n2").alias("nkey")).join(roots, F.col("nkey") == F.col("node"), "left")
-    of = of.select("id", "nkey", F.coalesce("root", "nkey").alias("root"))
-    placed = many.join(of, "id").select("run", "nkey", "root", F.expr("cast(shiftright(x, 33) as int) as len"), F.expr("cast(shiftright(x, 1) & 4294967295 as int) as at"), F.expr("x & 1 = 1 as own"))
+    of = classes.select(F.col("n1").alias("half"), F.col("id").alias("nkey")).join(roots, F.col("nkey") == F.col("node"), "left")
+    of = of.select("half", "nkey", F.coalesce("root", "nkey").alias("root"))
+    placed = many.withColumnRenamed("id", "half").join(of, "half").select("run", "nkey", "root", F.expr("cast(shiftright(x, 33) as int) as len"), F.expr("cast(shiftright(x, 1) & 4294967295 as int) as at"), F.expr("x & 1 = 1 as own"))
     mixed = placed.groupBy("run").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("run")
     placed = settle(placed.join(mixed, "run"))
     release(many)
@@ -249,34 +266,36 @@ def groups(docs: DataFrame, occurrences: DataFrame, key: str, text: str, similar
     """(n1, n2, keep): classes in groups of two occurrences or more; keep is the occurrence that stays."""
     fps = [c for c in occurrences.columns if c.startswith("fp")]
     first = [F.count("*").alias("n"), F.min(F.struct("k", "th", "pos")).alias("first"), F.max("len").alias("len"), *[F.max(c).alias(c) for c in fps]]
-    classes = settle(occurrences.groupBy("n1", "n2").agg(*first))
+    # Once written, a class goes by one long: sixteen bytes in a struct are slow to sort and group.
+    classes = settle(occurrences.groupBy("n1", "n2").agg(*first).withColumn("id", F.monotonically_increasing_id()))
     drop_shuffles(docs.sparkSession)  # of the words and of the classes, before the keys are dealt
     verified = lambda pairs: _verified(pairs, classes, docs, key, text, similarity)
-    fits = F.expr(f"a.nkey <> b.nkey and least(a.len, b.len) >= {similarity}D * greatest(a.len, b.len)")
+    fits = lambda a, b: F.expr(f"least({a}, {b}) >= {similarity}D * greatest({a}, {b})")
     # Shorter lines than that have no room for an edit.
-    members = _buckets(classes.where(f"floor({1 - similarity}D * floor(len / {similarity}D + 1e-9D) + 1e-9D) > 0"), distance, blocks)
+    shared = _buckets(classes.where(f"floor({1 - similarity}D * floor(len / {similarity}D + 1e-9D) + 1e-9D) > 0"), distance, blocks)
 
     drop_shuffles(docs.sparkSession)
 
     # 1. Members against the first of their bucket.
-    lead = members.groupBy("key").agg(F.min(F.struct("nkey", "len")).alias("l")).select("key", "l.*")
-    led = lead.alias("a").join(members.alias("b"), "key").where(fits)
-    roots = _roots(verified(led.select(F.col("a.nkey").alias("a"), F.col("b.nkey").alias("b"))))
+    lead = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.min_by("len", "id").alias("lead_len"))
+    members = settle(shared.join(lead, "key"))
+    led = members.where("id <> lead").where(fits("len", "lead_len"))
+    roots = _roots(verified(led.select(F.col("lead").alias("a"), F.col("id").alias("b"))))
     # 2. Where that leaves a bucket of three or more apart: its pairs that aren't connected.
-    placed = members.where("n > 2").join(roots.select(F.col("node").alias("nkey"), "root"), "nkey", "left")
-    placed = settle(placed.withColumn("root", F.coalesce("root", "nkey")))
+    placed = members.where("n > 2").select("key", "id", "len").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    placed = settle(placed.withColumn("root", F.coalesce("root", "id")))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     apart = settle(placed.join(mixed, "key"))
-    rest = apart.alias("a").join(apart.alias("b"), "key").where(fits & F.expr("a.nkey < b.nkey and a.root <> b.root"))
-    roots = _roots(verified(rest.select(F.col("a.nkey").alias("a"), F.col("b.nkey").alias("b"))), roots)
+    rest = apart.alias("a").join(apart.alias("b"), "key").where(fits("a.len", "b.len") & F.expr("a.id < b.id and a.root <> b.root"))
+    roots = _roots(verified(rest.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))), roots)
     # 3. Lines whose fingerprints are further apart.
     if whole:
         roots = _roots(verified(_missed(docs, classes, roots, key, text, similarity)), roots)
-    of = settle(roots.union(roots.select("root", "root")).distinct().select("node.n1", "node.n2", "root"))
-    again = classes.select("n1", "n2", "n", "first").join(_small(of), ["n1", "n2"], "left").where("n > 1 or root is not null")
-    again = settle(again.select("n1", "n2", "first", F.coalesce("root", F.struct("n1", "n2")).alias("root")))
+    of = settle(roots.union(roots.select("root", "root")).distinct().toDF("id", "root"))
+    again = classes.select("id", "n1", "n2", "n", "first").join(_small(of), "id", "left").where("n > 1 or root is not null")
+    again = settle(again.select("n1", "n2", "first", F.coalesce("root", "id").alias("root")))
     out = settle(again.join(again.groupBy("root").agg(F.min("first").alias("keep")), "root").select("n1", "n2", "keep"))
-    for x in (members, placed, apart, of, again, classes):
+    for x in (shared, members, placed, apart, of, again, classes):
         release(x)
     return out
 
@@ -301,17 +320,22 @@ def dedup(
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00null"))
     named = docs.withColumns({"_id": name(key), "_hash": F.xxhash64(text)})
     same = ["_id", "_hash"]
-    twice = settle(named.groupBy(*same).count().where("count > 1").select(*same))
-    repeats, once = bool(twice.head(1)), docs
+    # Texts are read only if a key occurs again, and then only those of such keys are hashed.
+    often = settle(named.groupBy("_id").count().where("count > 1").select("_id"))
+    twice, repeats, once = often, bool(often.head(1)), docs
+    if repeats:
+        twice = settle(named.join(_small(often), "_id", "left_semi").groupBy(*same).count().where("count > 1").select(*same))
+        repeats = bool(twice.head(1))
     if repeats:  # lines are counted by key, text and place: of rows equal in key and text one is read
         again = named.join(twice, same, "left_semi").dropDuplicates(same)
         once = named.join(twice, same, "left_anti").unionByName(again).drop(*same)
-    occurrences = settle(lines(once, key, text, blocks))
+    written = _fingerprints(once, key, text, blocks)
+    occurrences = _lines_of(*written)
     grouped = groups(once, occurrences, key, text, similarity, distance, blocks, whole)
     dropped = occurrences.select("k", "th", "pos", "n1", "n2").join(_small(grouped), ["n1", "n2"]).where("not (keep <=> struct(k, th, pos))")
     gone = settle(dropped.groupBy(name("k").alias("_k"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_gone")))
-    release(occurrences)
-    release(grouped)
+    for x in (*written, grouped):
+        release(x)
     small = gone.agg(F.sum(F.size("_gone") / 10 + 1)).first()[0] or 0  # in rows of about 50 bytes
     out = named.join(F.broadcast(gone) if small <= BROADCAST_ROWS else gone, (F.col("_id") == F.col("_k")) & (F.col("_hash") == F.col("_th")), "left")
     if repeats:
@@ -322,11 +346,11 @@ def dedup(
         out = out.withColumn("_turn", F.lit(1))
     # Only texts that lose lines are split; out of a generator, so once, not where each of the expressions below needs the lines.
     changed = (F.col("_turn") > 1) | F.col("_gone").isNotNull()
-    out = out.withColumn("_parts", F.explode(F.array(F.when(changed, F.split(text, "\n")))))
-    parts = F.col("_parts")
-    n = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
+    newlines = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))  # not counting characters
+    out = _once(out, "_x", F.struct(F.when(changed, F.split(text, "\n")).alias("parts"), (newlines + 1).alias("n")))
+    parts, n = F.col("_x.parts"), F.col("_x.n")
     gone_here = F.coalesce("_gone", F.array().cast("array<int>"))
-    kept = F.when(F.col("_turn") == 1, F.array_sort(F.array_except(F.sequence(F.lit(0), n - 1), gone_here)))
+    kept = F.when(F.col("_turn") == 1, F.array_except(F.sequence(F.lit(0), n - 1), gone_here))
     later = F.array_join(F.filter(parts, lambda x: F.size(words(x)) == 0), "\n")
     new = F.when(F.col(text).isNull(), F.lit(None).cast("string"))
     new = new.when((F.col("_turn") == 1) & F.col("_gone").isNull(), F.col(text))

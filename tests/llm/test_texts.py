@@ -170,6 +170,34 @@ def test_line_edits_are_those_of_words(spark):
     assert got == {of[b] for _, b, edits, _ in pairs if edits <= 60}
 
 
+def test_line_buckets_are_dealt_once(spark, monkeypatch):
+    """Members of shared buckets against all pairs by hand; counting keys and picking members read one exchange."""
+    rows = [(i, f"a{i % 7} b{i % 5} c d e f g h{i % 3}") for i in range(60)] + [(99, "nothing like the others here")]
+    occ = line_dedup.lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = line_dedup.settle(occ.dropDuplicates(["n1", "n2"]).withColumn("id", F.col("k")))
+    settled, real = [], line_dedup.settle
+    monkeypatch.setattr(line_dedup, "settle", lambda df: (settled.append(df), real(df))[1])
+    got = line_dedup._buckets(classes, line_dedup.DISTANCE, line_dedup.BLOCKS).collect()
+    of = {r.id: line_words(dict(rows)[r.k]) for r in classes.collect()}
+    assert {(r.id, r.len) for r in got} == {(i, len(w)) for i, w in of.items() if any(i != j and brute_candidates(w, v) for j, v in of.items())}
+    buckets = {}
+    for r in got:
+        buckets.setdefault(r.key, set()).add(r.id)
+    met = {(i, j) for b in buckets.values() for i in b for j in b if i < j}
+    assert met == {(i, j) for i in of for j in of if i < j and brute_candidates(of[i], of[j])}
+    settled[0].collect()
+    assert "ReusedExchange" in settled[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_groups_are_joined_at_their_roots(spark):
+    """Links on top of earlier groups: only the roots they touch are gone through again, and every member follows."""
+    links = "a long, b long"
+    first = line_dedup._roots(spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51), (51, 52), (70, 71)], links))
+    found = line_dedup._roots(spark.createDataFrame([(52, 15), (80, 81), (90, 71)], links), first)
+    assert sorted(map(tuple, found.collect())) == sorted([(i, 1) for i in [*range(2, 31), 50, 51, 52]] + [(71, 70), (90, 70), (81, 80)])
+    assert sorted(line_dedup._roots(spark.createDataFrame([], links), first).collect()) == sorted(first.collect())
+
+
 def test_line_dedup_against_brute_force(spark):
     import random
 
