@@ -12,6 +12,9 @@ What is shuffled is dictionaries and compressed slots, never one row per word.
 The split is read twice; each block carries a checksum of its dictionary, and a
 mismatch of the two reads stops the job rather than give wrong ids.
 
+A worker holds no more than its step needs: splitting loads no vocabulary, and a
+block's ids and bytes stand in flat arrays, a few bytes a token.
+
 Null text counts as empty: no tokens. Special tokens of the vocabulary are
 recognised in texts as the tokenizers library does. Repeated rows each keep a
 row; a null key is carried along.
@@ -25,14 +28,14 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches
+from plumbline.llm.common import lean, small_batches
 
 BLOCK_CHARS = 64 << 20  # of text in a block
 BLOCK_WORDS = 600_000  # distinct words in a block, beyond which it ends with the document at hand
+OUT_BYTES = 16 << 20  # of ids and text in a batch of results, beyond which it ends with the document at hand
 #: The public pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -41,16 +44,27 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"  # all \\p{L} of _PLAIN
 _NUMBERS = "0-9²³¹¼-¾"  # all \\p{N} of _PLAIN
 
 
+def _tokenizer(tokenizer_json: str):
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(tokenizer_json)
+
+
+def without_vocabulary(tokenizer_json: str) -> str:
+    """The same tokenizer with an empty vocabulary: all that splitting needs, at a thousandth of the size."""
+    spec = json.loads(tokenizer_json)
+    spec["model"] |= {"vocab": {}, "merges": []}
+    return json.dumps(spec)
+
+
 class Splitter:
     """Words of a text, as the tokenizer's own pre-tokenizer cuts them; special tokens are words of their own."""
 
     def __init__(self, tokenizer_json: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer = _tokenizer(tokenizer_json)
         spec = json.loads(tokenizer_json)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -77,9 +91,6 @@ class Splitter:
             return self.fast(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
 
 def byte_pieces(tokenizer_json: str) -> list[bytes]:
     """The bytes of each id. A byte-level vocabulary writes printable bytes as themselves and the n-th other one as U+0100 + n."""
@@ -169,7 +180,7 @@ def _blocks(splitter: Splitter, batches, wanted: str):
             yield seal()
 
 
-def _encoded(splitter: Splitter, batches):
+def _encoded(tokenizer, batches):
     """From (block, slot, word) sorted by word: parts (block, kind 0, key null, a) of the blocks' id tables; a word is encoded once."""
     import pyarrow as pa
 
@@ -178,7 +189,7 @@ def _encoded(splitter: Splitter, batches):
         words = batch.column(2).to_pylist()
         blocks, slots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         distinct = [w for i, w in enumerate(words) if (i == 0 and w != last) or (i and w != words[i - 1])]
-        new = iter(splitter.encode(distinct))
+        new = (e.ids for e in tokenizer.encode_batch(distinct, add_special_tokens=False))
         ids = []
         for i, w in enumerate(words):
             if w != last:
@@ -200,9 +211,11 @@ def _encoded(splitter: Splitter, batches):
 
 
 class _Table:
-    """Ids and bytes by slot, put together from a block's parts."""
+    """Ids and bytes by slot, put together from a block's parts. pieces: the vocabulary's bytes by id, a large_binary array."""
+
+    def __init__(self, parts: list[bytes], pieces):
+        import pyarrow as pa
 
-    def __init__(self, parts: list[bytes], pieces: list[bytes]):
         self.mark, got = 0, []
         for p in parts:
             self.mark = (self.mark + int.from_bytes(p[:8], "little")) & 0x7FFFFFFFFFFFFFFF
@@ -213,28 +226,50 @@ class _Table:
                 at += 4 + n
             got.append(three)
         slots, lens, ids = (np.concatenate([g[k] for g in got]) if got else np.empty(0, np.uint32) for k in range(3))
+        got.clear()
         lens = lens.astype(np.int64)
-        order = np.argsort(slots, kind="stable")
-        starts = np.cumsum(lens) - lens
-        self.starts, self.lens, self.ids = starts[order], lens[order], ids
-        flat = ids.tolist()
-        self.bytes = [b"".join([pieces[i] for i in flat[a : a + n]]) for a, n in zip(self.starts.tolist(), self.lens.tolist())]
+        self.place = np.empty(len(slots), np.uint32)  # of a slot among the words as they came
+        self.place[slots] = np.arange(len(slots), dtype=np.uint32)
+        ends = np.cumsum(lens)
+        self.ids, self.lens, self.starts = ids, lens, ends - lens
+        spelled = pieces.take(pa.array(ids))
+        offsets = np.frombuffer(spelled.buffers()[1], np.int64)[np.concatenate([[0], ends])]
+        self.bytes = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), spelled.buffers()[2]])
 
     def of(self, slots: np.ndarray) -> tuple[np.ndarray, bytes]:
-        lens = self.lens[slots]
-        first = np.repeat(self.starts[slots] - (np.cumsum(lens) - lens), lens)
-        return self.ids[first + np.arange(len(first))], b"".join(map(self.bytes.__getitem__, slots.tolist()))
+        import pyarrow as pa
+
+        if not len(slots):
+            return np.empty(0, np.uint32), b""
+        at = self.place[slots]
+        lens = self.lens[at]
+        first = np.repeat(self.starts[at] - (np.cumsum(lens) - lens), lens)
+        _, offsets, data = self.bytes.take(pa.array(at)).buffers()
+        return self.ids[first + np.arange(len(first))], data[: np.frombuffer(offsets, np.int64)[len(at)]].to_pybytes()
 
 
 def _joined(pieces: list[bytes], batches, with_ids: bool, with_text: bool):
     """From (block, kind, key, a) sorted by block and kind: the documents, ids by position and text from the ids."""
     import pyarrow as pa
 
+    pieces = pa.array(pieces, pa.large_binary())
     block, parts, held = None, [], None
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
+
+    def flush(out):
+        keys, ids, digests, decoded, texts = zip(*out)
+        cols = [pa.concat_arrays(keys), pa.array(list(map(len, ids)), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+        if with_ids:
+            cuts = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids).astype(np.int32))))
+        if with_text:
+            cols.append(pa.array(texts, pa.string()))
+        return pa.RecordBatch.from_arrays(cols, names)
+
     for batch in batches:
-        bs, kinds, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
-        keys, out = [], []
-        for i, (b, kind, a) in enumerate(zip(bs, kinds, blobs)):
+        out, size = [], 0
+        for i, (b, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            a = batch.column(3)[i].as_py()
             if b != block:
                 block, parts, held = b, [], None
             if kind == 0:
@@ -246,25 +281,16 @@ def _joined(pieces: list[bytes], batches, with_ids: bool, with_text: bool):
                     raise RuntimeError(f"block {b}: two reads of the documents gave different dictionaries")
             else:
                 ids, raw = held.of(_unpack(a))
-                keys.append(batch.column(2).slice(i, 1))
+                ids = ids.astype("<u4", copy=False)
                 text = raw.decode("utf-8", "replace")
-                digest = hashlib.sha256(text.encode()).hexdigest()
-                out.append((ids.astype("<u4"), text, digest))
+                digests = hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+                out.append((batch.column(2).slice(i, 1), ids, *digests, text if with_text else None))
+                size += ids.nbytes + len(raw) * with_text
+                if size > OUT_BYTES:
+                    yield flush(out)
+                    out, size = [], 0
         if out:
-            cols = [
-                pa.concat_arrays(keys),
-                pa.array([len(x[0]) for x in out], pa.int64()),
-                pa.array([hashlib.sha256(x[0].tobytes()).hexdigest() for x in out], pa.string()),
-                pa.array([x[2] for x in out], pa.string()),
-            ]
-            names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array([x[0].astype(np.int32) for x in out], pa.list_(pa.int32())))
-                names.append("ids")
-            if with_text:
-                cols.append(pa.array([x[1] for x in out], pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield flush(out)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", with_ids: bool = True, with_text: bool = False) -> DataFrame:
@@ -273,21 +299,24 @@ def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    shipped = spark.sparkContext.broadcast(spec)
+    small = without_vocabulary(spec)
+    shipped, pieces = spark.sparkContext.broadcast(spec), spark.sparkContext.broadcast(byte_pieces(spec))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(key, text)
-    dictionary = rows.mapInArrow(lambda b: _blocks(Splitter(shipped.value), b, "words"), "block long, slot long, word string")
+    dictionary = rows.mapInArrow(lambda b: lean(_blocks(Splitter(small), b, "words")), "block long, slot long, word string")
     parts = (
         dictionary.repartition(n, "word").sortWithinPartitions("word")
-        .mapInArrow(lambda b: _encoded(Splitter(shipped.value), b), "block long, kind int, a binary")
+        .mapInArrow(lambda b: lean(_encoded(_tokenizer(shipped.value), b)), "block long, kind int, a binary")
     )
-    packed = rows.mapInArrow(lambda b: _blocks(Splitter(shipped.value), b, "docs"), f"block long, kind int, key {kind}, a binary")
+    packed = rows.mapInArrow(lambda b: lean(_blocks(Splitter(small), b, "docs")), f"block long, kind int, key {kind}, a binary")
     both = packed.unionByName(parts, allowMissingColumns=True).select("block", "kind", "key", "a")
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
+    # A task's first block goes to the partition of the task's number, its others to steps away: as many blocks everywhere, where a hash heaps some up.
+    deal = F.pmod(F.shiftright("block", 24) + F.col("block").bitwiseAND(F.lit((1 << 24) - 1)) * F.lit(n * 618 // 1000), F.lit(n)).cast("int")
     out = (
-        both.repartition(n, "block").sortWithinPartitions("block", "kind")
-        .mapInArrow(lambda b: _joined(byte_pieces(shipped.value), b, with_ids, with_text), schema)
+        both.repartitionById(n, deal).sortWithinPartitions("block", "kind")
+        .mapInArrow(lambda b: lean(_joined(pieces.value, b, with_ids, with_text)), schema)
     )
     return out.withColumnRenamed("key", key)
 
@@ -299,13 +328,15 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", name: str = "text") -> DataFrame:
     """encoded + the text of its ids: an id-to-piece lookup, concatenated by position. Unknown or null ids give nothing; null ids arrays give null."""
+    import pandas as pd
+
     spark = encoded.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         pieces = spark.sparkContext.broadcast(byte_pieces(f.read()))
 
-    @F.pandas_udf("string")
-    def joined(s: pd.Series) -> pd.Series:
+    def joined(s):
         p = pieces.value
         return s.map(lambda x: None if x is None else b"".join([p[i] for i in x if i is not None and 0 <= i < len(p)]).decode("utf-8", "replace"))
 
-    return encoded.withColumn(name, joined(F.col(ids)))
+    joined.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return encoded.withColumn(name, F.pandas_udf(joined, "string")(F.col(ids)))

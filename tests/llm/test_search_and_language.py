@@ -242,6 +242,37 @@ def test_bpe_small_blocks_and_decoding(spark, monkeypatch):
     assert bpe.round_trip(docs.limit(0), path).count() == 0
 
 
+def test_bpe_deals_blocks_evenly(spark):
+    """Eight tasks, a block each, onto four partitions: two blocks each."""
+    docs = spark.range(0, 80, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    out = bpe.round_trip(docs, queries.tokenizer_file("byte_bpe_50k.json"))
+    assert [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()] == [20] * 4
+
+
+def test_bpe_block_takes_few_bytes_a_token():
+    """The table of a block of 200,000 words of three tokens, and what it takes to build it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, rng = 200_000, np.random.default_rng(5)
+    pieces, slots, ids = [b"%05d" % i for i in range(50_000)], rng.permutation(n).astype(np.uint32), rng.integers(0, 50_000, 3 * n).astype(np.uint32)
+    body = [bpe._pack(x) for x in (slots, np.full(n, 3, np.uint32), ids)]
+    part = bytes(8) + b"".join(len(x).to_bytes(4, "little") + x for x in body)
+    asked = np.array([0, n - 1, 0], np.uint32)
+    rows = [(0, None, part), (1, None, bytes(8)), (2, 7, bpe._pack(asked)), (2, 8, bpe._pack(asked[:0]))]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1] * 4), pa.array([k for k, _, _ in rows], pa.int32()), pa.array([k for _, k, _ in rows], pa.int64()), pa.array([a for _, _, a in rows], pa.binary())], ["block", "kind", "key", "a"]
+    )
+    tracemalloc.start()
+    (got,) = bpe._joined(pieces, iter([batch]), True, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [int(i) for s in asked for i in ids.reshape(n, 3)[np.flatnonzero(slots == s)[0]]]
+    assert got.column(4).to_pylist() == [want, []] and got.column(5).to_pylist() == ["".join("%05d" % i for i in want), ""]
+    assert peak < 150 * n, peak
+
+
 def test_bpe_notices_a_changed_second_read(spark):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
     shaky = docs.withColumn("text", F.concat("text", F.udf(lambda: str(random.random()), "string").asNondeterministic()()))
