@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import fuzzy, issues, neighbours, outliers, series, stats
 from plumbline.operators.fulltext import FullText
 from plumbline.operators.loess import Spans, stl
-from plumbline.plans import grouped
+from plumbline.plans import aggplan, grouped
 
 SF = "/root/testdata/sf0.01"
 
@@ -168,6 +168,50 @@ def test_lof_odd_rows(spark):
     assert outliers.multivariate(same, "id", ["a", "b"]).where("outlier").count() == 0
 
 
+def test_points_of_many_rows_are_their_own_neighbours(spark, monkeypatch):
+    """Neighbours are looked for only of points with k rows or fewer, factors are those of all distances."""
+    x = np.concatenate([np.repeat([[0.0, 0.0], [3.0, 1.0]], 40, axis=0), np.random.default_rng(11).normal(0, 2, (60, 2))])
+    df = spark.createDataFrame([(*map(float, r),) for r in x], "a double, b double")
+    got = {tuple(r["p"]): r["lof"] for r in neighbours.local_outlier_factors(df, ["a", "b"], cell_points=20).collect()}
+    assert np.allclose([got[tuple(r)] for r in x], _brute_lof(x), rtol=1e-6)
+
+    def looked(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(neighbours, "nearest", looked)
+    for heavy in (neighbours.local_outlier_factors(df.limit(80), ["a", "b"]).collect(), neighbours.local_outlier_factors(df.limit(40), ["a", "b"]).collect()):
+        assert heavy and {r["lof"] for r in heavy} == {1.0}
+
+
+@pytest.mark.parametrize("shipped", [1 << 20, 0])
+def test_multivariate_by_points(spark, monkeypatch, shipped):
+    """Rows of the same point count as often as they occur, with or without scores."""
+    monkeypatch.setattr(outliers, "SHIPPED", shipped)
+    x = np.round(np.random.default_rng(12).gamma(2, 2, (3000, 2)), 1)
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)] + [(3000 + i, float("inf"), 1.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(3)
+    points = outliers.multivariate_points(df, "id", ["a", "b"], share=0.1)
+    every = outliers.multivariate(df, "id", ["a", "b"], share=0.1)
+    got = {r["id"]: r for r in every.collect()}
+    assert len(got) == 3500 and all(got[i]["isolation"] is None and got[i]["isolated"] is False for i in range(3000, 3500))
+    iso, lof = (np.array([got[i][c] for i in range(3000)]) for c in ("isolation", "lof"))
+    assert np.allclose(lof, _brute_lof(x), rtol=1e-6)
+    assert [got[i]["isolated"] for i in range(3000)] == (iso > np.quantile(iso, 0.9)).tolist()
+    assert [got[i]["outlier"] for i in range(3000)] == ((iso > np.quantile(iso, 0.9)) & (lof > np.quantile(lof, 0.9))).tolist()
+    held = points.collect()
+    assert sum(r["w"] for r in held) == 3500 and len(held) == len(np.unique(x, axis=0)) + 1
+    assert outliers.multivariate_summary(points, ["a", "b"], "w").collect() == outliers.multivariate_summary(every, ["a", "b"]).collect() != []
+
+
+def test_order_statistics_by_weight(spark):
+    values = [(3.0, 4, 1.0), (-1.0, 2, 1e300), (1e9, 1, float("inf")), (None, 5, None), (0.5, 3, 0.0)]
+    df = spark.createDataFrame(values, "x double, w long, y double").repartition(3)
+    want = {c: sorted(v for r in values for v in [r[at]] * r[1] if v is not None) for c, at in (("x", 0), ("y", 2))}
+    got = aggplan.order_statistics(df, {c: (F.col(c), lambda n: {0.5: tuple(range(n))}) for c in want}, F.col("w"))
+    assert got.counts == {c: len(v) for c, v in want.items()}
+    assert {c: [got[c, k] for k in range(len(v))] for c, v in want.items()} == want
+
+
 # ---- medians within groups ----------------------------------------------------------------------------------------------
 
 
