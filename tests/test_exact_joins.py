@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.catalog import QUERIES
 from plumbline.operators import fuzzy, issues, neighbours, outliers, series, stats
 from plumbline.operators.fulltext import FullText
 from plumbline.operators.loess import Spans, stl
@@ -203,6 +204,12 @@ def test_multivariate_by_points(spark, monkeypatch, shipped):
     assert outliers.multivariate_summary(points, ["a", "b"], "w").collect() == outliers.multivariate_summary(every, ["a", "b"]).collect() != []
 
 
+def test_summary_looks_up_no_rows(spark, monkeypatch):
+    want = outliers.multivariate_summary(QUERIES["multivariate"](spark, "/root/testdata/sf0.001"), ["l_quantity", "l_extendedprice", "l_discount"]).collect()
+    monkeypatch.delattr(outliers, "multivariate")
+    assert QUERIES["multivariate_summary"](spark, "/root/testdata/sf0.001").collect() == want
+
+
 def test_order_statistics_by_weight(spark):
     values = [(3.0, 4, 1.0), (-1.0, 2, 1e300), (1e9, 1, float("inf")), (None, 5, None), (0.5, 3, 0.0)]
     df = spark.createDataFrame(values, "x double, w long, y double").repartition(3)
