@@ -232,7 +232,7 @@ def chart_density(spark, d):
     select pixel, count(*) as n, min(v) as min, max(v) as max, round(avg(v), 6) as mean, arg_min(v, (t, v)) as first, arg_max(v, (t, v)) as last from p group by 1""",
 )
 def chart_line(spark, d):
-    return rounded(charts.line(table(spark, d, "events"), "ts", "value", 200))
+    return charts.line(table(spark, d, "events"), "ts", "value", 200).withColumn("mean", F.round("mean", 6))
 
 
 def _box(x: str) -> str:

@@ -41,7 +41,8 @@ def line(df: DataFrame, time: str, value: str, pixels: int = 800) -> DataFrame:
     """A series of any length for a line of so many pixels: pixel, n, min, max, mean, first, last; a line from min to max in each pixel draws what all points would."""
     rows = df.select(F.unix_micros(q(time).cast("timestamp")).alias("t"), q(value).cast("double").alias("v")).where("t is not null and v is not null")
     both = rows.join(F.broadcast(_ends(rows, ["t"])))
-    at = F.when(F.col("t_high") > F.col("t_low"), F.floor((F.col("t") - F.col("t_low")) * F.lit(pixels).cast("decimal(20,0)") / (F.col("t_high") - F.col("t_low")))).otherwise(0)
+    # In whole numbers: a quotient of decimals is rounded to 6 places, which moves a point just before a pixel into it.
+    at = F.when(F.col("t_high") > F.col("t_low"), F.expr(f"(t - t_low) * cast({pixels} as decimal(20,0)) div (t_high - t_low)")).otherwise(0)
     placed = both.select("t", "v", F.least(F.lit(pixels - 1), at.cast("int")).alias("pixel"))
     edge = lambda f, order: f(F.col("v"), order)
     return placed.groupBy("pixel").agg(

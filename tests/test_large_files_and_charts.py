@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.catalog import QUERIES, SQL
 from plumbline.operators import charts
 from plumbline.plans import grouped
 from plumbline.sources import guards, large
@@ -113,3 +114,21 @@ def test_line_means_do_not_depend_on_the_order_of_rows(spark):
         assert charts.line(x, "t", "v", 10).first()["mean"] == 0.3 / 3
     odd = spark.sql("select timestamp'2024-01-01' as t, cast(v as double) as v from values ('Infinity'), ('1') as x(v)")
     assert charts.line(odd, "t", "v", 10).first()["mean"] == float("inf")
+
+
+def test_line_takes_points_just_before_a_pixel_to_the_one_before(spark):
+    micros = [0, 5 * 10**10 - 1, 5 * 10**10, 10**13 - 5 * 10**10 - 1, 10**13]
+    x = spark.createDataFrame([(m, float(i)) for i, m in enumerate(micros)], "m long, v double").select(F.timestamp_micros("m").alias("t"), "v")
+    got = charts.line(x, "t", "v", 200).orderBy("pixel").collect()
+    assert [(r["pixel"], r["n"]) for r in got] == [(0, 2), (1, 1), (198, 1), (199, 1)]
+
+
+def test_line_query_agrees_with_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    # One row a microsecond before each pixel, values of more than 6 places.
+    at = "case when i < 199 then (i + 1) * 5000000000 - 1 when i = 199 then 0 when i = 200 then 1000000000000 else i * 7919 * 104729 % 1000000000000 end"
+    con.execute(f"copy (select i as event_id, make_timestamp(1700000000000000 + {at}) as ts, (i % 997) / 7.0 as value from range(20000) t(i)) to '{tmp_path}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = QUERIES["chart_line"](spark, str(tmp_path)).orderBy("pixel").collect()
+    assert [tuple(r) for r in got] == con.execute(f"select * from ({SQL['chart_line']}) order by pixel").fetchall()
