@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from plumbline.functions.cells import DATES, FOUR, of_type, q, total
 from plumbline.operators import stats
-from plumbline.plans.aggplan import Distinct, Plan, nearest_quantiles
+from plumbline.plans.aggplan import Distinct, Plan, order_statistics, ranks
+from plumbline.plans.shared import made
 
 
 @dataclass
@@ -23,6 +24,7 @@ class Profile:
     distinct: dict[str, int]  # null counts as a value
     moments: dict[str, dict] = field(default_factory=dict)  # of numeric columns: n, mean, std, min, max, skew
     quartiles: dict[str, tuple] = field(default_factory=dict)
+    medians: dict[str, float] = field(default_factory=dict)
 
     @property
     def columns(self) -> list[str]:
@@ -35,7 +37,8 @@ class Profile:
         return [c for c, t in self.types.items() if isinstance(t, kinds)]
 
 
-def profile(df: DataFrame, quartiles: bool = True, approximate: bool = False) -> Profile:
+def profile(df: DataFrame, quartiles: bool = True, approximate: bool = False, medians: bool = False) -> Profile:
+    """medians: with the quartiles, by the same passes."""
     plan = Plan(df)
     plan.add("rows", F.count("*"))
     for f in df.schema.fields:
@@ -58,13 +61,20 @@ def profile(df: DataFrame, quartiles: bool = True, approximate: bool = False) ->
         {c: {k: got[c, k] for k in ("n", "mean", "std", "min", "max", "skew")} for c in nums},
     )
     if quartiles and nums:
-        quart = nearest_quantiles(df, nums, (0.25, 0.75), {c: got[c, "n"] for c in nums})
-        out.quartiles = {c: (float(quart[c, 0.25]), float(quart[c, 0.75])) for c in nums if (c, 0.25) in quart}
+        near = lambda n: ranks(n, (0.25, 0.75))
+        middle = lambda n: ((n - 1) // 2, n // 2)
+        at = lambda n: {x: (r,) for x, r in near(n).items()} | ({0.5: middle(n)} if medians else {})
+        held = order_statistics(df, {c: (q(c), at) for c in nums if got[c, "n"]})
+        for c, n in held.counts.items():
+            out.quartiles[c] = tuple(float(held[c, r]) for r in near(n).values())
+            if medians:
+                low, high = middle(n)
+                out.medians[c] = 0.5 * held[c, low] + 0.5 * held[c, high]
     return out
 
 
 def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, schema)
+    return made(df.sparkSession, rows, schema)
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
@@ -155,8 +165,10 @@ def missing_correlation(df: DataFrame, first: int = 5, threshold: float = 0.2) -
     return _rows(df, [(a, b, r) for (a, b), r in got.items() if r is not None and abs(r) >= threshold], "missing_column string, related_column string, r double")
 
 
-def missing_patterns(df: DataFrame) -> dict:
+def missing_patterns(df: DataFrame, prof: Profile | None = None) -> dict:
     """CF-06: severity per column, correlated columns, row patterns, the inferred mechanism."""
+    if prof and not any(prof.nulls.values()):  # known without a look at the rows
+        return {"has_missing": False, "column_details": {}, "missing_correlations": [], "row_patterns": {"complete_rows": prof.rows, "partial_rows": 0, "fully_missing_rows": 0}, "inferred_pattern": None}
     nulls = {r["column"]: (r["null_count"], r["null_pct"]) for r in null_profile(df).where("null_count > 0").collect()}
     severity = lambda p: "critical" if p > 50 else "high" if p > 20 else "medium" if p > 5 else "low"
     related = [r.asDict() for r in missing_correlation(df).collect()]

@@ -12,6 +12,7 @@ from plumbline.functions.cells import DATES, FOUR, INTEGERS, is_lower, is_title,
 from plumbline.functions.names import humanise
 from plumbline.operators.profile import Profile, profile
 from plumbline.plans.aggplan import Plan
+from plumbline.plans.shared import made
 
 # Parts of names that mark identifiers and dates, and the range of spreadsheet day numbers.
 ID_NAMES = (
@@ -46,7 +47,7 @@ def classify(df: DataFrame, prof: Profile | None = None, id_share: float = 0.98)
         if m["std"] is not None and m["mean"] and abs(m["std"] / m["mean"]) < 0.01:
             why.append("low_variance")
         rows.append((c, not why, why))
-    return df.sparkSession.createDataFrame(rows, "column string, analytical boolean, reasons array<string>")
+    return made(df.sparkSession, rows, "column string, analytical boolean, reasons array<string>")
 
 
 def eligible_categories(df: DataFrame, prof: Profile | None = None) -> list[str]:
@@ -135,7 +136,7 @@ def confidence(df: DataFrame, order: list[str] | None = None, sample: int | None
         overall = 0.35 * full + 0.25 * consistency + 0.25 * validity + 0.15 * stability
         grade = "A" if overall >= 90 else "B" if overall >= 75 else "C" if overall >= 60 else "D" if overall >= 40 else "F"
         rows.append((c, full, consistency, validity, stability, overall, grade, issues))
-    return df.sparkSession.createDataFrame(rows, "column string, completeness double, consistency double, validity double, stability double, overall double, grade string, issues array<string>")
+    return made(df.sparkSession, rows, "column string, completeness double, consistency double, validity double, stability double, overall double, grade string, issues array<string>")
 
 
 def _top_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
@@ -163,7 +164,7 @@ def class_imbalance(df: DataFrame, prof: Profile | None = None) -> DataFrame:
     for c in columns:
         share = top[c] / (p.rows - p.nulls[c])
         rows.append((c, p.distinct[c] - (p.nulls[c] > 0), share, 20.0 if share > 0.95 else 10.0 if share > 0.85 else 0.0))
-    return df.sparkSession.createDataFrame(rows, "column string, classes long, share double, penalty double")
+    return made(df.sparkSession, rows, "column string, classes long, share double, penalty double")
 
 
 def readiness(df: DataFrame, scores: DataFrame | None = None, prof: Profile | None = None) -> dict:
@@ -227,7 +228,7 @@ def decisions(df: DataFrame, prof: Profile | None = None) -> DataFrame:
     if df.columns:
         rows.append(("feature_engineering", "ran", f"{len(nums)} numeric and {len(cats)} other columns"))
     rows.append(("smart_schema", "ran", f"{len(df.columns)} columns"))
-    return df.sparkSession.createDataFrame(rows, "analysis string, decision string, reason string")
+    return made(df.sparkSession, rows, "analysis string, decision string, reason string")
 
 
 def rank_insights(result: dict) -> list[dict]:

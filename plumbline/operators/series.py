@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.loess import Spans, stl
 from plumbline.plans.aggplan import median
 from plumbline.plans.grouped import group_medians
+from plumbline.plans.shared import settled
 from plumbline.functions.cells import DATES, numeric, of_type, q
 
 LAGS = {7: "weekly", 30: "monthly", 90: "quarterly", 365: "yearly"}
@@ -45,7 +46,11 @@ def _sums(s: DataFrame) -> DataFrame:
 
 def trend(df: DataFrame, time: str, value: str, tie: str | None = None) -> dict:
     """TS-02, TS-03: a line through the positions, its fit and a two-sided normal p-value."""
-    r = _sums(positions(df, time, value, tie)).first()
+    return _trend(positions(df, time, value, tie))
+
+
+def _trend(s: DataFrame) -> dict:
+    r = _sums(s).first()
     n = r["n"]
     if n < 10:
         return {"detected": False, "reason": "fewer than 10 rows"}
@@ -79,7 +84,10 @@ def autocorrelations(s: DataFrame, lags=tuple(LAGS)) -> dict[int, float]:
 
 def seasonality(df: DataFrame, time: str, value: str, tie: str | None = None) -> dict:
     """TS-04."""
-    s = positions(df, time, value, tie)
+    return _seasonality(positions(df, time, value, tie))
+
+
+def _seasonality(s: DataFrame) -> dict:
     if len(s.take(60)) < 60:
         return {"detected": False, "reason": "fewer than 60 rows"}
     got = autocorrelations(s)
@@ -87,13 +95,18 @@ def seasonality(df: DataFrame, time: str, value: str, tie: str | None = None) ->
     return {"detected": True, "patterns": found, "primary_pattern": found[0]["period"]} if found else {"detected": False, "reason": "no seasonal pattern"}
 
 
-def analyse(df: DataFrame, columns: list[str] | None = None, tie: str | None = None, first: int = 5) -> dict:
-    """TS-01, TS-05: trend and seasonality of the first numeric columns over the first date column."""
+def analyse(df: DataFrame, columns: list[str] | None = None, tie: str | None = None, first: int = 5, seasons: bool = True) -> dict:
+    """TS-01, TS-05: trend and, unless told not to, seasonality of the first numeric columns over the first date column. Positions are worked out once a column."""
     times = of_type(df, DATES)
     if not times:
         return {"has_time_series": False, "reason": "no date column"}
     columns = (numeric(df) if columns is None else columns)[:first]
-    return {"has_time_series": True, "time_column": times[0], "analyses": {c: {"trend": trend(df, times[0], c, tie), "seasonality": seasonality(df, times[0], c, tie)} for c in columns}}
+    analyses = {}
+    for c in columns:
+        s = positions(df, times[0], c, tie)
+        s = settled(s, "positions") if seasons else s
+        analyses[c] = {"trend": _trend(s)} | ({"seasonality": _seasonality(s)} if seasons else {})
+    return {"has_time_series": True, "time_column": times[0], "analyses": analyses}
 
 
 def decompose(s: DataFrame, period: int = 7) -> DataFrame:

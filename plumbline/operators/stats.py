@@ -10,22 +10,32 @@ from pyspark.sql import functions as F
 from plumbline.functions.cells import numeric, q
 from plumbline.plans.aggplan import Distinct, Median, Plan, nearest_quantiles
 from plumbline.plans.grouped import group_medians
+from plumbline.plans.shared import made
 
 
 def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, schema)
+    return made(df.sparkSession, rows, schema)
 
 
-def summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """CF-04: column, mean, std, min, max, median, q1, q3, skewness, kurtosis, count. Few passes, whatever the number of columns."""
+def summary(df: DataFrame, columns: list[str] | None = None, prof=None) -> DataFrame:
+    """CF-04: column, mean, std, min, max, median, q1, q3, skewness, kurtosis, count. Few passes, whatever the number of columns.
+
+    prof: a Profile with medians; then only what it lacks is worked out.
+    """
     columns = numeric(df) if columns is None else columns
     plan = Plan(df)
     for c in columns:
         x = q(c).cast("double")
-        for name, a in (("n", F.count(x)), ("mean", F.mean(x)), ("std", F.stddev_samp(x)), ("min", F.min(x)), ("max", F.max(x)), ("median", Median(x)), ("skew", F.skewness(x)), ("kurt", F.kurtosis(x))):
-            plan.add((c, name), a)
-    got = plan.run()
-    quart = nearest_quantiles(df, columns, (0.25, 0.75), {c: got[c, "n"] for c in columns})
+        if prof is None:
+            for name, a in (("n", F.count(x)), ("mean", F.mean(x)), ("std", F.stddev_samp(x)), ("min", F.min(x)), ("max", F.max(x)), ("median", Median(x)), ("skew", F.skewness(x))):
+                plan.add((c, name), a)
+        plan.add((c, "kurt"), F.kurtosis(x))
+    got = plan.run() if columns else {}
+    if prof is None:
+        quart = nearest_quantiles(df, columns, (0.25, 0.75), {c: got[c, "n"] for c in columns})
+    else:
+        got |= {(c, name): v for c in columns for name, v in (prof.moments[c] | {"median": prof.medians.get(c)}).items()}
+        quart = {(c, x): prof.quartiles[c][i] for c in columns if c in prof.quartiles for i, x in enumerate((0.25, 0.75))}
     f = lambda x: None if x is None else float(x)
     rows = [
         (c, got[c, "n"], got[c, "mean"], got[c, "std"], got[c, "min"], got[c, "max"], got[c, "median"], f(quart.get((c, 0.25))), f(quart.get((c, 0.75))), got[c, "skew"], got[c, "kurt"])
